@@ -206,3 +206,24 @@ def keep_flag(cat: str, score: str, thr: float) -> str:
 
 def word_pieces(x: str) -> str:
     return f"regexp_extract_all({x}, {q(T.TOKEN_PATTERN)}, 0)"
+
+
+def best_link_ctes(prefix: str, source: str, html_col: str = "body_html") -> list[tuple[str, str]]:
+    """anchors -> web links -> scores -> argmax per id, over ``source(id, <html_col>)``."""
+    return [
+        (f"{prefix}_anchors", f"""
+SELECT id, pos, {anchor_href('anchor')} AS href, {anchor_text('anchor')} AS anchor_text
+FROM (SELECT id, unnest(a) AS anchor, generate_subscripts(a, 1) - 1 AS pos
+      FROM (SELECT id, {anchors(html_col)} AS a FROM {source}))"""),
+        (f"{prefix}_web", f"SELECT * FROM {prefix}_anchors WHERE regexp_matches(href, '^https?://')"),
+        (f"{prefix}_scored", f"SELECT id, pos, href, {score_link('href', 'anchor_text')} AS score FROM {prefix}_web"),
+        (f"{prefix}_best", f"""SELECT id, arg_max(href, (score, -pos)) AS link_url
+                               FROM {prefix}_scored WHERE score > 0 GROUP BY id"""),
+    ]
+
+
+def chunked_fallback_summary(tokens: str, budget: int, stride: int) -> str:
+    wins = (f"list_transform(generate_series(0, len({tokens}) - 1, {stride}), "
+            f"lambda p: array_to_string(list_slice({tokens}, p + 1, p + {budget}), ''))")
+    return (f"array_to_string(list_transform({wins}, lambda w: concat(substr(w, 1, {K.CHUNK_FALLBACK_CHARS}), '...')), "
+            f"chr(10) || chr(10))")

@@ -1 +1,120 @@
-"""Registered queries (filled in below)."""
+"""Registered extraction queries (S6/J4, F11, P8, W4, U4, A6, U1) over whole tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from sifter.config import DigestConfig
+from sifter.functions import constants as K
+from sifter.functions import text as T
+from sifter.operators import extract as X
+from sifter.operators import triage as TR
+from sifter.plans import oracle as O
+from sifter.plans.catalog import CFG, register
+from sifter.sources.fixtures import Fixtures
+
+THR = CFG.triage_score_threshold
+# Windows are exercised at a budget of 200 word pieces: at the default 4000
+# only one sf0.01 document is long enough to be split.
+WCFG = DigestConfig(token_budget=200)
+
+SQL_KEPT_M = ("kept_m", f"""
+SELECT m.id, m.ord, m.sender, m.subject, m.snippet, m.body_html, m.body_text, v.category, v.topics
+FROM messages m JOIN verdicts v ON v.id = m.id
+WHERE {O.keep_flag('v.category', 'v.relevance_score', THR)}""")
+SQL_BASE = ("base", f"""
+SELECT *, CASE WHEN body_html <> '' THEN {O.html_to_text('body_html')} ELSE body_text END AS body FROM kept_m""")
+SQL_HIGH = ("high_m", f"SELECT id, body_html FROM kept_m WHERE category = '{K.CATEGORY_HIGH}'")
+SQL_PG = ("pg", "SELECT url, arg_min(html, page_id) AS html FROM pages GROUP BY url")
+SQL_ART = ("art", f"""
+SELECT b.id, b.link_url, coalesce({O.main_content('pg.html')}, '') AS article
+FROM hl_best b LEFT JOIN pg ON pg.url = b.link_url""")
+SQL_ITEMS = ("items", f"""
+SELECT base.*, art.link_url,
+       CASE WHEN coalesce(art.article, '') <> '' THEN concat(body, {O.q(K.LINKED_ARTICLE_SEPARATOR)}, art.article)
+            ELSE body END AS full_content
+FROM base LEFT JOIN art ON art.id = base.id""")
+SQL_TOK = ("tok", f"SELECT *, {O.word_pieces('full_content')} AS t FROM items")
+EXTRACT_CTES = [SQL_KEPT_M, SQL_BASE, SQL_HIGH, *O.best_link_ctes("hl", "high_m"), SQL_PG, SQL_ART, SQL_ITEMS]
+
+SQL_WTOK = ("wtok", f"SELECT id, {O.word_pieces('body_text')} AS t FROM messages")
+SQL_WINDOWS = ("windows", f"""
+SELECT id, chunk_no, start, array_to_string(list_slice(t, start + 1, start + {WCFG.token_budget}), '') AS chunk_text
+FROM (SELECT id, t, unnest(generate_series(0, len(t) - 1, {WCFG.window_stride})) AS start,
+             generate_subscripts(generate_series(0, len(t) - 1, {WCFG.window_stride}), 1) - 1 AS chunk_no
+      FROM wtok WHERE len(t) > 0)""")
+
+
+def kept_messages(fx: Fixtures) -> DataFrame:
+    v = fx.verdicts().select("id", "category", "relevance_score", "topics")
+    m = fx.messages().select("id", "ord", "sender", "subject", "snippet", "body_html", "body_text")
+    return TR.keep_filter(m.join(v, "id"), CFG).drop("relevance_score")
+
+
+def items(fx: Fixtures) -> DataFrame:
+    return X.extract_items(kept_messages(fx), fx.pages(), CFG)
+
+
+@register("lookup_page", O.compose(EXTRACT_CTES, "SELECT id, link_url, article FROM art"))
+def q_lookup_page(fx: Fixtures) -> DataFrame:
+    """Crawled page text behind the best link of each kept high-relevance message."""
+    k = kept_messages(fx)
+    links = k.select("id", X.gated_best_link(F.col("category"), F.col("body_html")).alias("link_url"))
+    return X.lookup_page(links, fx.pages())
+
+
+@register("combine_article", O.compose(EXTRACT_CTES, "SELECT id, full_content FROM items"))
+def q_combine_article(fx: Fixtures) -> DataFrame:
+    """body plus the linked article (when non-empty) for every kept message."""
+    return items(fx).select(F.col("email_id").alias("id"), "full_content")
+
+
+@register("over_budget", O.compose([*EXTRACT_CTES, SQL_TOK],
+    f"SELECT id, len(t) AS n_tokens, len(t) > {CFG.token_budget} AS over FROM tok"))
+def q_over_budget(fx: Fixtures) -> DataFrame:
+    """Combined text strictly over the token budget."""
+    t = items(fx).select(F.col("email_id").alias("id"), T.token_count("full_content").alias("n_tokens"))
+    return t.select("id", "n_tokens", (F.col("n_tokens") > CFG.token_budget).alias("over"))
+
+
+def windows(fx: Fixtures) -> DataFrame:
+    tok = fx.messages().select("id", T.word_pieces("body_text").alias("t"))
+    return tok.select("id", F.inline(X.token_windows(F.col("t"), WCFG.token_budget, WCFG.window_stride)))
+
+
+@register("token_windows", O.compose([SQL_WTOK, SQL_WINDOWS], "SELECT id, chunk_no, start, chunk_text FROM windows"))
+def q_token_windows(fx: Fixtures) -> DataFrame:
+    """Overlapping windows (size 200, stride 150) over every message text."""
+    return windows(fx).select("id", "chunk_no", "start", "chunk_text")
+
+
+@register("summarize_chunks", O.compose([SQL_WTOK, SQL_WINDOWS],
+    f"SELECT id, chunk_no, concat(substr(chunk_text, 1, {K.CHUNK_FALLBACK_CHARS}), '...') AS summary FROM windows"))
+def q_summarize_chunks(fx: Fixtures) -> DataFrame:
+    """U4 without a model: every window's fallback summary (500 characters + '...')."""
+    return windows(fx).select("id", "chunk_no", X.chunk_fallback(F.col("chunk_text")).alias("summary"))
+
+
+@register("join_summaries", O.compose([SQL_WTOK],
+    f"""SELECT id, {O.chunked_fallback_summary('t', WCFG.token_budget, WCFG.window_stride)} AS summary_text
+        FROM wtok WHERE len(t) > {WCFG.token_budget}"""))
+def q_join_summaries(fx: Fixtures) -> DataFrame:
+    """Window summaries of every over-budget text joined by blank lines (within the row)."""
+    tok = fx.messages().select("id", T.word_pieces("body_text").alias("t"))
+    return (tok.where(F.size("t") > WCFG.token_budget)
+            .select("id", X.native_chunked_summary(F.col("t"), WCFG).alias("summary_text")))
+
+
+@register("union_fallback", O.compose([*EXTRACT_CTES, SQL_TOK],
+    f"""SELECT id AS email_id, ord, {O.source_name('sender')} AS source_name,
+               array_to_string(topics, '|') AS topics, category,
+               CASE WHEN len(t) > {CFG.token_budget}
+                    THEN {O.chunked_fallback_summary('t', CFG.token_budget, CFG.window_stride)}
+                    ELSE full_content END AS summary_text,
+               link_url, full_content, subject AS email_subject
+        FROM tok"""))
+def q_union_fallback(fx: Fixtures) -> DataFrame:
+    """The extracted items (with per-item fallbacks) of every kept message."""
+    return items(fx).select("email_id", "ord", "source_name", F.array_join("topics", "|").alias("topics"),
+                            "category", "summary_text", "link_url", "full_content", "email_subject")
