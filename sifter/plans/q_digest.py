@@ -1 +1,181 @@
-"""Registered queries (filled in below)."""
+"""Registered digest queries (F14, A7, W3, F16-F19, F22, A8) over the extracted items."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from sifter.functions import constants as K
+from sifter.operators import digest as D
+from sifter.plans import oracle as O
+from sifter.plans.catalog import CFG, register
+from sifter.plans.q_extract import EXTRACT_CTES, SQL_TOK, items
+from sifter.sources.fixtures import Fixtures
+
+N = CFG.max_synthesis_items
+SQL_PRIO = "CASE category WHEN 'high_relevance' THEN 0 WHEN 'general_info' THEN 1 ELSE 2 END"
+SQL_ITEMS_F = ("items_f", f"""
+SELECT id AS email_id, ord, {O.source_name('sender')} AS source_name, topics, category,
+       CASE WHEN len(t) > {CFG.token_budget} THEN {O.chunked_fallback_summary('t', CFG.token_budget, CFG.window_stride)}
+            ELSE full_content END AS summary_text,
+       link_url, full_content, subject AS email_subject, {SQL_PRIO} AS priority
+FROM tok""")
+SQL_CAPPED = ("capped_i", f"SELECT * FROM items_f ORDER BY priority, ord LIMIT {N}")
+ITEM_CTES = [*EXTRACT_CTES, SQL_TOK, SQL_ITEMS_F]
+
+
+def sql_item_block() -> str:
+    p = [O.q(x) for x in K.ITEM_BLOCK_PARTS]
+    topics = f"CASE WHEN coalesce(len(topics), 0) > 0 THEN array_to_string(topics, ', ') ELSE {O.q(K.ITEM_NO_TOPICS)} END"
+    return (f"concat({p[0]}, source_name, {p[1]}, {topics}, {p[2]}, coalesce(category, 'None'), {p[3]}, "
+            f"{O.truncate_ellipsis('summary_text', K.ITEM_CONTENT_CHARS)}, {p[4]}, "
+            f"coalesce(link_url, {O.q(K.ITEM_NO_LINK)}), {p[5]})")
+
+
+def sql_fallback_line() -> str:
+    return (f"concat('- **', source_name, '**: ', substr(summary_text, 1, {K.FALLBACK_BULLET_CHARS}), "
+            f"CASE WHEN coalesce(link_url, '') <> '' THEN concat(' — [link](', link_url, ')') ELSE '' END)")
+
+
+def sql_bullet() -> str:
+    return (f"concat('- [', CASE WHEN coalesce(email_subject, '') <> '' THEN email_subject ELSE source_name END, "
+            f"'](', {O.q(K.MAIL_DEEP_LINK)}, email_id, ') — *', source_name, '*')")
+
+
+SQL_FALLBACK = ("fb", f"""
+SELECT count(*) AS n_items,
+       CASE WHEN count(*) = 0 THEN {O.q(K.EMPTY_DIGEST)}
+            ELSE concat({O.q(K.FALLBACK_HEADER + chr(10))}, string_agg({sql_fallback_line()}, chr(10) ORDER BY priority, ord))
+       END AS fallback_md
+FROM capped_i""")
+SQL_SOURCES = ("src", f"""
+SELECT count(*) AS n_sources,
+       CASE WHEN count(*) = 0 THEN '' ELSE concat({O.q(K.SOURCES_HEADER + chr(10))},
+            string_agg({sql_bullet()}, chr(10) ORDER BY priority, ord)) END AS sources_md
+FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY email_id ORDER BY priority, ord) AS r
+                     FROM capped_i WHERE coalesce(email_id, '') <> '') WHERE r = 1)""")
+
+
+def prioritized(fx: Fixtures) -> DataFrame:
+    return items(fx).withColumn("priority", D.priority("category"))
+
+
+def capped(fx: Fixtures) -> DataFrame:
+    return D.priority_cap(items(fx), N)
+
+
+@register("item_block", O.compose(ITEM_CTES, f"SELECT email_id, {sql_item_block()} AS block FROM items_f"))
+def q_item_block(fx: Fixtures) -> DataFrame:
+    """synthesis block of every extracted item."""
+    return items(fx).select("email_id", D.item_block("source_name", "topics", "category", "summary_text",
+                                                     "link_url").alias("block"))
+
+
+@register("digest_items_block", O.compose([*ITEM_CTES, SQL_CAPPED],
+    f"""SELECT count(*) AS n_items, string_agg({sql_item_block()}, chr(10) ORDER BY priority, ord) AS items_block
+        FROM capped_i"""))
+def q_digest_items_block(fx: Fixtures) -> DataFrame:
+    """The capped items' blocks joined in priority order (the synthesis prompt body)."""
+    return D.digest_items_block(capped(fx))
+
+
+@register("first_per_key", O.compose(ITEM_CTES,
+    """SELECT email_id, source_name, email_subject FROM (
+         SELECT *, row_number() OVER (PARTITION BY email_id ORDER BY priority, ord) AS r
+         FROM items_f WHERE coalesce(email_id, '') <> '') WHERE r = 1"""))
+def q_first_per_key(fx: Fixtures) -> DataFrame:
+    """W3 + P9: first item per non-empty email id in priority order."""
+    return D.first_per_key(prioritized(fx)).select("email_id", "source_name", "email_subject")
+
+
+@register("nonempty_id", O.compose(ITEM_CTES,
+    "SELECT email_id, ord FROM items_f WHERE coalesce(email_id, '') <> ''"))
+def q_nonempty_id(fx: Fixtures) -> DataFrame:
+    """Items with an empty email id never reach the sources list."""
+    return items(fx).where(F.coalesce(F.col("email_id"), F.lit("")) != "").select("email_id", "ord")
+
+
+@register("source_bullet", O.compose([*ITEM_CTES, SQL_CAPPED, SQL_SOURCES], "SELECT n_sources, sources_md FROM src"))
+def q_source_bullet(fx: Fixtures) -> DataFrame:
+    """F16: the sources section over the capped items ('' when empty)."""
+    return D.sources_section(capped(fx))
+
+
+@register("fallback_digest", O.compose([*ITEM_CTES, SQL_CAPPED, SQL_FALLBACK], "SELECT n_items, fallback_md FROM fb"))
+def q_fallback_digest(fx: Fixtures) -> DataFrame:
+    """the bullet-list digest used when the synthesis model fails."""
+    return D.fallback_digest(capped(fx))
+
+
+@register("append_sources", O.compose([*ITEM_CTES, SQL_CAPPED, SQL_FALLBACK, SQL_SOURCES],
+    """SELECT fb.n_items, CASE WHEN coalesce(src.sources_md, '') <> ''
+                               THEN concat(fb.fallback_md, chr(10) || chr(10), src.sources_md)
+                               ELSE fb.fallback_md END AS digest_md
+       FROM fb, src"""))
+def q_append_sources(fx: Fixtures) -> DataFrame:
+    """digest text plus the sources section."""
+    c = capped(fx)
+    fb = D.fallback_digest(c)
+    src = D.sources_section(c).select("sources_md").scalar()      # one-row frame -> scalar subquery
+    return fb.select("n_items", D.append_sources(F.col("fallback_md"), src).alias("digest_md"))
+
+
+@register("digest_subject", O.compose([],
+    f"""SELECT id, concat({O.q(K.SUBJECT_PREFIX)},
+                          CASE WHEN hour(to_timestamp(received_epoch)) < {K.MORNING_BEFORE_HOUR}
+                               THEN 'Morning' ELSE 'Evening' END,
+                          ', ', strftime(to_timestamp(received_epoch), '%B %d, %Y')) AS subject_line
+        FROM messages"""))
+def q_digest_subject(fx: Fixtures) -> DataFrame:
+    """the digest subject line a run at each message's arrival time would get (UTC)."""
+    return fx.messages().select("id", D.digest_subject(F.col("received_epoch")).alias("subject_line"))
+
+
+@register("topic_digest", O.compose(ITEM_CTES,
+    f"""SELECT topic, count(*) AS n_items, count(*) FILTER (WHERE category = '{K.CATEGORY_HIGH}') AS n_high,
+               array_to_string(list_sort(list_distinct(list(source_name))), ', ') AS sources,
+               CASE WHEN count(*) = 1 AND count(*) FILTER (WHERE category = '{K.CATEGORY_HIGH}') = 0
+                    THEN {O.q(K.QUICK_HITS)} ELSE topic END AS section
+        FROM (SELECT coalesce(tp, {O.q(K.ITEM_NO_TOPICS)}) AS topic, source_name, category
+              FROM (SELECT unnest(CASE WHEN len(topics) > 0 THEN topics ELSE [NULL] END) AS tp, source_name, category
+                    FROM items_f))
+        GROUP BY topic"""))
+def q_topic_digest(fx: Fixtures) -> DataFrame:
+    """Items grouped by topic with their sources; single general items -> Quick Hits."""
+    return D.topic_digest(items(fx))
+
+
+@register("empty_digest", O.compose([*ITEM_CTES,
+    ("rl", "SELECT id AS run_id, ran_epoch, lag(ran_epoch) OVER (ORDER BY id) AS prev_epoch FROM runs"),
+    ("ri", """SELECT rl.run_id, i.* FROM rl JOIN items_f i JOIN messages m ON m.id = i.email_id
+              ON m.received_epoch <= rl.ran_epoch AND (rl.prev_epoch IS NULL OR m.received_epoch > rl.prev_epoch)"""),
+    ("rc", f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY priority, ord) AS rr FROM ri)
+               WHERE rr <= {N}""")],
+    f"""SELECT rl.run_id, count(rc.email_id) AS n_items,
+               CASE WHEN count(rc.email_id) = 0 THEN {O.q(K.EMPTY_DIGEST)}
+                    ELSE concat({O.q(K.FALLBACK_HEADER + chr(10))},
+                                string_agg({sql_fallback_line()}, chr(10) ORDER BY rc.priority, rc.ord)) END AS digest_md
+        FROM rl LEFT JOIN rc ON rc.run_id = rl.run_id GROUP BY rl.run_id"""))
+def q_empty_digest(fx: Fixtures) -> DataFrame:
+    """per logged run, the fallback digest of the items that arrived since the
+    previous run (by run id); a run with nothing new gets the fixed empty digest."""
+    runs = fx.runs()
+    w = Window.orderBy("id")        # the run log: two rows a day, bounded
+    log = runs.select(F.col("id").alias("run_id"), "ran_epoch", F.lag("ran_epoch").over(w).alias("prev_epoch"))
+    bounds = log.select(F.collect_list(F.struct("run_id", "ran_epoch", "prev_epoch"))).scalar()
+    it = prioritized(fx).join(fx.messages().select(F.col("id").alias("email_id"), "received_epoch"), "email_id")
+    e = F.col("received_epoch")
+    it = it.withColumn("_bounds", bounds)        # the scalar enters as a column, then the lambdas read it
+    tagged = it.select("*", F.explode(F.transform(F.filter("_bounds", lambda b: (e <= b["ran_epoch"]) & (
+        b["prev_epoch"].isNull() | (e > b["prev_epoch"]))), lambda b: b["run_id"])).alias("run_id")).drop("_bounds")
+    rw = Window.partitionBy("run_id").orderBy("priority", "ord")
+    capped_runs = tagged.withColumn("_r", F.row_number().over(rw)).where(F.col("_r") <= N)
+    per_run = capped_runs.groupBy("run_id").agg(
+        F.count(F.lit(1)).alias("n_items"),
+        D.ordered_text(D.fallback_line("source_name", "summary_text", "link_url"), F.struct("priority", "ord"),
+                       "\n").alias("_lines"))
+    j = log.select("run_id").join(per_run, "run_id", "left")
+    n = F.coalesce(F.col("n_items"), F.lit(0))
+    return j.select("run_id", n.alias("n_items"),
+                    F.when(n == 0, F.lit(K.EMPTY_DIGEST))
+                    .otherwise(F.concat(F.lit(K.FALLBACK_HEADER + "\n"), F.col("_lines"))).alias("digest_md"))
