@@ -129,26 +129,26 @@ def read_responses(responses: DataFrame) -> DataFrame:
 
     Output: (batch_id, status, elements array<variant>) with status one of
     ``failed`` (call failed, or reading raised), ``bad_json``, ``ok``.
+    Each step is its own projection so every parse runs once per response.
     """
-    text = strip_code_fence(F.col("response"))
-    parsed = F.when(_complete_json(text), F.try_parse_json(text))
-    kind = _kind(F.col("_v"))
-    arr = F.try_variant_get(F.col("_v"), "$", "array<variant>")
-    r = responses.select("batch_id", "n_emails", "response", parsed.alias("_v"))
-    r = r.select("batch_id", "n_emails", "response", "_v",
-                 F.when(kind.startswith("ARRAY"), arr)
-                 .when(kind == "OBJECT<>", F.array().cast("array<variant>"))
-                 .when((kind == "STRING") & (F.try_variant_get(F.col("_v"), "$", "string") == ""),
-                       F.array().cast("array<variant>")).alias("_arr"))
-    considered = F.slice(F.col("_arr"), 1, F.col("n_emails").cast("int"))
-    element_bad = F.exists(considered, lambda el: ~_is_object(el) | _score_bad(el))
+    empty = F.array().cast("array<variant>")
+    r = responses.select("batch_id", "n_emails", "response", strip_code_fence(F.col("response")).alias("_t"))
+    r = r.select("*", F.when(_complete_json(F.col("_t")), F.try_parse_json(F.col("_t"))).alias("_v"))
+    r = r.select("*", _kind(F.col("_v")).alias("_kind"))
+    kind = F.col("_kind")
+    r = r.select("*", F.when(kind.startswith("ARRAY"), F.try_variant_get(F.col("_v"), "$", "array<variant>"))
+                 .when(kind == "OBJECT<>", empty)
+                 .when((kind == "STRING") & (F.try_variant_get(F.col("_v"), "$", "string") == ""), empty)
+                 .alias("_arr"))
+    r = r.select("*", F.slice(F.col("_arr"), 1, F.col("n_emails").cast("int")).alias("_considered"))
+    r = r.select("*", F.exists("_considered", lambda el: ~_is_object(el) | _score_bad(el)).alias("_bad"))
     status = (F.when(F.col("response").isNull(), F.lit("failed"))
               .when(F.col("_v").isNull(), F.lit("bad_json"))
               .when(F.col("_arr").isNull(), F.lit("failed"))          # non-empty object, scalar, null
-              .when(element_bad, F.lit("failed"))
+              .when(F.col("_bad"), F.lit("failed"))
               .otherwise(F.lit("ok")))
-    return r.select("batch_id", status.alias("status"),
-                    F.when(status == "ok", considered).alias("elements"))
+    r = r.select("batch_id", "_considered", status.alias("status"))
+    return r.select("batch_id", "status", F.when(F.col("status") == "ok", F.col("_considered")).alias("elements"))
 
 
 def positional_verdicts(batched: DataFrame, responses: DataFrame) -> DataFrame:
@@ -156,15 +156,17 @@ def positional_verdicts(batched: DataFrame, responses: DataFrame) -> DataFrame:
 
     ``batched`` carries (id, batch_id, idx, ...); the result adds category,
     relevance_score, topics, reason.  Missing elements and failed batches get
-    the reference's defaults.
+    the reference's defaults.  One equi-join on batch_id; the element is
+    picked by position within the row (``get``), so extra elements are ignored.
     """
     read = read_responses(responses)
-    status = read.select("batch_id", "status")
-    elements = read.select("batch_id", F.posexplode("elements").alias("_pos", "_el")).select(
-        "batch_id", (F.col("_pos") + 1).cast("int").alias("idx"), "_el")
-    j = batched.join(status, "batch_id", "left").join(elements, ["batch_id", "idx"], "left")
+    keep = list(batched.columns)
+    j = batched.join(read, "batch_id", "left")
+    j = j.select(*keep, "status", F.get(F.col("elements"), F.col("idx") - 1).alias("_el"))
     el = F.col("_el")
-    cv, tv, rv = _field(el, "category"), _field(el, "topics"), _field(el, "reason")
+    j = j.select(*keep, "status", "_el", _field(el, "category").alias("_cv"), _field(el, "topics").alias("_tv"),
+                 _field(el, "reason").alias("_rv"), _score_value(el).alias("_sd"))
+    cv, tv, rv = F.col("_cv"), F.col("_tv"), F.col("_rv")
 
     def pick(failed, bad, missing, ok) -> Column:
         return (F.when(F.col("status").isNull() | (F.col("status") == "failed"), failed)
@@ -178,14 +180,13 @@ def positional_verdicts(batched: DataFrame, responses: DataFrame) -> DataFrame:
                     .when(F.is_variant_null(cv), F.lit(None).cast("string"))
                     .otherwise(F.try_variant_get(cv, "$", "string")))
     score = pick(F.lit(K.FAILED_CALL_VERDICT[1]), F.lit(K.BAD_JSON_VERDICT[1]), F.lit(K.MISSING_VERDICT[1]),
-                 F.coalesce(_score_value(el), F.lit(K.ELEMENT_DEFAULT_SCORE)))
+                 F.coalesce(F.col("_sd"), F.lit(K.ELEMENT_DEFAULT_SCORE)))
     topics = pick(empty, empty, empty,
                   F.when(tv.isNull(), empty).when(F.is_variant_null(tv), F.lit(None).cast("array<string>"))
                   .otherwise(F.try_variant_get(tv, "$", "array<string>")))
     reason = pick(F.lit(K.FAILED_CALL_VERDICT[2]), F.lit(K.BAD_JSON_VERDICT[2]), F.lit(K.MISSING_VERDICT[2]),
                   F.when(rv.isNull(), F.lit("")).when(F.is_variant_null(rv), F.lit(None).cast("string"))
                   .otherwise(F.try_variant_get(rv, "$", "string")))
-    keep = [c for c in batched.columns]
     return j.select(*keep, category.alias("category"), score.cast("double").alias("relevance_score"),
                     topics.alias("topics"), reason.alias("reason"))
 

@@ -127,3 +127,68 @@ class Fixtures:
 
 def load(spark: SparkSession, sf_dir: str) -> Fixtures:
     return Fixtures(spark, sf_dir)
+
+
+# ---------------------------------------------------------------------------
+# Replayed model output for triage batches
+# ---------------------------------------------------------------------------
+
+REPLAY_MODES = 16   # batch_id % 16 picks how the recorded output is shaped
+
+
+def replay_responses(batched: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Model output per triage batch, replayed from the verdicts view.
+
+    Each batch's output is the JSON array of its rows' verdicts, shaped by
+    ``batch_id % 16`` into every case the reader must handle: valid (0),
+    a null score (1), a non-numeric score (2), boolean and string scores (3),
+    code fence (4), truncated JSON (5), empty text (6), failed call (7),
+    short array (8), long array (9), ``[]`` (10), ``{}`` (11), non-empty
+    object (12), element that is not an object (13), missing keys / null
+    and unknown category (14), trailing text after the array (15).
+    Output: (batch_id, n_emails, response).
+    """
+    j = batched.select("id", "batch_id", "idx").join(
+        verdicts.select("id", "category", "relevance_score", "topics", "reason"), "id")
+    mode = F.col("batch_id") % REPLAY_MODES
+    idx = F.col("idx")
+    opts = {"ignoreNullFields": "false"}
+
+    def obj(category, score, with_rest: bool = True) -> Column:
+        fields = [category.alias("category")]
+        if with_rest:
+            fields += [score.alias("relevance_score"), F.col("topics"), F.col("reason")]
+        return F.to_json(F.struct(*fields), opts)
+
+    cat, score = F.col("category"), F.col("relevance_score")
+    element = (F.when((mode == 1) & (idx == 1), obj(cat, F.lit(None).cast("double")))
+               .when((mode == 2) & (idx == 1), obj(cat, F.lit("abc")))
+               .when((mode == 3) & (idx == 1), obj(cat, F.lit(True)))
+               .when((mode == 3) & (idx == 2), obj(cat, score.cast("string")))
+               .when((mode == 13) & (idx == 1), F.lit('"oops"'))
+               .when((mode == 14) & (idx == 1), obj(cat, score, with_rest=False))
+               .when((mode == 14) & (idx == 2), obj(F.lit(None).cast("string"), score))
+               .when((mode == 14) & (idx == 3), obj(F.lit("newsletter"), score))
+               .otherwise(obj(cat, score)))
+    per_batch = j.select("batch_id", "idx", element.alias("el")).groupBy("batch_id").agg(
+        F.count(F.lit(1)).alias("n_emails"),
+        F.sort_array(F.collect_list(F.struct("idx", "el"))).alias("els"))
+    n = F.col("n_emails")
+    kept_els = F.when((F.col("batch_id") % REPLAY_MODES) == 8,
+                      F.filter("els", lambda e: e["idx"] <= n - 3)).otherwise(F.col("els"))
+    arr = F.concat(F.lit("["), F.array_join(F.transform(kept_els, lambda e: e["el"]), ","),
+                   F.when((F.col("batch_id") % REPLAY_MODES) == 9, F.lit(',{"category":"discard"}'))
+                   .otherwise(F.lit("")), F.lit("]"))
+    m = F.col("batch_id") % REPLAY_MODES
+    a = F.col("_arr")
+    response = (F.when(m == 4, F.concat(F.lit("```json\n"), a, F.lit("\n```")))
+                .when(m == 5, F.substring(a, F.lit(1), F.length(a) - 7))
+                .when(m == 6, F.lit(""))
+                .when(m == 7, F.lit(None).cast("string"))
+                .when(m == 10, F.lit("[]"))
+                .when(m == 11, F.lit("{}"))
+                .when(m == 12, F.concat(F.lit('{"verdicts":'), a, F.lit("}")))
+                .when(m == 15, F.concat(a, F.lit(" trailing words")))
+                .otherwise(a))
+    return per_batch.select("batch_id", "n_emails", arr.alias("_arr")).select(
+        "batch_id", "n_emails", response.alias("response"))
