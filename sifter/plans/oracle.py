@@ -70,10 +70,10 @@ SELECT * FROM (VALUES (1, 1704067200, 120), (2, 1704085200, 0), (3, 1704081600,
 ]
 
 
-def compose(ctes: list[tuple[str, str]], final: str) -> str:
+def compose(ctes: list[tuple[str, str]], final: str, recursive: bool = False) -> str:
     """Fixture CTEs + operator CTEs + final SELECT as one statement."""
     parts = [f"{name} AS ({body.strip()})" for name, body in [*FIXTURE_CTES, *ctes]]
-    return "WITH " + ",\n".join(parts) + "\n" + final.strip()
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(parts) + "\n" + final.strip()
 
 
 # ---------------------------------------------------------------------------

@@ -192,3 +192,57 @@ def replay_responses(batched: DataFrame, verdicts: DataFrame) -> DataFrame:
                 .otherwise(a))
     return per_batch.select("batch_id", "n_emails", arr.alias("_arr")).select(
         "batch_id", "n_emails", response.alias("response"))
+
+
+# ---------------------------------------------------------------------------
+# Raw message payloads (the mail API's JSON form) derived from the messages view
+# ---------------------------------------------------------------------------
+
+
+def _b64url(text: Column) -> Column:
+    return F.translate(F.base64(F.encode(text, "UTF-8")), "+/", "-_")
+
+
+def _node(mime: str, data: Column | None = None, parts: Column | None = None) -> Column:
+    leaf_t = "array<struct<mimeType:string,body:struct<data:string>>>"
+    return F.struct(F.lit(mime).alias("mimeType"),
+                    (F.struct(data.alias("data")) if data is not None else F.lit(None).cast("struct<data:string>"))
+                    .alias("body"),
+                    (parts if parts is not None else F.lit(None).cast(leaf_t)).alias("parts"))
+
+
+def raw_payloads(messages: DataFrame) -> DataFrame:
+    """(id, ord, payload_json): each message as the mail API returns it.
+
+    Shapes by ``ord``: a multipart/alternative (text + html unless the HTML is
+    empty) inside multipart/mixed; a duplicate, differently-cased Subject
+    header on every 5th (last one wins); an attachment on every 4th; a second
+    text part (a footer) on every 3rd; headers missing on every 50th (+7).
+    """
+    o = F.col("ord")
+    date = F.date_format(F.timestamp_seconds(F.col("received_epoch")), "EEE, dd MMM yyyy HH:mm:ss '+0000'")
+
+    def header(name: str, value: Column) -> Column:
+        return F.struct(F.lit(name).alias("name"), value.alias("value"))
+
+    headers = F.concat(
+        F.array(header("Subject", F.col("subject")), header("From", F.col("sender")), header("Date", date)),
+        F.when(o % 5 == 0, F.array(header("SUBJECT", F.concat(F.lit("Re: "), F.col("subject")))))
+        .otherwise(F.array().cast("array<struct<name:string,value:string>>")))
+    leaf = lambda mime, text: F.struct(F.lit(mime).alias("mimeType"),
+                                       F.struct(_b64url(text).alias("data")).alias("body"))
+    alt_parts = F.when(F.col("body_html") != "", F.array(leaf("text/plain", F.col("body_text")),
+                                                         leaf("text/html", F.col("body_html")))) \
+        .otherwise(F.array(leaf("text/plain", F.col("body_text"))))
+    alt = _node("multipart/alternative", parts=alt_parts)
+    attach = _node("application/pdf", data=F.lit("JVBERi0xLjQK"))
+    footer = _node("text/plain", data=_b64url(F.concat(F.lit("-- sent to reader "), F.col("id"))))
+    node_t = "array<struct<mimeType:string,body:struct<data:string>," \
+             "parts:array<struct<mimeType:string,body:struct<data:string>>>>>"
+    empty = F.array().cast(node_t)
+    parts = F.concat(F.array(alt), F.when(o % 4 == 0, F.array(attach)).otherwise(empty),
+                     F.when(o % 3 == 0, F.array(footer)).otherwise(empty))
+    payload = F.struct(F.lit("multipart/mixed").alias("mimeType"),
+                       F.when(o % 50 != 7, headers).alias("headers"), parts.alias("parts"))
+    msg = F.struct(F.col("snippet").alias("snippet"), payload.alias("payload"))
+    return messages.select("id", "ord", F.to_json(msg).alias("payload_json"))
