@@ -1,0 +1,58 @@
+"""Parser-grade HTML to text as an Arrow (pandas) UDF on the stdlib parser.
+
+The native regex chain (``functions.html``) is the default; this is the
+optional slow path for markup the regexes cannot follow (nested elements of
+the same name, every named and numeric character reference).
+"""
+
+from __future__ import annotations
+
+import re
+from html.parser import HTMLParser
+
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from sifter.functions import constants as K
+
+_INVISIBLE = re.compile("[" + "".join(chr(c) for c in K.INVISIBLE_CODEPOINTS) + "]")
+_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+
+
+class _TextNodes(HTMLParser):
+    def __init__(self, skip: set[str]):
+        super().__init__(convert_charrefs=True)
+        self.skip = skip
+        self.depth = 0
+        self.nodes: list[str] = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in self.skip and tag not in _VOID:
+            self.depth += 1
+
+    def handle_endtag(self, tag):
+        if tag in self.skip and tag not in _VOID and self.depth > 0:
+            self.depth -= 1
+
+    def handle_data(self, data):
+        if self.depth == 0:
+            self.nodes.append(data)
+
+
+def strip_html_text(html: str | None) -> str | None:
+    """Text nodes outside script/style/head, stripped, non-empty, newline-joined; then
+    invisible characters removed, 3+ newlines collapsed, stripped."""
+    if html is None:
+        return None
+    p = _TextNodes(set(K.BODY_DROP_TAGS) | {"meta", "link"})
+    p.feed(html)
+    p.close()
+    text = "\n".join(s for s in (n.strip() for n in p.nodes) if s)
+    text = _INVISIBLE.sub("", text)
+    return re.sub(r"\n{3,}", "\n\n", text).strip()
+
+
+@F.pandas_udf(StringType())
+def html_to_text_udf(html: pd.Series) -> pd.Series:
+    return html.map(strip_html_text)

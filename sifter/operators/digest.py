@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from sifter.functions import constants as K
 from sifter.functions.text import truncate, truncate_ellipsis
@@ -152,5 +153,5 @@ def write_digest(prompt_row: DataFrame, model: Callable[[str, str], str] | None)
                     out.append(None)
             yield pdf.assign(model_md=out)
 
-    schema = prompt_row.schema.add("model_md", "string")
+    schema = StructType([*prompt_row.schema.fields, StructField("model_md", StringType())])
     return prompt_row.mapInPandas(run, schema).select(*cols, "model_md")

@@ -257,7 +257,7 @@ RUBRIC_DISCARD_RULES = [
     ("receipt", r"order confirm|receipt|invoice|billing statement"),
     ("shipping", r"shipping|delivery notification|tracking (number|update)|has shipped"),
     ("social_alert", r"reddit|linkedin notification|social media alert|new follower"),
-    ("promotion", r"flash sale|discount code|coupon|promo code|\d+% off"),
+    ("promotion", r"flash sale|discount code|coupon|promo code|[0-9]+% off"),
     ("automated_notification", r"jira|dependabot|ci/cd|build (failed|passed)|github bot"),
     ("property_notice", r"appointment|lease|rent due|property management"),
     ("utility_alert", r"utility alert|power outage|outage notice"),

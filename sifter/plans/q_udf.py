@@ -1 +1,46 @@
-"""Registered queries (filled in below)."""
+"""Registered user-function queries (U3, U5, U6): Python runs only inside Arrow batches."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from sifter.functions.html_parser import html_to_text_udf
+from sifter.functions.models import failing_model, rubric_model
+from sifter.operators import digest as D
+from sifter.operators import triage as TR
+from sifter.plans import oracle as O
+from sifter.plans.catalog import CFG, register
+from sifter.plans.q_digest import ITEM_CTES, SQL_CAPPED, SQL_FALLBACK
+from sifter.plans.q_digest import capped as capped_items
+from sifter.plans.q_triage import _sql_rubric, batched
+from sifter.sources.fixtures import Fixtures
+
+
+@register("score_batches", O.compose([("rub", _sql_rubric())],
+    "SELECT id, category, relevance_score, rule AS reason FROM rub"))
+def q_score_batches(fx: Fixtures) -> DataFrame:
+    """Every batch prompt scored by a model callable (here the offline rubric model),
+    its JSON read back natively (F12/F13/J3)."""
+    b = batched(fx)
+    responses = TR.score_batches(TR.batch_pack(b, CFG), rubric_model(CFG))
+    v = TR.positional_verdicts(b.select("id", "ord", "batch_id", "idx"), responses)
+    return v.select("id", "category", "relevance_score", "reason")
+
+
+@register("html_parser_udf", O.compose([],
+    f"SELECT id, {O.html_to_text('body_html')} AS text FROM messages WHERE body_html <> ''"))
+def q_html_parser_udf(fx: Fixtures) -> DataFrame:
+    """Parser-grade HTML to text (stdlib parser in an Arrow UDF) of every HTML body."""
+    return (fx.messages().where(F.col("body_html") != "")
+            .select("id", html_to_text_udf(F.col("body_html")).alias("text")))
+
+
+@register("write_digest", O.compose([*ITEM_CTES, SQL_CAPPED, SQL_FALLBACK], "SELECT n_items, fallback_md AS digest_md FROM fb"))
+def q_write_digest(fx: Fixtures) -> DataFrame:
+    """The synthesis call on the capped items' prompt; a failing call falls back to F17."""
+    c = capped_items(fx)
+    prompt = D.digest_items_block(c).select(D.synthesis_prompt(F.col("items_block")).alias("prompt"))
+    written = D.write_digest(prompt, failing_model).select("model_md").scalar()
+    fb = D.fallback_digest(c)
+    return fb.select("n_items", F.coalesce(written, F.col("fallback_md")).alias("digest_md"))
