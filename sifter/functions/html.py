@@ -1,9 +1,9 @@
 """Native HTML-to-text expressions (F4, F5, F6) built from regular expressions.
 
 The text of a document is the sequence of its text nodes.  Tags are replaced by
-a separator character; a run of whitespace and separators between two nodes
-collapses to the node separator, which is exactly "strip every node, drop the
-empty ones, join them" — without splitting the string into an array.
+a separator character, the string is split there, and every node is stripped
+(``btrim``), empty ones dropped and the rest joined — "strip every node, drop
+the empty ones, join them".
 Nested elements of the same name and numeric character references are the
 known differences to a real parser (see ``html_parser_udf`` for the
 parser-grade path).
@@ -56,10 +56,14 @@ def decode_entities(text) -> Column:
 
 
 def text_nodes_joined(html_fragment, sep: str) -> Column:
-    """Stripped, non-empty text nodes of a fragment joined by ``sep``."""
+    """Stripped, non-empty text nodes of a fragment joined by ``sep``.
+
+    Tags become a separator character; the pieces between separators are
+    the text nodes (entities decoded), each stripped, empty ones dropped.
+    """
     marked = F.regexp_replace(_c(html_fragment), TAG_PATTERN, SEP)
-    decoded = decode_entities(marked)
-    return py_strip(F.regexp_replace(decoded, BOUNDARY_PATTERN, sep))
+    nodes = F.transform(F.split(decode_entities(marked), SEP), lambda p: py_strip(p))
+    return F.array_join(F.filter(nodes, lambda p: p != ""), sep)
 
 
 def html_to_text(html) -> Column:
