@@ -21,10 +21,12 @@ NODE_TYPE = "struct<path:array<int>,mime:string,data:string>"
 def decode_base64url(data: Column) -> Column:
     """URL-safe base64 -> UTF-8; invalid byte sequences become U+FFFD.
 
-    Characters outside the alphabet are ignored (as a non-validating decoder
-    does); undecodable input gives NULL for that part only.
+    Whitespace (MIME line breaks) is ignored and missing padding accepted;
+    other undecodable input gives NULL for that part only (the reference's
+    run fails on it).  Two literal ``replace`` calls map the URL-safe
+    alphabet — several times faster than ``translate`` or a regex.
     """
-    std = F.regexp_replace(F.translate(data, "-_", "+/"), "[^A-Za-z0-9+/=]", "")
+    std = F.replace(F.replace(data, F.lit("-"), F.lit("+")), F.lit("_"), F.lit("/"))
     return F.make_valid_utf8(F.try_to_binary(std, F.lit("base64")).cast("string"))
 
 
