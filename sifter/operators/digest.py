@@ -125,15 +125,22 @@ def digest_subject(as_of_epoch: Column) -> Column:
 
 
 def topic_digest(items: DataFrame) -> DataFrame:
-    """Items grouped by topic with their distinct sources; a topic with a
-    single general-info item goes to the Quick Hits section."""
+    """Items grouped by topic, one row per (topic, source).
+
+    Topic totals (items, high-relevance items, distinct sources) come from a
+    second map-side-combined aggregation joined back, so no group is ever
+    collected into an array (a topic may hold a third of all items).  A topic
+    with a single general-info item belongs to the Quick Hits section.
+    """
     t = items.select(F.explode_outer("topics").alias("topic"), "source_name", "category")
     t = t.withColumn("topic", F.coalesce(F.col("topic"), F.lit(K.ITEM_NO_TOPICS)))
-    g = t.groupBy("topic").agg(
-        F.count(F.lit(1)).alias("n_items"),
-        F.count_if(F.col("category") == K.CATEGORY_HIGH).alias("n_high"),
-        F.array_join(F.array_sort(F.collect_set("source_name")), ", ").alias("sources"))
-    return g.withColumn("section", F.when((F.col("n_items") == 1) & (F.col("n_high") == 0), F.lit(K.QUICK_HITS))
+    pairs = t.groupBy("topic", "source_name").agg(
+        F.count(F.lit(1)).alias("n_from_source"),
+        F.count_if(F.col("category") == K.CATEGORY_HIGH).alias("_high"))
+    totals = pairs.groupBy("topic").agg(F.sum("n_from_source").alias("n_items"), F.sum("_high").alias("n_high"),
+                                        F.count(F.lit(1)).alias("n_sources"))
+    j = pairs.drop("_high").join(totals, "topic")
+    return j.withColumn("section", F.when((F.col("n_items") == 1) & (F.col("n_high") == 0), F.lit(K.QUICK_HITS))
                         .otherwise(F.col("topic")))
 
 

@@ -65,8 +65,9 @@ FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id"""),
 SELECT cast(doc_id AS varchar) AS message_id, 1704067200 + doc_id * 60 AS processed_epoch
 FROM documents WHERE doc_id % 7 = 0"""),
     ("runs", """
-SELECT * FROM (VALUES (1, 1704067200, 120), (2, 1704085200, 0), (3, 1704081600, 57))
-  AS r(id, ran_epoch, messages_processed)"""),
+SELECT CAST(id AS BIGINT) AS id, CAST(ran_epoch AS BIGINT) AS ran_epoch,
+       CAST(messages_processed AS BIGINT) AS messages_processed
+FROM (VALUES (1, 1704067200, 120), (2, 1704085200, 0), (3, 1704081600, 57)) AS r(id, ran_epoch, messages_processed)"""),
 ]
 
 

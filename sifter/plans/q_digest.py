@@ -131,18 +131,21 @@ def q_digest_subject(fx: Fixtures) -> DataFrame:
     return fx.messages().select("id", D.digest_subject(F.col("received_epoch")).alias("subject_line"))
 
 
-@register("topic_digest", O.compose(ITEM_CTES,
-    f"""SELECT topic, count(*) AS n_items, count(*) FILTER (WHERE category = '{K.CATEGORY_HIGH}') AS n_high,
-               array_to_string(list_sort(list_distinct(list(source_name))), ', ') AS sources,
-               CASE WHEN count(*) = 1 AND count(*) FILTER (WHERE category = '{K.CATEGORY_HIGH}') = 0
-                    THEN {O.q(K.QUICK_HITS)} ELSE topic END AS section
-        FROM (SELECT coalesce(tp, {O.q(K.ITEM_NO_TOPICS)}) AS topic, source_name, category
+@register("topic_digest", O.compose([*ITEM_CTES,
+    ("tp", f"""SELECT coalesce(tp, {O.q(K.ITEM_NO_TOPICS)}) AS topic, source_name, category
               FROM (SELECT unnest(CASE WHEN len(topics) > 0 THEN topics ELSE [NULL] END) AS tp, source_name, category
-                    FROM items_f))
-        GROUP BY topic"""))
+                    FROM items_f)"""),
+    ("pairs", f"""SELECT topic, source_name, count(*) AS n_from_source,
+                         count(*) FILTER (WHERE category = '{K.CATEGORY_HIGH}') AS h FROM tp GROUP BY topic, source_name"""),
+    ("totals", """SELECT topic, CAST(sum(n_from_source) AS BIGINT) AS n_items, CAST(sum(h) AS BIGINT) AS n_high,
+                        count(*) AS n_sources FROM pairs GROUP BY topic""")],
+    f"""SELECT p.topic, p.source_name, p.n_from_source, t.n_items, t.n_high, t.n_sources,
+               CASE WHEN t.n_items = 1 AND t.n_high = 0 THEN {O.q(K.QUICK_HITS)} ELSE p.topic END AS section
+        FROM pairs p JOIN totals t ON t.topic = p.topic"""))
 def q_topic_digest(fx: Fixtures) -> DataFrame:
-    """Items grouped by topic with their sources; single general items -> Quick Hits."""
-    return D.topic_digest(items(fx))
+    """Items grouped by topic and source with topic totals; single general items -> Quick Hits."""
+    return D.topic_digest(items(fx)).select("topic", "source_name", "n_from_source", "n_items", "n_high", "n_sources",
+                                            "section")
 
 
 @register("empty_digest", O.compose([*ITEM_CTES,

@@ -74,13 +74,15 @@ def q_combine_article(fx: Fixtures) -> DataFrame:
     f"SELECT id, len(t) AS n_tokens, len(t) > {CFG.token_budget} AS over FROM tok"))
 def q_over_budget(fx: Fixtures) -> DataFrame:
     """Combined text strictly over the token budget."""
-    t = items(fx).select(F.col("email_id").alias("id"), T.token_count("full_content").alias("n_tokens"))
+    t = items(fx).select(F.col("email_id").alias("id"), T.token_count("full_content").cast("long").alias("n_tokens"))
     return t.select("id", "n_tokens", (F.col("n_tokens") > CFG.token_budget).alias("over"))
 
 
 def windows(fx: Fixtures) -> DataFrame:
     tok = fx.messages().select("id", T.word_pieces("body_text").alias("t"))
-    return tok.select("id", F.inline(X.token_windows(F.col("t"), WCFG.token_budget, WCFG.window_stride)))
+    w = tok.select("id", F.inline(X.token_windows(F.col("t"), WCFG.token_budget, WCFG.window_stride)))
+    return w.select("id", F.col("chunk_no").cast("long").alias("chunk_no"), F.col("start").cast("long").alias("start"),
+                    "chunk_text")
 
 
 @register("token_windows", O.compose([SQL_WTOK, SQL_WINDOWS], "SELECT id, chunk_no, start, chunk_text FROM windows"))

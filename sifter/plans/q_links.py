@@ -51,7 +51,7 @@ def q_link_scheme_filter(fx: Fixtures) -> DataFrame:
 def q_url_netloc_path(fx: Fixtures) -> DataFrame:
     """lower-cased host, path without params/query/fragment, non-empty segment count."""
     return web(fx).select("id", "pos", L.url_netloc("href").alias("netloc"), L.url_path("href").alias("path"),
-                          L.path_segments(L.url_path("href")).alias("n_segments"))
+                          L.path_segments(L.url_path("href")).cast("long").alias("n_segments"))
 
 
 @register("link_skip_pattern", O.compose([SQL_ANCHORS, SQL_WEB],

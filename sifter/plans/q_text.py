@@ -33,7 +33,7 @@ def q_source_name(fx: Fixtures) -> DataFrame:
 def q_strip_invisible(fx: Fixtures) -> DataFrame:
     """invisible code points deleted from every message text."""
     m = fx.messages().select("id", "body_text", T.strip_invisible("body_text").alias("clean_text"))
-    return m.select("id", (F.length("body_text") - F.length("clean_text")).alias("n_removed"), "clean_text")
+    return m.select("id", (F.length("body_text") - F.length("clean_text")).cast("long").alias("n_removed"), "clean_text")
 
 
 @register("html_to_text", O.compose([],
@@ -71,7 +71,7 @@ def q_choose_body(fx: Fixtures) -> DataFrame:
     f"SELECT id, len({O.word_pieces('body_text')}) AS n_tokens FROM messages"))
 def q_token_count(fx: Fixtures) -> DataFrame:
     """word-piece count of every message text."""
-    return fx.messages().select("id", T.token_count("body_text").alias("n_tokens"))
+    return fx.messages().select("id", T.token_count("body_text").cast("long").alias("n_tokens"))
 
 
 @register("token_slice_text", O.compose([("tok", f"SELECT id, body_text, {O.word_pieces('body_text')} AS t FROM messages")],
