@@ -72,3 +72,33 @@ def run_digest(messages: DataFrame, verdicts: DataFrame, pages: DataFrame, proce
     n_fresh = fresh.select(F.count(F.lit(1))).scalar()
     run_row = next_run_row(runs, as_of_epoch, n_fresh)
     return RunOutputs(fetched, results, items, capped, digest, actions, delta, run_row)
+
+
+def model_verdicts(messages: DataFrame, cfg: DigestConfig, model) -> DataFrame:
+    """Triage through a model callable: batches of 20 -> prompts -> one call per batch.
+
+    The scored batches are checkpointed (reliable, into ``spark.checkpoint.dir``)
+    right after the calls, so later actions and retries read the stored output
+    instead of calling the model again.
+    """
+    from sifter.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(messages.sparkSession)
+    batched = TR.assign_batches(messages.select("id", "ord", "subject", "sender", "snippet", "body_text"))
+    responses = TR.score_batches(TR.batch_pack(batched, cfg), model).checkpoint(eager=True)
+    return TR.positional_verdicts(batched.select("id", "ord", "batch_id", "idx"), responses)
+
+
+def write_run(out: RunOutputs, state_dir: str, run_id: int, as_of_epoch: int, digest_path: str | None,
+              cfg: DigestConfig) -> None:
+    """Sink one run in the original order: digest and actions first, then the
+    processed ids, then the run row (so a failure before the end re-runs the
+    messages instead of losing them).  A dry run writes nothing."""
+    if cfg.dry_run:
+        return
+    from sifter.sources.state import append_processed, append_run
+    sinks.digest_sink(out.digest, digest_path, dry_run=False)
+    (out.actions.write.mode("overwrite").parquet(f"{state_dir}/actions/run_id={run_id}"))
+    fresh_ids = out.results.select("id")
+    append_processed(out.results.sparkSession, state_dir, fresh_ids, as_of_epoch, run_id)
+    n = out.results.count()
+    append_run(out.results.sparkSession, state_dir, as_of_epoch, n, run_id)

@@ -99,3 +99,26 @@ def test_mime_payloads(spark):
     body = {r.id: r for r in M.flatten_mime(raw).collect()}
     assert body["1"].body_text == "héllo\nab��c" and body["1"].body_html == "<p>x</p>"
     assert body["2"].body_text == "x" and body["1"].mime_overflow is False
+
+
+def test_full_run_with_model_and_state(spark):
+    from sifter.functions.models import rubric_model
+    from sifter.plans.digest_run import model_verdicts, run_digest, write_run
+    from sifter.sources.fixtures import load
+    fx = load(spark, "/root/testdata/sf0.001")
+    cfg = DigestConfig()
+    msgs = fx.messages()
+    verdicts = model_verdicts(msgs, cfg, rubric_model(cfg))
+    state = tempfile.mkdtemp(prefix="sifter-run-")
+    processed, runs = ST.read_state(spark, state)
+    as_of = 1704067200 + 86400
+    out = run_digest(msgs, verdicts, fx.pages(), processed, runs, F.lit(as_of), cfg)
+    d = out.digest.first()
+    assert d.subject.startswith("Newsletter Briefing — Morning, January 02, 2024")
+    assert d.n_items == min(25, out.results.where("kept").count())
+    write_run(out, state, 1, as_of, f"{state}/digest", cfg)
+    processed, runs = ST.read_state(spark, state)
+    assert processed.count() == out.results.count() and runs.count() == 1
+    # a second run sees nothing new: every fetched id is already processed
+    out2 = run_digest(msgs, verdicts, fx.pages(), processed, runs, F.lit(as_of + 60), cfg)
+    assert out2.results.count() == 0 and out2.digest.first().n_items == 0
