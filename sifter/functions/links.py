@@ -54,34 +54,40 @@ def bad_netloc(netloc) -> Column:
     return n.contains("[") != n.contains("]")
 
 
-def score_link(url, anchor_txt) -> Column:
-    """F8: 0 if skipped; else 0.5 (+0.3 anchor > 10 chars) (+0.2 >= 2 path parts) (+0.1 host).
-
-    Summed as doubles in this order: 0.5+0.2+0.1 < 0.5+0.3.
-    """
-    u, a = _c(url), _c(anchor_txt)
-    netloc = url_netloc(u)
+def score_from_parts(url: Column, anchor_txt: Column, netloc: Column, path: Column) -> Column:
+    """F8 on precomputed URL parts (so each regex runs once per link)."""
     score = (F.lit(K.LINK_BASE_SCORE)
-             + F.when(F.coalesce(F.length(a), F.lit(0)) > K.LINK_ANCHOR_MIN_CHARS, F.lit(K.LINK_ANCHOR_BONUS))
+             + F.when(F.coalesce(F.length(anchor_txt), F.lit(0)) > K.LINK_ANCHOR_MIN_CHARS, F.lit(K.LINK_ANCHOR_BONUS))
              .otherwise(F.lit(0.0))
-             + F.when(path_segments(url_path(u)) >= K.LINK_MIN_SEGMENTS, F.lit(K.LINK_DEPTH_BONUS))
-             .otherwise(F.lit(0.0)))
+             + F.when(path_segments(path) >= K.LINK_MIN_SEGMENTS, F.lit(K.LINK_DEPTH_BONUS)).otherwise(F.lit(0.0)))
     host_bonus = F.lit(False)
     for d in K.ARTICLE_DOMAINS:
         host_bonus = host_bonus | netloc.contains(d)
     score = score + F.when(host_bonus, F.lit(K.LINK_DOMAIN_BONUS)).otherwise(F.lit(0.0))
-    skipped = skip_by_pattern(u) | skip_by_domain(netloc) | bad_netloc(netloc)
+    skipped = skip_by_pattern(url) | skip_by_domain(netloc) | bad_netloc(netloc)
     return F.when(skipped, F.lit(0.0)).otherwise(score)
 
 
+def score_link(url, anchor_txt) -> Column:
+    """F8: 0 if skipped; else 0.5 (+0.3 anchor > 10 chars) (+0.2 >= 2 path parts) (+0.1 host).
+
+    Summed as doubles in this order: 0.5+0.2+0.1 < 0.5+0.3.
+    """
+    u, a = _c(url), _c(anchor_txt)
+    return score_from_parts(u, a, url_netloc(u), url_path(u))
+
+
 def link_candidates(html) -> Column:
     """Array of struct(pos, href, anchor_text, score) for every web link, in document order."""
     parsed = F.transform(anchors(html), lambda a, i: F.struct(
         i.alias("pos"), anchor_href(a).alias("href"), anchor_text(a).alias("anchor_text")))
     web = F.filter(parsed, lambda x: is_web_link(x["href"]))
-    return F.transform(web, lambda x: F.struct(
+    parts = F.transform(web, lambda x: F.struct(
+        x["pos"].alias("pos"), x["href"].alias("href"), x["anchor_text"].alias("anchor_text"),
+        url_netloc(x["href"]).alias("netloc"), url_path(x["href"]).alias("path")))
+    return F.transform(parts, lambda x: F.struct(
         x["pos"].alias("pos"), x["href"].alias("href"), x["anchor_text"].alias("anchor_text"),
-        score_link(x["href"], x["anchor_text"]).alias("score")))
+        score_from_parts(x["href"], x["anchor_text"], x["netloc"], x["path"]).alias("score")))
 
 
 def best_link(html) -> Column:

@@ -162,3 +162,30 @@ def write_digest(prompt_row: DataFrame, model: Callable[[str, str], str] | None)
 
     schema = StructType([*prompt_row.schema.fields, StructField("model_md", StringType())])
     return prompt_row.mapInPandas(run, schema).select(*cols, "model_md")
+
+
+def digest_parts(capped: DataFrame) -> DataFrame:
+    """One aggregation over the capped items giving every part of the digest:
+    (n_items, items_block, fallback_md, sources_md).
+
+    The capped set is read once (no scalar subqueries re-running the
+    extraction); first-per-email-id (W3) is applied inside the sorted array
+    of at most ``max_synthesis_items`` entries.
+    """
+    row = F.struct(F.col("priority").alias("p"), F.col("ord").alias("o"), F.col("email_id").alias("email_id"),
+                   item_block("source_name", "topics", "category", "summary_text", "link_url").alias("block"),
+                   fallback_line("source_name", "summary_text", "link_url").alias("line"),
+                   source_bullet("email_subject", "source_name", "email_id").alias("bullet"))
+    agg = capped.agg(F.count(F.lit(1)).alias("n_items"), F.array_sort(F.collect_list(row)).alias("_rows"))
+    rows = F.col("_rows")
+    with_id = F.filter(rows, lambda x: F.coalesce(x["email_id"], F.lit("")) != "")
+    firsts = F.filter(with_id, lambda x, i: ~F.exists(F.slice(with_id, 1, i), lambda y: y["email_id"] == x["email_id"]))
+    bullets = F.transform(firsts, lambda x: x["bullet"])
+    return agg.select(
+        "n_items",
+        F.array_join(F.transform(rows, lambda x: x["block"]), "\n").alias("items_block"),
+        F.when(F.col("n_items") == 0, F.lit(K.EMPTY_DIGEST)).otherwise(
+            F.concat(F.lit(K.FALLBACK_HEADER + "\n"), F.array_join(F.transform(rows, lambda x: x["line"]), "\n")))
+        .alias("fallback_md"),
+        F.when(F.size(bullets) == 0, F.lit("")).otherwise(
+            F.concat(F.lit(K.SOURCES_HEADER + "\n"), F.array_join(bullets, "\n"))).alias("sources_md"))

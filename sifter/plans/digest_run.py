@@ -55,17 +55,17 @@ def run_digest(messages: DataFrame, verdicts: DataFrame, pages: DataFrame, proce
         kept = TR.top_n_per_sender(TR.with_sender_key(kept), cfg.max_per_sender)
     items = X.extract_items(kept, pages, cfg, summarizer=summarizer)
     capped = D.priority_cap(items, cfg.max_synthesis_items)
-    fb = D.fallback_digest(capped)
-    src = D.sources_section(capped).select("sources_md").scalar()
+    parts = D.digest_parts(capped)
     if synthesizer is None:
-        body = fb.select("n_items", F.col("fallback_md").alias("md"))
+        body = parts.select("n_items", "sources_md", F.col("fallback_md").alias("md"))
     else:
-        prompt = D.digest_items_block(capped).select(D.synthesis_prompt(F.col("items_block")).alias("prompt"))
-        written = D.write_digest(prompt, synthesizer).select("model_md").scalar()
-        body = fb.select("n_items", F.coalesce(written, F.col("fallback_md")).alias("md"))
+        prompt = parts.select("n_items", "sources_md", "fallback_md",
+                              D.synthesis_prompt(F.col("items_block")).alias("prompt"))
+        written = D.write_digest(prompt, synthesizer)
+        body = written.select("n_items", "sources_md", F.coalesce("model_md", "fallback_md").alias("md"))
     # no items: the empty digest and an empty sources section (append is a no-op)
     digest = body.select(D.digest_subject(as_of_epoch).alias("subject"),
-                         D.append_sources(F.col("md"), src).alias("digest_md"), "n_items")
+                         D.append_sources(F.col("md"), F.col("sources_md")).alias("digest_md"), "n_items")
     actions = sinks.inbox_actions(results)
     from sifter.sources.state import new_processed_rows, next_run_row
     delta = new_processed_rows(processed, fresh.select("id"), as_of_epoch)

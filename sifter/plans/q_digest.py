@@ -114,10 +114,8 @@ def q_fallback_digest(fx: Fixtures) -> DataFrame:
        FROM fb, src"""))
 def q_append_sources(fx: Fixtures) -> DataFrame:
     """digest text plus the sources section."""
-    c = capped(fx)
-    fb = D.fallback_digest(c)
-    src = D.sources_section(c).select("sources_md").scalar()      # one-row frame -> scalar subquery
-    return fb.select("n_items", D.append_sources(F.col("fallback_md"), src).alias("digest_md"))
+    parts = D.digest_parts(capped(fx))                 # one pass over the capped items
+    return parts.select("n_items", D.append_sources(F.col("fallback_md"), F.col("sources_md")).alias("digest_md"))
 
 
 @register("digest_subject", O.compose([],
