@@ -18,6 +18,7 @@ from sifter.functions import constants as K
 from sifter.functions.html import html_to_text, main_content
 from sifter.functions.links import best_link
 from sifter.functions.text import source_name, token_slice_text, word_pieces
+from sifter.session import ensure_checkpoint_dir
 
 SummarizeFn = Callable[[str, str], str]
 
@@ -125,6 +126,10 @@ def extract_items(kept: DataFrame, pages: DataFrame, cfg: DigestConfig,
     base = kept.select("id", "ord", "sender", "subject", "snippet", "category", "topics",
                        choose_body(F.col("body_html"), F.col("body_text")).alias("body"),
                        gated_best_link(F.col("category"), F.col("body_html")).alias("link_url"))
+    # The HTML work feeds three branches (main rows, needed URLs, link rows);
+    # materialise it once (reliable checkpoint) instead of recomputing it per branch.
+    ensure_checkpoint_dir(kept.sparkSession)
+    base = base.checkpoint(eager=True)
     art = lookup_page(base.select("id", "link_url"), pages).select("id", "article")
     j = base.join(art, "id", "left")
     combined = j.select("*", combine_article(F.col("body"), F.col("article")).alias("full_content")) \

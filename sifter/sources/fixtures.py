@@ -50,7 +50,9 @@ class Fixtures:
         pages = self.table("pages")
         n = pages.select(F.count(F.lit(1))).scalar()          # scalar subquery, not a cross join
         d = F.col("doc_id")
-        keys = docs.select(d, _mod(d, n).alias("k0"), _mod(d * 7 + 1, n).alias("k1"), _mod(d * 7 + 14, n).alias("k2"))
+        nn = F.col("_n")
+        keys = (docs.select(d, n.alias("_n"))
+                .select(d, _mod(d, nn).alias("k0"), _mod(d * 7 + 1, nn).alias("k1"), _mod(d * 7 + 14, nn).alias("k2")))
         p0 = pages.select(F.col("page_id").alias("k0"), F.col("html"))
         p1 = pages.select(F.col("page_id").alias("k1"), F.col("url").alias("url1"))
         p2 = pages.select(F.col("page_id").alias("k2"), F.col("url").alias("url2"))
