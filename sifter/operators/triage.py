@@ -31,11 +31,17 @@ def assign_batches(messages: DataFrame, batch_size: int = K.TRIAGE_BATCH_SIZE) -
             .withColumn("idx", (p0 % batch_size + 1).cast("int")).drop("pos"))
 
 
-def prompt_block(idx, subject, sender, snippet, body_text) -> Column:
+def triage_input(messages: DataFrame) -> DataFrame:
+    """The columns triage reads: the 600-character preview replaces the body, so
+    batching shuffles and materialises narrow rows only."""
+    return messages.select("id", "ord", "subject", "sender", preview_text("snippet", "body_text").alias("preview"))
+
+
+def prompt_block(idx, subject, sender, preview) -> Column:
     """one message's block of the triage prompt."""
     p = K.EMAIL_BLOCK_PARTS
     return F.concat(F.lit(p[0]), F.col(idx).cast("string"), F.lit(p[1]), F.col(subject), F.lit(p[2]),
-                    F.col(sender), F.lit(p[3]), preview_text(snippet, body_text), F.lit(p[4]))
+                    F.col(sender), F.lit(p[3]), F.col(preview), F.lit(p[4]))
 
 
 def system_prompt(cfg: DigestConfig) -> str:
@@ -51,7 +57,7 @@ def ordered_join(value: Column, order: Column, sep: str) -> Column:
 def batch_pack(batched: DataFrame, cfg: DigestConfig) -> DataFrame:
     """A5: one row per batch: (batch_id, n_emails, system, prompt).  Groups hold <= 20 rows."""
     blocks = batched.select("batch_id", "idx",
-                            prompt_block("idx", "subject", "sender", "snippet", "body_text").alias("block"))
+                            prompt_block("idx", "subject", "sender", "preview").alias("block"))
     agg = blocks.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_emails"),
                                          ordered_join(F.col("block"), F.col("idx"), "\n").alias("emails_block"))
     return agg.select("batch_id", "n_emails", F.lit(system_prompt(cfg)).alias("system"),

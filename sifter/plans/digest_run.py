@@ -83,7 +83,7 @@ def model_verdicts(messages: DataFrame, cfg: DigestConfig, model) -> DataFrame:
     """
     from sifter.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(messages.sparkSession)
-    batched = TR.assign_batches(messages.select("id", "ord", "subject", "sender", "snippet", "body_text"))
+    batched = TR.assign_batches(TR.triage_input(messages))
     responses = TR.score_batches(TR.batch_pack(batched, cfg), model).checkpoint(eager=True)
     return TR.positional_verdicts(batched.select("id", "ord", "batch_id", "idx"), responses)
 

@@ -223,7 +223,7 @@ SQL_PARSE = [
 
 
 def batched(fx: Fixtures) -> DataFrame:
-    return TR.assign_batches(fx.messages().select("id", "ord", "subject", "sender", "snippet", "body_text"))
+    return TR.assign_batches(TR.triage_input(fx.messages()))
 
 
 def responses(fx: Fixtures, b: DataFrame | None = None) -> DataFrame:
@@ -249,7 +249,7 @@ def q_assign_batches(fx: Fixtures) -> DataFrame:
         FROM b"""))
 def q_prompt_block(fx: Fixtures) -> DataFrame:
     """every message's block of its triage prompt."""
-    return batched(fx).select("id", TR.prompt_block("idx", "subject", "sender", "snippet", "body_text").alias("block"))
+    return batched(fx).select("id", TR.prompt_block("idx", "subject", "sender", "preview").alias("block"))
 
 
 @register("batch_pack", O.compose([SQL_BATCHED, ("blk", f"""SELECT batch_id, idx, concat({O.q(K.EMAIL_BLOCK_PARTS[0])},

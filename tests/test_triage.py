@@ -91,7 +91,7 @@ def test_ordered_position_matches_row_number(spark):
 def test_assign_batches_and_pack(spark):
     m = spark.createDataFrame([(str(i), i * 3, f"s{i}", f"a{i}@x", "", "body") for i in range(45)],
                               "id string, ord long, subject string, sender string, snippet string, body_text string")
-    b = TR.assign_batches(m)
+    b = TR.assign_batches(TR.triage_input(m))
     counts = {r.batch_id: r.n for r in b.groupBy("batch_id").agg(F.count("*").alias("n")).collect()}
     assert counts == {0: 20, 1: 20, 2: 5}
     p = TR.batch_pack(b, DigestConfig()).where("batch_id = 2").first()
@@ -102,7 +102,7 @@ def test_model_udf_paths(spark):
     m = spark.createDataFrame([(str(i), i, f"Your password reset {i}" if i % 2 else f"AI orchestration news {i}",
                                 "a@x", "", "b") for i in range(30)],
                               "id string, ord long, subject string, sender string, snippet string, body_text string")
-    b = TR.assign_batches(m)
+    b = TR.assign_batches(TR.triage_input(m))
     packed = TR.batch_pack(b, DigestConfig())
     ok = TR.positional_verdicts(b, TR.score_batches(packed, rubric_model())).orderBy("ord").collect()
     native = TR.rubric_label(m, DigestConfig()).orderBy("ord").collect()
