@@ -94,7 +94,6 @@ def main_content(html) -> Column:
 ANCHOR_PATTERN = "(?is)<a\\s[^>]*>.*?</a\\s*>"
 ANCHOR_OPEN_PATTERN = "(?is)\\A<a\\s[^>]*>"
 ANCHOR_INNER_PATTERN = "(?is)\\A<a\\s[^>]*>(.*)</a\\s*>\\z"
-HREF_PRESENT_PATTERN = "(?is)\\shref\\s*="
 HREF_PATTERN = "(?is)\\shref\\s*=\\s*(?:\"([^\"]*)\"|'([^']*)'|([^\\s\"'>]+))"
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from sifter.config import DigestConfig
 from sifter.functions import constants as K
-from sifter.functions.text import normalize_sender, preview_text, py_strip, strip_code_fence
+from sifter.functions.text import normalize_sender, preview_text, strip_code_fence
 from sifter.operators.ordering import ordered_position
 
 # ---------------------------------------------------------------------------
