@@ -48,22 +48,28 @@ def drop_blocks(html, tags: list[str]) -> Column:
     return c
 
 
-def decode_entities(text) -> Column:
+def decode_entities(text, entities=K.HTML_ENTITIES) -> Column:
     c = _c(text)
-    for ent, ch in K.HTML_ENTITIES:
+    for ent, ch in entities:
         c = F.replace(c, F.lit(ent), F.lit(ch))
     return c
 
 
+# Entities that decode to whitespace must be decoded before nodes are stripped;
+# every other one can be decoded once on the joined (much shorter) text.
+SPACE_ENTITIES = [(e, ch) for e, ch in K.HTML_ENTITIES if ch.isspace()]
+OTHER_ENTITIES = [(e, ch) for e, ch in K.HTML_ENTITIES if not ch.isspace()]
+
+
 def text_nodes_joined(html_fragment, sep: str) -> Column:
     """Stripped, non-empty text nodes of a fragment joined by ``sep``.
 
     Tags become a separator character; the pieces between separators are
     the text nodes (entities decoded), each stripped, empty ones dropped.
     """
-    marked = F.regexp_replace(_c(html_fragment), TAG_PATTERN, SEP)
-    nodes = F.transform(F.split(decode_entities(marked), SEP), lambda p: py_strip(p))
-    return F.array_join(F.filter(nodes, lambda p: p != ""), sep)
+    marked = decode_entities(F.regexp_replace(_c(html_fragment), TAG_PATTERN, SEP), SPACE_ENTITIES)
+    nodes = F.transform(F.split(marked, SEP), lambda p: py_strip(p))
+    return decode_entities(F.array_join(F.filter(nodes, lambda p: p != ""), sep), OTHER_ENTITIES)
 
 
 def html_to_text(html) -> Column:
