@@ -8,7 +8,7 @@ recursive walk is recovered by sorting the nodes by their index path.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from sifter.functions import constants as K
@@ -45,14 +45,18 @@ def well_formed(msg: Column) -> Column:
                                                 & e["value"].isNotNull()), F.lit(False))
 
 
-def parse_headers(raw: DataFrame) -> DataFrame:
+def parse_headers(raw: DataFrame, observation: Observation | None = None) -> DataFrame:
     """S2 + S3: (id, subject, sender, date, snippet) of every well-formed message.
 
     Header names are lower-cased and the last duplicate wins
-    (``spark.sql.mapKeyDedupPolicy=LAST_WIN``).
+    (``spark.sql.mapKeyDedupPolicy=LAST_WIN``).  With an ``Observation`` the
+    dropped (malformed) and total counts are reported as metrics of the same
+    job (``observation.get``) instead of a second pass.
     """
-    v = with_variant(raw)
-    ok = v.where(well_formed(F.col("_msg")))
+    v = with_variant(raw).withColumn("_ok", well_formed(F.col("_msg")))
+    if observation is not None:
+        v = v.observe(observation, F.count_if(~F.col("_ok")).alias("malformed"), F.count(F.lit(1)).alias("total"))
+    ok = v.where(F.col("_ok"))
     hm = F.map_from_entries(F.transform(header_entries(F.col("_msg")),
                                         lambda e: F.struct(F.lower(e["name"]), e["value"])))
     m = ok.select("id", "_msg", hm.alias("_h"))

@@ -146,3 +146,32 @@ def test_streaming_dedupe_variants(spark):
          .option("checkpointLocation", f"{root}/wm-ckpt").trigger(availableNow=True).start())
     q.awaitTermination(300)
     assert sorted(r.event_id for r in spark.sql("SELECT event_id FROM wm_dedupe").collect()) == list(range(10))
+
+
+def test_incremental_scan_prunes_day_partitions(spark):
+    from sifter.sources.fixtures import load
+    from sifter.sources.messages import read_messages, write_messages
+    fx = load(spark, "/root/testdata/sf0.001")
+    path = tempfile.mkdtemp(prefix="sifter-msgs-") + "/messages"
+    msgs = fx.messages().withColumn("received_epoch", F.col("received_epoch") + F.col("ord") * 3600)
+    write_messages(msgs, path)
+    stored = read_messages(spark, path)
+    cutoff = 1704067200 + 150 * 3600 * 1 + 150 * 60
+    out = S.scan_incremental(stored, cutoff, DigestConfig())
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(received_date" in plan and "received_date" in plan.split("PartitionFilters")[1][:200]
+    assert "GreaterThan(received_epoch," in plan                     # pushed into the scan
+    expect = msgs.where(F.col("received_epoch") > cutoff).where(
+        F.array_contains("label_ids", "UNREAD") & F.array_contains("label_ids", "IMPORTANT")).count()
+    assert out.count() == expect > 0
+
+
+def test_malformed_count_observed(spark):
+    from pyspark.sql import Observation
+    good = {"payload": {"headers": [{"name": "Subject", "value": "s"}]}}
+    raw = spark.createDataFrame([("1", json.dumps(good)), ("2", '{"payload": {"headers": "x"}}'), ("3", "{}"),
+                                 ("4", '{"payload": {"headers": [{"name": "a"}]}}')], "id string, payload_json string")
+    obs = Observation("ingest")
+    rows = M.parse_headers(raw, obs).collect()
+    assert [r.id for r in rows] == ["1"]
+    assert obs.get == {"malformed": 3, "total": 4}
