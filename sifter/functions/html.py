@@ -49,10 +49,12 @@ def drop_blocks(html, tags: list[str]) -> Column:
 
 
 def decode_entities(text, entities=K.HTML_ENTITIES) -> Column:
-    c = _c(text)
+    """Named character references -> characters; strings without '&' skip the chain."""
+    src = _c(text)
+    c = src
     for ent, ch in entities:
         c = F.replace(c, F.lit(ent), F.lit(ch))
-    return c
+    return F.when(F.instr(src, "&") > 0, c).otherwise(src)
 
 
 # Entities that decode to whitespace must be decoded before nodes are stripped;
