@@ -147,21 +147,26 @@ def q_inbox_actions(fx: Fixtures) -> DataFrame:
 
 
 @register("fetched_listing", O.compose(STATE_CTES,
-    f"""SELECT row_number() OVER (ORDER BY ord) AS n, subject, sender,
-               strftime(to_timestamp(received_epoch), '%a, %d %b %Y %H:%M:%S +0000') AS date,
-               substr(snippet, 1, {K.LISTING_SNIPPET_CHARS}) AS snippet
-        FROM fetched"""))
+    f"""SELECT *, concat(CAST(n AS VARCHAR), '. ', subject, chr(10), '   From: ', sender, chr(10), '   Date: ', date,
+                         chr(10), '   Snippet: ', snippet, chr(10)) AS line
+        FROM (SELECT row_number() OVER (ORDER BY ord) AS n, subject, sender,
+                     strftime(to_timestamp(received_epoch), '%a, %d %b %Y %H:%M:%S +0000') AS date,
+                     substr(snippet, 1, {K.LISTING_SNIPPET_CHARS}) AS snippet
+              FROM fetched)"""))
 def q_fetched_listing(fx: Fixtures) -> DataFrame:
     """Numbered listing of the fetched messages."""
     return sinks.fetched_listing(fetched(fx))
 
 
 @register("triage_report", O.compose([SQL_RESULTS],
-    f"""SELECT section, row_number() OVER (PARTITION BY section ORDER BY relevance_score DESC, ord) AS rank,
+    f"""SELECT *, concat('  [', coalesce(category, 'None'), '] score=', score, '  ', subject, chr(10), '    From: ', sender,
+                         CASE WHEN section = 'KEPT' THEN concat(chr(10), '    Topics: ', topics) ELSE '' END,
+                         chr(10), '    Reason: ', coalesce(reason, 'None'), chr(10)) AS line
+        FROM (SELECT section, row_number() OVER (PARTITION BY section ORDER BY relevance_score DESC, ord) AS rank,
                id, category, printf('%.2f', relevance_score) AS score, subject, sender,
                CASE WHEN section = 'KEPT' THEN CASE WHEN coalesce(len(topics), 0) > 0
                     THEN array_to_string(topics, ', ') ELSE {O.q(K.REPORT_NO_TOPICS)} END END AS topics, reason
-        FROM (SELECT *, CASE WHEN kept THEN 'KEPT' ELSE 'DISCARDED' END AS section FROM results)"""))
+        FROM (SELECT *, CASE WHEN kept THEN 'KEPT' ELSE 'DISCARDED' END AS section FROM results))"""))
 def q_triage_report(fx: Fixtures) -> DataFrame:
     """KEPT / DISCARDED report sorted by score."""
     return sinks.triage_report(results(fx))

@@ -28,10 +28,23 @@ def header_date(epoch_col) -> F.Column:
 
 
 def fetched_listing(fetched: DataFrame) -> DataFrame:
-    """Numbered listing of fetched messages: subject, from, date, snippet[:120]."""
+    """Numbered listing of fetched messages: subject, from, date, snippet[:120],
+    with ``line`` = the entry as the text dump shows it."""
     pos = ordered_position(fetched.select("ord", "subject", "sender", "received_epoch", "snippet"), ["ord"])
-    return pos.select(F.col("pos").alias("n"), "subject", "sender", header_date(F.col("received_epoch")).alias("date"),
-                      truncate(F.col("snippet"), K.LISTING_SNIPPET_CHARS).alias("snippet"))
+    out = pos.select(F.col("pos").alias("n"), "subject", "sender", header_date(F.col("received_epoch")).alias("date"),
+                     truncate(F.col("snippet"), K.LISTING_SNIPPET_CHARS).alias("snippet"))
+    line = F.concat(F.col("n").cast("string"), F.lit(". "), F.col("subject"), F.lit("\n   From: "), F.col("sender"),
+                    F.lit("\n   Date: "), F.col("date"), F.lit("\n   Snippet: "), F.col("snippet"), F.lit("\n"))
+    return out.withColumn("line", line)
+
+
+def write_lines(report: DataFrame, path: str, order_cols: list) -> None:
+    """Write a report's ``line`` column as text in report order.
+
+    A global sort range-partitions the rows, so the part files, read in name
+    order, are the whole report in order — no single task writes everything.
+    """
+    report.orderBy(*order_cols).select("line").write.mode("overwrite").text(path)
 
 
 def triage_report(results: DataFrame) -> DataFrame:
@@ -41,9 +54,15 @@ def triage_report(results: DataFrame) -> DataFrame:
     pos = ordered_position(r, [F.col("relevance_score").desc(), F.col("ord")], ["section"], out="rank")
     topics = F.when(F.coalesce(F.size("topics"), F.lit(0)) > 0, F.array_join("topics", ", ")) \
         .otherwise(F.lit(K.REPORT_NO_TOPICS))
-    return pos.select("section", "rank", "id", "category",
-                      F.format_string("%.2f", F.col("relevance_score")).alias("score"), "subject", "sender",
-                      F.when(F.col("section") == "KEPT", topics).alias("topics"), "reason")
+    out = pos.select("section", "rank", "id", "category",
+                     F.format_string("%.2f", F.col("relevance_score")).alias("score"), "subject", "sender",
+                     F.when(F.col("section") == "KEPT", topics).alias("topics"), "reason")
+    line = F.concat(F.lit("  ["), F.coalesce(F.col("category"), F.lit("None")), F.lit("] score="), F.col("score"),
+                    F.lit("  "), F.col("subject"), F.lit("\n    From: "), F.col("sender"),
+                    F.when(F.col("section") == "KEPT", F.concat(F.lit("\n    Topics: "), F.col("topics")))
+                    .otherwise(F.lit("")),
+                    F.lit("\n    Reason: "), F.coalesce(F.col("reason"), F.lit("None")), F.lit("\n"))
+    return out.withColumn("line", line)
 
 
 def digest_sink(digest: DataFrame, path: str | None, dry_run: bool) -> DataFrame:

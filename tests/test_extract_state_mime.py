@@ -175,3 +175,17 @@ def test_malformed_count_observed(spark):
     rows = M.parse_headers(raw, obs).collect()
     assert [r.id for r in rows] == ["1"]
     assert obs.get == {"malformed": 3, "total": 4}
+
+
+def test_listing_text_in_order(spark):
+    from sifter.sources import sinks
+    rows = [(str(i), 100 - i, f"subj {i}", f"s{i}@x", 1704067200 + i, "x" * 130) for i in range(30)]
+    fetched = spark.createDataFrame(rows, "id string, ord long, subject string, sender string, received_epoch long, "
+                                          "snippet string").repartition(4)
+    listing = sinks.fetched_listing(fetched)
+    path = tempfile.mkdtemp(prefix="sifter-listing-") + "/listing"
+    sinks.write_lines(listing, path, ["n"])
+    import glob
+    text = "".join(open(f).read() for f in sorted(glob.glob(f"{path}/part-*")))
+    assert text.startswith("1. subj 29\n   From: s29@x\n   Date: Mon, 01 Jan 2024 00:00:29 +0000\n   Snippet: " + "x" * 120)
+    assert text.count(". subj ") == 30 and text.index("2. subj 28") < text.index("30. subj 0")
