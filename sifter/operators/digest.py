@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from sifter.functions import constants as K
+from sifter.functions.templates import fill
 from sifter.functions.text import truncate, truncate_ellipsis
 
 
@@ -47,11 +48,10 @@ def topics_text(topics: Column, empty: str) -> Column:
 
 def item_block(source, topics, category, summary, link) -> Column:
     """the synthesis template for one item (content capped at 1500 + '...')."""
-    p = K.ITEM_BLOCK_PARTS
-    return F.concat(F.lit(p[0]), F.col(source), F.lit(p[1]), topics_text(F.col(topics), K.ITEM_NO_TOPICS),
-                    F.lit(p[2]), F.coalesce(F.col(category), F.lit("None")), F.lit(p[3]),
-                    truncate_ellipsis(F.col(summary), K.ITEM_CONTENT_CHARS), F.lit(p[4]),
-                    F.coalesce(F.col(link), F.lit(K.ITEM_NO_LINK)), F.lit(p[5]))
+    return fill(K.SYNTHESIS_ITEM_TEMPLATE, source=F.col(source), topics=topics_text(F.col(topics), K.ITEM_NO_TOPICS),
+                category=F.coalesce(F.col(category), F.lit("None")),
+                content=truncate_ellipsis(F.col(summary), K.ITEM_CONTENT_CHARS),
+                link=F.coalesce(F.col(link), F.lit(K.ITEM_NO_LINK)))
 
 
 def ordered_text(value: Column, order: Column, sep: str) -> Column:
@@ -68,7 +68,7 @@ def digest_items_block(capped: DataFrame) -> DataFrame:
 
 
 def synthesis_prompt(items_block: Column) -> Column:
-    return F.concat(F.lit(K.SYNTHESIS_USER_HEAD), items_block)
+    return fill(K.SYNTHESIS_USER, items_block=items_block)
 
 
 def first_per_key(items: DataFrame) -> DataFrame:

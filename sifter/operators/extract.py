@@ -98,7 +98,7 @@ def summarize_windows(windows: DataFrame, model: SummarizeFn) -> DataFrame:
             out = []
             for chunk in pdf["chunk_text"]:
                 try:
-                    out.append(model(K.CHUNK_SUMMARY_SYSTEM, K.CHUNK_SUMMARY_USER_HEAD + chunk))
+                    out.append(model(K.CHUNK_SUMMARY_SYSTEM, K.CHUNK_SUMMARY_USER.format(chunk=chunk)))
                 except Exception:  # noqa: BLE001
                     out.append(None)
             yield pdf.assign(summary=out)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from sifter.config import DigestConfig
 from sifter.functions import constants as K
+from sifter.functions.templates import fill
 from sifter.functions.text import normalize_sender, preview_text, strip_code_fence
 from sifter.operators.ordering import ordered_position
 
@@ -39,9 +40,8 @@ def triage_input(messages: DataFrame) -> DataFrame:
 
 def prompt_block(idx, subject, sender, preview) -> Column:
     """one message's block of the triage prompt."""
-    p = K.EMAIL_BLOCK_PARTS
-    return F.concat(F.lit(p[0]), F.col(idx).cast("string"), F.lit(p[1]), F.col(subject), F.lit(p[2]),
-                    F.col(sender), F.lit(p[3]), F.col(preview), F.lit(p[4]))
+    return fill(K.TRIAGE_EMAIL_TEMPLATE, index=F.col(idx).cast("string"), subject=F.col(subject),
+                sender=F.col(sender), preview=F.col(preview))
 
 
 def system_prompt(cfg: DigestConfig) -> str:
@@ -61,8 +61,8 @@ def batch_pack(batched: DataFrame, cfg: DigestConfig) -> DataFrame:
     agg = blocks.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_emails"),
                                          ordered_join(F.col("block"), F.col("idx"), "\n").alias("emails_block"))
     return agg.select("batch_id", "n_emails", F.lit(system_prompt(cfg)).alias("system"),
-                      F.concat(F.lit(K.TRIAGE_USER_HEAD), F.col("n_emails").cast("string"), F.lit(K.TRIAGE_USER_MID),
-                               F.col("emails_block")).alias("prompt"))
+                      fill(K.TRIAGE_USER, count=F.col("n_emails").cast("string"),
+                           emails_block=F.col("emails_block")).alias("prompt"))
 
 
 # ---------------------------------------------------------------------------

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sifter.functions import constants as K
+from sifter.functions.templates import sql_fill
 from sifter.operators import digest as D
 from sifter.plans import oracle as O
 from sifter.plans.catalog import CFG, register
@@ -25,11 +26,10 @@ ITEM_CTES = [*EXTRACT_CTES, SQL_TOK, SQL_ITEMS_F]
 
 
 def sql_item_block() -> str:
-    p = [O.q(x) for x in K.ITEM_BLOCK_PARTS]
     topics = f"CASE WHEN coalesce(len(topics), 0) > 0 THEN array_to_string(topics, ', ') ELSE {O.q(K.ITEM_NO_TOPICS)} END"
-    return (f"concat({p[0]}, source_name, {p[1]}, {topics}, {p[2]}, coalesce(category, 'None'), {p[3]}, "
-            f"{O.truncate_ellipsis('summary_text', K.ITEM_CONTENT_CHARS)}, {p[4]}, "
-            f"coalesce(link_url, {O.q(K.ITEM_NO_LINK)}), {p[5]})")
+    return sql_fill(K.SYNTHESIS_ITEM_TEMPLATE, source="source_name", topics=topics, category="coalesce(category, 'None')",
+                    content=O.truncate_ellipsis('summary_text', K.ITEM_CONTENT_CHARS),
+                    link=f"coalesce(link_url, {O.q(K.ITEM_NO_LINK)})")
 
 
 def sql_fallback_line() -> str:

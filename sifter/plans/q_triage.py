@@ -121,6 +121,7 @@ def q_score_sort(fx: Fixtures) -> DataFrame:
 
 from sifter.functions import constants as K  # noqa: E402
 from sifter.functions import text as T  # noqa: E402
+from sifter.functions.templates import sql_fill  # noqa: E402
 from sifter.sources.fixtures import REPLAY_MODES, replay_responses  # noqa: E402
 
 SQL_BATCHED = ("b", """
@@ -241,24 +242,20 @@ def q_assign_batches(fx: Fixtures) -> DataFrame:
     return batched(fx).select("id", "batch_id", "idx")
 
 
-@register("prompt_block", O.compose([SQL_BATCHED],
-    f"""SELECT id, concat({', '.join(O.q(p) if i % 2 == 0 else x for i, (p, x) in enumerate(zip(
-        [K.EMAIL_BLOCK_PARTS[0], '', K.EMAIL_BLOCK_PARTS[1], '', K.EMAIL_BLOCK_PARTS[2], '', K.EMAIL_BLOCK_PARTS[3], '',
-         K.EMAIL_BLOCK_PARTS[4]],
-        ['', 'CAST(idx AS VARCHAR)', '', 'subject', '', 'sender', '', O.preview_text('snippet', 'body_text'), ''])))}) AS block
-        FROM b"""))
+SQL_BLOCK = sql_fill(K.TRIAGE_EMAIL_TEMPLATE, index="CAST(idx AS VARCHAR)", subject="subject", sender="sender",
+                     preview=O.preview_text("snippet", "body_text"))
+
+
+@register("prompt_block", O.compose([SQL_BATCHED], f"SELECT id, {SQL_BLOCK} AS block FROM b"))
 def q_prompt_block(fx: Fixtures) -> DataFrame:
     """every message's block of its triage prompt."""
     return batched(fx).select("id", TR.prompt_block("idx", "subject", "sender", "preview").alias("block"))
 
 
-@register("batch_pack", O.compose([SQL_BATCHED, ("blk", f"""SELECT batch_id, idx, concat({O.q(K.EMAIL_BLOCK_PARTS[0])},
-        CAST(idx AS VARCHAR), {O.q(K.EMAIL_BLOCK_PARTS[1])}, subject, {O.q(K.EMAIL_BLOCK_PARTS[2])}, sender,
-        {O.q(K.EMAIL_BLOCK_PARTS[3])}, {O.preview_text('snippet', 'body_text')}, {O.q(K.EMAIL_BLOCK_PARTS[4])}) AS block
-        FROM b""")],
+@register("batch_pack", O.compose([SQL_BATCHED, ("blk", f"SELECT batch_id, idx, {SQL_BLOCK} AS block FROM b")],
     f"""SELECT batch_id, count(*) AS n_emails,
-               concat({O.q(K.TRIAGE_USER_HEAD)}, CAST(count(*) AS VARCHAR), {O.q(K.TRIAGE_USER_MID)},
-                      string_agg(block, chr(10) ORDER BY idx)) AS prompt
+               {sql_fill(K.TRIAGE_USER, count="CAST(count(*) AS VARCHAR)",
+                         emails_block="string_agg(block, chr(10) ORDER BY idx)")} AS prompt
         FROM blk GROUP BY batch_id"""))
 def q_batch_pack(fx: Fixtures) -> DataFrame:
     """A5: one triage prompt per batch of 20."""
