@@ -49,12 +49,11 @@ def drop_blocks(html, tags: list[str]) -> Column:
 
 
 def decode_entities(text, entities=K.HTML_ENTITIES) -> Column:
-    """Named character references -> characters; strings without '&' skip the chain."""
-    src = _c(text)
-    c = src
+    """Named character references -> characters (literal replaces, ``&amp;`` last)."""
+    c = _c(text)
     for ent, ch in entities:
         c = F.replace(c, F.lit(ent), F.lit(ch))
-    return F.when(F.instr(src, "&") > 0, c).otherwise(src)
+    return c
 
 
 # Entities that decode to whitespace must be decoded before nodes are stripped;
