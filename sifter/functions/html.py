@@ -62,6 +62,33 @@ SPACE_ENTITIES = [(e, ch) for e, ch in K.HTML_ENTITIES if ch.isspace()]
 OTHER_ENTITIES = [(e, ch) for e, ch in K.HTML_ENTITIES if not ch.isspace()]
 
 
+NUMERIC_REF_PATTERN = "&#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
+
+
+def _ref_codepoint(ref: Column) -> Column:
+    body = F.regexp_extract(ref, NUMERIC_REF_PATTERN, 1)
+    return F.when(body.startswith("x") | body.startswith("X"),
+                  F.conv(F.substring(body, 2, 10), 16, 10).cast("long")).otherwise(body.cast("long"))
+
+
+def _printable(n: Column) -> Column:
+    """Code points decoded from numeric references: printable ASCII and U+00A0 and
+    above, except surrogates (control characters are left as written)."""
+    return (n.between(0x20, 0x7E) | (n.between(0xA0, 0x10FFFF) & ~n.between(0xD800, 0xDFFF)))
+
+
+def decode_numeric_refs(node: Column) -> Column:
+    """``&#NNN;`` / ``&#xHH;`` -> the character, by folding ``replace`` over the
+    distinct references of one text node (``node`` must be cheap to repeat:
+    a lambda variable)."""
+    refs = F.array_distinct(F.regexp_extract_all(node, F.lit(NUMERIC_REF_PATTERN), 0))
+    folded = F.aggregate(refs, node, lambda acc, r: F.when(
+        _printable(_ref_codepoint(r)),
+        F.replace(acc, r, F.decode(F.unhex(F.lpad(F.hex(_ref_codepoint(r)), 8, "0")), "UTF-32")))
+        .otherwise(acc))
+    return F.when(F.instr(node, "&#") > 0, folded).otherwise(node)
+
+
 def text_nodes_joined(html_fragment, sep: str) -> Column:
     """Stripped, non-empty text nodes of a fragment joined by ``sep``.
 
@@ -69,7 +96,7 @@ def text_nodes_joined(html_fragment, sep: str) -> Column:
     the text nodes (entities decoded), each stripped, empty ones dropped.
     """
     marked = decode_entities(F.regexp_replace(_c(html_fragment), TAG_PATTERN, SEP), SPACE_ENTITIES)
-    nodes = F.transform(F.split(marked, SEP), lambda p: py_strip(p))
+    nodes = F.transform(F.split(marked, SEP), lambda p: py_strip(decode_numeric_refs(p)))
     return decode_entities(F.array_join(F.filter(nodes, lambda p: p != ""), sep), OTHER_ENTITIES)
 
 

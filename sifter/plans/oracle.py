@@ -127,8 +127,17 @@ def drop_blocks(x: str, tags: list[str]) -> str:
     return x
 
 
+def decode_numeric_refs(x: str) -> str:
+    cp = ("(CASE WHEN r ILIKE '&#x%' THEN TRY_CAST('0x' || substr(r, 4, length(r) - 4) AS BIGINT) "
+          "ELSE TRY_CAST(substr(r, 3, length(r) - 3) AS BIGINT) END)")
+    ok = f"(({cp} BETWEEN 32 AND 126) OR ({cp} BETWEEN 160 AND 1114111 AND {cp} NOT BETWEEN 55296 AND 57343))"
+    refs = f"list_distinct(regexp_extract_all({x}, {q(H.NUMERIC_REF_PATTERN)}, 0))"
+    return (f"list_reduce(list_prepend({x}, {refs}), "
+            f"lambda acc, r: CASE WHEN {ok} THEN replace(acc, r, chr(CAST({cp} AS INTEGER))) ELSE acc END)")
+
+
 def text_nodes_joined(x: str, sep_sql: str) -> str:
-    marked = rx_replace(x, H.TAG_PATTERN, "chr(1)")
+    marked = decode_numeric_refs(rx_replace(x, H.TAG_PATTERN, "chr(1)"))
     return py_strip(rx_replace(decode_entities(marked), H.BOUNDARY_PATTERN, sep_sql))
 
 

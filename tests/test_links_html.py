@@ -73,3 +73,8 @@ def test_main_content_container_order_and_cap(spark):
     got = col_values(spark, H.main_content, vals)
     assert got[:5] == ["A", "M", "B", "loose", ""]
     assert len(got[5]) == K.ARTICLE_CHARS
+
+
+def test_numeric_character_references(spark):
+    html = "<p>a&#8217;s &#x27;q&#X27; &#65;&#65;</p><p>&#160;</p><p>x&#32;</p>&amp;#39; &#0; <a>&#x1F600;</a>"
+    assert one(spark, H.html_to_text(F.col("x")), html) == "a’s 'q' AA\nx\n&#39; &#0;\n😀"
