@@ -189,3 +189,22 @@ def test_listing_text_in_order(spark):
     text = "".join(open(f).read() for f in sorted(glob.glob(f"{path}/part-*")))
     assert text.startswith("1. subj 29\n   From: s29@x\n   Date: Mon, 01 Jan 2024 00:00:29 +0000\n   Snippet: " + "x" * 120)
     assert text.count(". subj ") == 30 and text.index("2. subj 28") < text.index("30. subj 0")
+
+
+def test_run_digest_with_synthesizer(spark):
+    from sifter.plans.digest_run import run_digest
+    from sifter.sources.fixtures import load
+    fx = load(spark, "/root/testdata/sf0.001")
+    cfg = DigestConfig()
+    processed, runs = ST.read_state(spark, tempfile.mkdtemp(prefix="sifter-syn-"))
+
+    def synth(system, prompt):
+        assert prompt.startswith("Here are today's extracted newsletter items.") and "--- Item ---\nSource: " in prompt
+        return "## Topic\nBody"
+
+    out = run_digest(fx.messages(), fx.verdicts(), fx.pages(), processed, runs, F.lit(1704067200 + 86400), cfg,
+                     synthesizer=synth)
+    d = out.digest.first()
+    assert d.digest_md.startswith("## Topic\nBody\n\n## Sources\n- [")
+    assert 0 < d.n_items <= cfg.max_synthesis_items
+    assert d.digest_md.count("](https://mail.google.com/mail/u/0/#inbox/") == d.n_items   # one source per item
