@@ -5,13 +5,30 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from sifter.llm import decontam, html_density, langid, license_join
 from sifter.llm.bpe_codec import encode_decode
-from sifter.llm.common import prepare, table
+from sifter.llm.common import held_out, prepare, table
 from sifter.llm.token_counts import count_tokens
 from sifter.llm.token_file import token_digest
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(prepare(spark), sf_dir, "documents")
+    out = held_out(F.col("doc_id"), 4, 2)
+    return langid.predictions(docs, langid.dictionaries(docs, ~out)).select(
+        "doc_id", out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(prepare(spark), sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_density.extract(table(prepare(spark), sf_dir, "pages"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(prepare(spark), sf_dir, "documents"))
 
@@ -20,12 +37,17 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(prepare(spark), sf_dir, "documents"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_join.scan(table(prepare(spark), sf_dir, "documents"))
+
+
 def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(prepare(spark), table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_token_counts, op8_bpe, op10_token_file)}
+    return {f.__name__: f for f in (op3_language_id, op5_decontamination, op6_html_text, op7_token_counts,
+                                    op8_bpe, op9_license_scan, op10_token_file)}
 
 
 def oracle_sql() -> dict[str, str]:
