@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sifter.llm import backoff_lm, decontam, html_density, langid, license_join
+from sifter.llm import backoff_lm, decontam, html_density, langid, license_join, spotsigs
 from sifter.llm.bpe_codec import encode_decode
 from sifter.llm.common import held_out, prepare, table
 from sifter.llm.token_counts import count_tokens
 from sifter.llm.token_file import token_digest
 
 
+def op1_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.fingerprints(table(prepare(spark), sf_dir, "documents"))
+
+
 def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(prepare(spark), sf_dir, "documents")
     return backoff_lm.score_texts(docs, ~held_out(F.col("doc_id"), 7, 2))
@@ -51,7 +55,7 @@ def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_model, op3_language_id, op5_decontamination, op6_html_text, op7_token_counts,
+    return {f.__name__: f for f in (op1_spotsigs, op2_language_model, op3_language_id, op5_decontamination, op6_html_text, op7_token_counts,
                                     op8_bpe, op9_license_scan, op10_token_file)}
 
 
