@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sifter.llm import backoff_lm, decontam, html_density, langid, license_join, spotsigs
+from sifter.llm import backoff_lm, decontam, html_density, langid, license_join, minhash_tensor, spotsigs
 from sifter.llm.bpe_codec import encode_decode
 from sifter.llm.common import held_out, prepare, table
 from sifter.llm.token_counts import count_tokens
@@ -30,6 +30,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_tensor.near_duplicates(table(prepare(spark), sf_dir, "documents"), shingle=2, percent=80)
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(prepare(spark), sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -55,7 +59,7 @@ def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_spotsigs, op2_language_model, op3_language_id, op5_decontamination, op6_html_text, op7_token_counts,
+    return {f.__name__: f for f in (op1_spotsigs, op2_language_model, op3_language_id, op4_near_duplicates, op5_decontamination, op6_html_text, op7_token_counts,
                                     op8_bpe, op9_license_scan, op10_token_file)}
 
 
