@@ -34,8 +34,11 @@ def assign_batches(messages: DataFrame, batch_size: int = K.TRIAGE_BATCH_SIZE) -
 
 def triage_input(messages: DataFrame) -> DataFrame:
     """The columns triage reads: the 600-character preview replaces the body, so
-    batching shuffles and materialises narrow rows only."""
-    return messages.select("id", "ord", "subject", "sender", preview_text("snippet", "body_text").alias("preview"))
+    batching shuffles and materialises narrow rows only.  A NULL field reads as '' (a NULL
+    block would drop out of the prompt and shift every later verdict of its batch)."""
+    text = lambda c: F.coalesce(c, F.lit(""))
+    return messages.select("id", "ord", text(F.col("subject")).alias("subject"), text(F.col("sender")).alias("sender"),
+                           text(preview_text("snippet", "body_text")).alias("preview"))
 
 
 def prompt_block(idx, subject, sender, preview) -> Column:
@@ -72,10 +75,11 @@ def batch_pack(batched: DataFrame, cfg: DigestConfig) -> DataFrame:
 ModelFn = Callable[[str, str], str]
 
 
-def score_batches(packed: DataFrame, model: ModelFn) -> DataFrame:
+def score_batches(packed: DataFrame, model: ModelFn, parallelism: int | None = None) -> DataFrame:
     """Call ``model(system, prompt) -> text`` once per batch; an exception gives NULL.
 
-    Runs in ``mapInPandas`` (Arrow batches, one callable per partition).  The
+    Runs in ``mapInPandas`` (Arrow batches, one callable per partition), the prompts spread
+    over ``parallelism`` tasks (default: the shuffle partitions).  The
     result must be materialised once by the caller (``checkpoint``) so a retry
     or a second action does not call the model again.
     """
@@ -89,7 +93,8 @@ def score_batches(packed: DataFrame, model: ModelFn) -> DataFrame:
                     out.append(None)
             yield pd.DataFrame({"batch_id": pdf["batch_id"], "n_emails": pdf["n_emails"], "response": out})
 
-    return packed.select("batch_id", "n_emails", "system", "prompt").mapInPandas(
+    tasks = parallelism or int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return packed.select("batch_id", "n_emails", "system", "prompt").repartition(tasks, "batch_id").mapInPandas(
         run, "batch_id long, n_emails long, response string")
 
 
@@ -97,15 +102,18 @@ def score_batches(packed: DataFrame, model: ModelFn) -> DataFrame:
 # Reading the model output with the reference's failure rules
 # ---------------------------------------------------------------------------
 
-# A complete JSON scalar (the parser below accepts trailing text after a value;
-# the reference's parser does not).
-_JSON_SCALAR = r'\A(-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?|true|false|null|"([^"\\]|\\.)*")\z'
+#: Name of the field that must still stand behind the value for it to be complete.
+_AFTER = "\u0001after"
 
 
-def _complete_json(text: Column) -> Column:
-    return (F.when(text.startswith("["), text.endswith("]"))
-            .when(text.startswith("{"), text.endswith("}"))
-            .otherwise(text.rlike(_JSON_SCALAR)))
+def _strict_json(text: Column) -> Column:
+    """The text as one complete JSON value, else NULL.
+
+    The parser accepts words after a value, so the value is parsed as a field
+    with another one behind it: anything between the two makes the object invalid."""
+    holder = F.try_parse_json(F.concat(F.lit('{"value":'), text, F.lit(',"\\u0001after":0}')))
+    whole = F.try_variant_get(holder, f"$['{_AFTER}']", "int") == 0
+    return F.when(whole, F.try_variant_get(holder, "$.value", "variant"))
 
 
 def _kind(v: Column) -> Column:
@@ -139,7 +147,7 @@ def read_responses(responses: DataFrame) -> DataFrame:
     """
     empty = F.array().cast("array<variant>")
     r = responses.select("batch_id", "n_emails", "response", strip_code_fence(F.col("response")).alias("_t"))
-    r = r.select("*", F.when(_complete_json(F.col("_t")), F.try_parse_json(F.col("_t"))).alias("_v"))
+    r = r.select("*", _strict_json(F.col("_t")).alias("_v"))
     r = r.select("*", _kind(F.col("_v")).alias("_kind"))
     kind = F.col("_kind")
     r = r.select("*", F.when(kind.startswith("ARRAY"), F.try_variant_get(F.col("_v"), "$", "array<variant>"))

@@ -21,21 +21,24 @@ def _leaf(mime: str, text: str) -> str:
 
 
 SQL_RAW = ("raw", f"""
-SELECT id, ord, json_object('snippet', snippet, 'payload', json_object(
-  'mimeType', 'multipart/mixed',
-  'headers', CASE WHEN ord % 50 <> 7 THEN list_concat(
+SELECT id, ord, json_object('snippet', snippet, 'payload', json_object('mimeType', 'multipart/mixed', 'headers', headers,
+  'parts', CASE WHEN ord % 40 = 9
+                THEN concat(repeat('[{{"mimeType":"multipart/mixed","parts":', 12), parts, repeat('}}]', 12))::JSON
+                ELSE parts::JSON END))::VARCHAR AS payload_json
+FROM (
+SELECT id, ord, snippet,
+  CASE WHEN ord % 50 <> 7 THEN list_concat(
       [json_object('name', 'Subject', 'value', subject), json_object('name', 'From', 'value', sender),
        json_object('name', 'Date', 'value', strftime(to_timestamp(received_epoch), '%a, %d %b %Y %H:%M:%S +0000'))],
-      CASE WHEN ord % 5 = 0 THEN [json_object('name', 'SUBJECT', 'value', concat('Re: ', subject))] ELSE [] END) END,
-  'parts', list_concat(
+      CASE WHEN ord % 5 = 0 THEN [json_object('name', 'SUBJECT', 'value', concat('Re: ', subject))] ELSE [] END) END AS headers,
+  to_json(list_concat(
       [json_object('mimeType', 'multipart/alternative', 'parts',
           CASE WHEN body_html <> '' THEN [{_leaf('text/plain', 'body_text')}, {_leaf('text/html', 'body_html')}]
                ELSE [{_leaf('text/plain', 'body_text')}] END)],
       CASE WHEN ord % 4 = 0 THEN [json_object('mimeType', 'application/pdf', 'body', json_object('data', 'JVBERi0xLjQK'))]
            ELSE [] END,
-      CASE WHEN ord % 3 = 0 THEN [{_leaf('text/plain', "concat('-- sent to reader ', id)")}] ELSE [] END)
-))::VARCHAR AS payload_json
-FROM messages""")
+      CASE WHEN ord % 3 = 0 THEN [{_leaf('text/plain', "concat('-- sent to reader ', id)")}] ELSE [] END))::VARCHAR AS parts
+FROM messages)""")
 
 SQL_HDR = [
     ("hp", """SELECT id, json_extract(payload_json, '$.payload.headers') AS h,
@@ -97,13 +100,11 @@ SELECT r.id,
          AS body_html,
        coalesce((SELECT string_agg(text, chr(10) ORDER BY path) FROM leaves l WHERE l.id = r.id AND mime = 'text/plain'), '')
          AS body_text,
-       (SELECT count(*) FROM nodes n WHERE n.id = r.id) AS n_parts,
-       false AS mime_overflow
+       (SELECT count(*) FROM nodes n WHERE n.id = r.id) AS n_parts
 FROM raw r""", recursive=True))
 def q_flatten_mime(fx: Fixtures) -> DataFrame:
     """Decoded HTML and text bodies of every payload (pre-order, newline-joined)."""
-    return M.flatten_mime(raw(fx)).select("id", "body_html", "body_text", F.col("n_parts").cast("long").alias("n_parts"),
-                                          "mime_overflow")
+    return M.flatten_mime(raw(fx)).select("id", "body_html", "body_text", F.col("n_parts").cast("long").alias("n_parts"))
 
 
 @register("decode_base64url", O.compose([SQL_RAW, *SQL_WALK],

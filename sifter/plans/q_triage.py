@@ -165,6 +165,9 @@ SQL_REPLAY = [
                    WHEN 11 THEN '{}'
                    WHEN 12 THEN concat('{"verdicts":', a, '}')
                    WHEN 15 THEN concat(a, ' trailing words')
+                   WHEN 16 THEN concat(a, ' see [1]')
+                   WHEN 17 THEN concat(a, '[]')
+                   WHEN 18 THEN '{} and {}'
                    ELSE a END AS response
                FROM arr"""),
 ]

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the operators depend on for correct results.
 REQUIRED_CONF = {
@@ -79,6 +80,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """Write an intermediate table once, as Parquet, under the shared checkpoint folder and read it back.
+
+    Columnar (later reads prune columns), it cuts the lineage and survives lost executors."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: str = "sifter",
                   extra: dict | None = None) -> SparkSession:
     b = SparkSession.builder.master(master).appName(app)

@@ -135,19 +135,20 @@ def load(spark: SparkSession, sf_dir: str) -> Fixtures:
 # Replayed model output for triage batches
 # ---------------------------------------------------------------------------
 
-REPLAY_MODES = 16   # batch_id % 16 picks how the recorded output is shaped
+REPLAY_MODES = 19   # batch_id % 19 picks how the recorded output is shaped
 
 
 def replay_responses(batched: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Model output per triage batch, replayed from the verdicts view.
 
     Each batch's output is the JSON array of its rows' verdicts, shaped by
-    ``batch_id % 16`` into every case the reader must handle: valid (0),
+    ``batch_id % 19`` into every case the reader must handle: valid (0),
     a null score (1), a non-numeric score (2), boolean and string scores (3),
     code fence (4), truncated JSON (5), empty text (6), failed call (7),
     short array (8), long array (9), ``[]`` (10), ``{}`` (11), non-empty
     object (12), element that is not an object (13), missing keys / null
-    and unknown category (14), trailing text after the array (15).
+    and unknown category (14), trailing text after the array (15), a second
+    array in it (16) or right behind the first (17), two objects (18).
     Output: (batch_id, n_emails, response).
     """
     j = batched.select("id", "batch_id", "idx").join(
@@ -191,6 +192,9 @@ def replay_responses(batched: DataFrame, verdicts: DataFrame) -> DataFrame:
                 .when(m == 11, F.lit("{}"))
                 .when(m == 12, F.concat(F.lit('{"verdicts":'), a, F.lit("}")))
                 .when(m == 15, F.concat(a, F.lit(" trailing words")))
+                .when(m == 16, F.concat(a, F.lit(" see [1]")))
+                .when(m == 17, F.concat(a, F.lit("[]")))
+                .when(m == 18, F.lit("{} and {}"))
                 .otherwise(a))
     return per_batch.select("batch_id", "n_emails", arr.alias("_arr")).select(
         "batch_id", "n_emails", response.alias("response"))
@@ -213,13 +217,17 @@ def _node(mime: str, data: Column | None = None, parts: Column | None = None) ->
                     (parts if parts is not None else F.lit(None).cast(leaf_t)).alias("parts"))
 
 
+WRAPPERS = 12
+
+
 def raw_payloads(messages: DataFrame) -> DataFrame:
     """(id, ord, payload_json): each message as the mail API returns it.
 
     Shapes by ``ord``: a multipart/alternative (text + html unless the HTML is
     empty) inside multipart/mixed; a duplicate, differently-cased Subject
     header on every 5th (last one wins); an attachment on every 4th; a second
-    text part (a footer) on every 3rd; headers missing on every 50th (+7).
+    text part (a footer) on every 3rd; headers missing on every 50th (+7); the
+    whole tree wrapped into twelve more multiparts on every 40th (+9).
     """
     o = F.col("ord")
     date = F.date_format(F.timestamp_seconds(F.col("received_epoch")), "EEE, dd MMM yyyy HH:mm:ss '+0000'")
@@ -247,4 +255,8 @@ def raw_payloads(messages: DataFrame) -> DataFrame:
     payload = F.struct(F.lit("multipart/mixed").alias("mimeType"),
                        F.when(o % 50 != 7, headers).alias("headers"), parts.alias("parts"))
     msg = F.struct(F.col("snippet").alias("snippet"), payload.alias("payload"))
-    return messages.select("id", "ord", F.to_json(msg).alias("payload_json"))
+    plain = F.to_json(msg)
+    own = F.to_json(parts)      # stands once in the payload, as the value of its "parts"
+    deep = F.replace(plain, own, F.concat(F.lit('[{"mimeType":"multipart/mixed","parts":' * WRAPPERS), own,
+                                          F.lit("}]" * WRAPPERS)))
+    return messages.select("id", "ord", F.when(o % 40 == 9, deep).otherwise(plain).alias("payload_json"))

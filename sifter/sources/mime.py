@@ -1,9 +1,12 @@
 """Raw message payloads: headers, malformed rows, MIME part tree, base64url bodies.
 
-The payload is JSON text (one per message).  It is parsed once to VARIANT;
-the recursive part tree is walked level by level with higher-order functions
-inside the row (no explode, no shuffle), and the pre-order of the reference's
-recursive walk is recovered by sorting the nodes by their index path.
+The payload is JSON text (one per message).  It is parsed once to VARIANT.  The
+part tree of ordinary payloads is walked level by level with higher-order
+functions inside the row (no explode, no shuffle).  Payloads that may be nested
+deeper are walked by a frontier: each round explodes the children of the last
+level's nodes, of those rows only, until no node has children — there is no
+depth limit.  The pre-order of a recursive walk is recovered by sorting the
+nodes by their index path.
 """
 
 from __future__ import annotations
@@ -12,8 +15,9 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from sifter.functions import constants as K
+from sifter.session import stored
 
-MAX_DEPTH = 8          # nesting levels walked; deeper parts are reported, not dropped silently
+IN_ROW_LEVELS = 8      # levels walked inside the row; payloads with more part lists take the frontier walk
 HEADER_TYPE = "array<struct<name:string,value:string>>"
 NODE_TYPE = "struct<path:array<int>,mime:string,data:string>"
 
@@ -81,38 +85,63 @@ def _node_info(level: Column) -> Column:
         F.coalesce(F.try_variant_get(n["node"], "$.body.data", "string"), F.lit("")).alias("data")))
 
 
-def mime_nodes(raw: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """Every node of each payload's part tree as array<struct(path, mime, data)> in pre-order,
-    plus ``mime_overflow`` = parts exist below ``max_depth``."""
-    v = with_variant(raw)
-    cur = v.select("id", F.array(F.struct(F.array().cast("array<int>").alias("path"),
-                                          F.try_variant_get(F.col("_msg"), "$.payload", "variant").alias("node")))
-                   .alias("_l0"))
-    names = ["_l0"]
-    for d in range(1, max_depth + 1):
+def _part_lists(payload_json: Column) -> Column:
+    """How often the payload names a part list: no tree is nested deeper than that."""
+    return F.size(F.split(payload_json, '"parts"', -1)) - 1
+
+
+def _root(msg: Column) -> Column:
+    return F.try_variant_get(msg, "$.payload", "variant")
+
+
+def _levels(start: DataFrame, n: int) -> DataFrame:
+    """``start`` (id, path, node) with ``nodes``, the infos of the first ``n`` levels below and with each
+    node, and ``below``, the children of the last of them."""
+    cur = start.select("id", F.array(F.struct("path", "node")).alias("_l0"))
+    for d in range(1, n + 1):
         cur = cur.select("*", _children(F.col(f"_l{d - 1}")).alias(f"_l{d}"))
-        names.append(f"_l{d}")
-    overflow = F.size(_children(F.col(names[-1]))) > 0
-    info = F.concat(*[_node_info(F.col(n)) for n in names])
-    return cur.select("id", F.array_sort(info).alias("nodes"), overflow.alias("mime_overflow"))
+    return cur.select("id", F.concat(*[_node_info(F.col(f"_l{d}")) for d in range(n)]).alias("nodes"), F.col(f"_l{n}").alias("below"))
+
+
+def _roots(raw: DataFrame) -> DataFrame:
+    return with_variant(raw).select("id", F.array().cast("array<int>").alias("path"), _root(F.col("_msg")).alias("node"))
+
+
+def _nodes_by_frontier(raw: DataFrame, levels: int) -> DataFrame:
+    """The walk of deeply nested payloads: ``levels`` levels a round, then only the nodes below them."""
+    frontier, found = _roots(raw), None
+    while not frontier.isEmpty():
+        walked = stored(_levels(frontier, levels), "mime-levels")
+        info = walked.select("id", F.inline("nodes"))
+        found = info if found is None else found.unionAll(info)
+        frontier = walked.where(F.size("below") > 0).select("id", F.inline("below"))
+    return found.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("path", "mime", "data"))).alias("nodes"))
+
+
+def mime_nodes(raw: DataFrame, levels: int = IN_ROW_LEVELS) -> DataFrame:
+    """Every node of each payload's part tree, at any depth, as array<struct(path, mime, data)> in pre-order."""
+    deep = raw.where(_part_lists(F.col("payload_json")) > levels)
+    flat = raw.where(F.coalesce(_part_lists(F.col("payload_json")), F.lit(0)) <= levels)
+    nodes = _levels(_roots(flat), levels + 1).select("id", F.array_sort("nodes").alias("nodes"))
+    return nodes if deep.isEmpty() else nodes.unionAll(_nodes_by_frontier(deep, levels))
 
 
-def flatten_mime(raw: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """(id, body_html, body_text, n_parts, mime_overflow): decoded text/html and
-    text/plain leaves with data, each kind joined by newline in pre-order."""
-    nodes = mime_nodes(raw, max_depth)
+def flatten_mime(raw: DataFrame) -> DataFrame:
+    """(id, body_html, body_text, n_parts): decoded text/html and text/plain leaves with data,
+    each kind joined by newline in pre-order."""
+    nodes = mime_nodes(raw)
 
     def joined(mime: str) -> Column:
         sel = F.filter("nodes", lambda n: (n["mime"] == mime) & (n["data"] != ""))
         return F.array_join(F.transform(sel, lambda n: decode_base64url(n["data"])), "\n")
 
     return nodes.select("id", joined("text/html").alias("body_html"), joined("text/plain").alias("body_text"),
-                        F.size("nodes").alias("n_parts"), "mime_overflow")
+                        F.size("nodes").alias("n_parts"))
 
 
-def decoded_parts(raw: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def decoded_parts(raw: DataFrame) -> DataFrame:
     """S5 per part: (id, path, mime, text) for every text leaf with data."""
-    nodes = mime_nodes(raw, max_depth)
+    nodes = mime_nodes(raw)
     leaves = nodes.select("id", F.inline(F.filter("nodes", lambda n: n["mime"].isin("text/html", "text/plain")
                                                   & (n["data"] != ""))))
     return leaves.select("id", F.array_join(F.col("path").cast("array<string>"), ".").alias("path"), "mime",

@@ -96,7 +96,23 @@ def test_mime_payloads(spark):
     assert (h["1"].subject, h["1"].sender, h["1"].date, h["1"].snippet) == ("second", "A <a@b>", "", "sn")
     body = {r.id: r for r in M.flatten_mime(raw).collect()}
     assert body["1"].body_text == "héllo\nab��c" and body["1"].body_html == "<p>x</p>"
-    assert body["2"].body_text == "x" and body["1"].mime_overflow is False
+    assert body["2"].body_text == "x"
+
+
+def test_mime_tree_of_any_depth(spark):
+    def nested(depth):
+        node = {"mimeType": "text/plain", "body": {"data": _b64(f"at {depth}".encode())}}
+        for _ in range(depth):
+            node = {"mimeType": "multipart/mixed", "parts": [
+                {"mimeType": "text/plain", "body": {"data": _b64(b"side")}}, node]}
+        return json.dumps({"payload": node})
+
+    raw = spark.createDataFrame([(str(d), nested(d)) for d in (0, 8, 9, 12, 30)], "id string, payload_json string")
+    body = {r.id: r for r in M.flatten_mime(raw).collect()}
+    for d in (0, 8, 9, 12, 30):
+        assert body[str(d)].body_text == "\n".join(["side"] * d + [f"at {d}"]) and body[str(d)].n_parts == 2 * d + 1
+    parts = M.decoded_parts(raw).where("id = '30'").collect()
+    assert len(parts) == 31 and max(r.path.count(".") for r in parts) == 29
 
 
 def test_full_run_with_model_and_state(spark):
