@@ -1,148 +1,156 @@
 """Native HTML-to-text expressions (F4, F5, F6) built from regular expressions.
 
-The text of a document is the sequence of its text nodes.  Tags are replaced by
-a separator character, the string is split there, and every node is stripped
-(``btrim``), empty ones dropped and the rest joined — "strip every node, drop
-the empty ones, join them".
-Nested elements of the same name and numeric character references are the
-known differences to a real parser (see ``html_parser_udf`` for the
-parser-grade path).
+The text of a document is the sequence of its text nodes.  Comments and dropped
+elements are found in one left-to-right alternation (what opens first wins, so a
+comment mark inside a script is script text); they and the tags are replaced by a
+separator character, the string is split there, and every node is decoded and
+stripped (``btrim``), empty ones dropped and the rest joined.  Tags may hold
+quoted ``>``; an unclosed element or comment runs to the end of the text.
+Character references follow the HTML rules: all named ones (the standard
+library's table), those that need no semicolon, and numeric ones with the
+Windows-1252 corrections; each is decoded once.  Nested elements of the same
+name are the known difference to a real parser.
 """
 
 from __future__ import annotations
 
+import html.entities
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sifter.functions import constants as K
-from sifter.functions.text import PY_WS, _c, py_strip, strip_invisible
+from sifter.functions.text import _c, py_strip, strip_invisible
 
 SEP = "\u0001"
-SEP_RE = "\\x{1}"
-COMMENT_PATTERN = "(?s)<!--.*?-->"
-TAG_PATTERN = "</?[A-Za-z][^>]*>|<![^>]*>|<\\?[^>]*>"
-BOUNDARY_PATTERN = f"{PY_WS}*(?:{SEP_RE}{PY_WS}*)+"
+ATTRIBUTES = "(?:[^>\"']|\"[^\"]*\"|'[^']*')*+"
+COMMENT_PATTERN = "<!--.*?(?:-->|\\z)"
+# a tag with well-formed attributes, else (a stray quote) up to the next '>'
+TAG_PATTERN = f"</?[A-Za-z]{ATTRIBUTES}>|</?[A-Za-z][^>]*>|<![^>]*>|<\\?[^>]*>"
 
 
-def block_pattern(tag: str) -> str:
-    return f"(?is)<{tag}\\b[^>]*>.*?</{tag}\\s*>"
+def element_pattern(tag: str) -> str:
+    """A whole element; an unclosed one runs to the end."""
+    return f"<{tag}\\b{ATTRIBUTES}>.*?(?:</{tag}\\s*>|\\z)"
 
 
 def container_pattern(tag: str) -> str:
     """Inner HTML of the first ``tag`` element; an unclosed one runs to the end."""
-    return f"(?is)<{tag}\\b[^>]*>(.*?)(?:</{tag}\\s*>|\\z)"
+    return f"(?is)<{tag}\\b{ATTRIBUTES}>(.*?)(?:</{tag}\\s*>|\\z)"
 
 
 def presence_pattern(tag: str) -> str:
     return f"(?is)<{tag}\\b"
 
 
-def drop_comments(html) -> Column:
-    return F.regexp_replace(_c(html), COMMENT_PATTERN, "")
-
-
-def drop_blocks(html, tags: list[str]) -> Column:
-    c = _c(html)
-    for t in tags:
-        c = F.regexp_replace(c, block_pattern(t), "")
-    return c
+def drop_elements(html_text, tags: list[str]) -> Column:
+    """Comments and the elements of ``tags`` -> a separator, in one pass from left to right."""
+    pattern = "|".join([COMMENT_PATTERN, *map(element_pattern, tags)])
+    return F.regexp_replace(_c(html_text), f"(?is){pattern}", SEP)
 
 
-def decode_entities(text, entities=K.HTML_ENTITIES) -> Column:
-    """Named character references -> characters (literal replaces, ``&amp;`` last)."""
-    c = _c(text)
-    for ent, ch in entities:
-        c = F.replace(c, F.lit(ent), F.lit(ch))
-    return c
+# ---------------------------------------------------------------- character references
 
+REFERENCE = "\\A(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;?)"
+_NAMED = {name: value for name, value in html.entities.html5.items() if name.endswith(";")}
+_BARE = sorted((name for name in html.entities.html5 if not name.endswith(";")), key=len, reverse=True)
+BARE_PATTERN = "\\A(" + "|".join(_BARE) + ")"
+#: The characters that references to 128-159 stand for (code page 1252).
+C1_POINTS = {str(128 + i): str(ord(bytes([128 + i]).decode("cp1252"))) for i in range(32) if 128 + i not in (129, 141, 143, 144, 157)}
 
-# Entities that decode to whitespace must be decoded before nodes are stripped;
-# every other one can be decoded once on the joined (much shorter) text.
-SPACE_ENTITIES = [(e, ch) for e, ch in K.HTML_ENTITIES if ch.isspace()]
-OTHER_ENTITIES = [(e, ch) for e, ch in K.HTML_ENTITIES if not ch.isspace()]
 
+def _literal_map(pairs: dict[str, str]) -> Column:
+    """A constant map, written as one JSON literal that the optimizer folds."""
+    return F.from_json(F.lit(json.dumps(pairs)), "map<string,string>")
 
-NUMERIC_REF_PATTERN = "&#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
 
+def _character(n: Column) -> Column:
+    """The character of a numeric reference."""
+    valid = n.between(1, 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
+    point = F.when(n.between(128, 159), F.coalesce(F.element_at(_literal_map(C1_POINTS), n.cast("string")).cast("long"), n)).otherwise(n)
+    text = F.decode(F.unhex(F.lpad(F.hex(point.cast("long")), 8, "0")), "UTF-32")
+    return F.when(valid, text).otherwise(F.lit("\ufffd"))
 
-def _ref_codepoint(ref: Column) -> Column:
-    body = F.regexp_extract(ref, NUMERIC_REF_PATTERN, 1)
-    return F.when(body.startswith("x") | body.startswith("X"),
-                  F.conv(F.substring(body, 2, 10), 16, 10).cast("long")).otherwise(body.cast("long"))
 
+def _decode_piece(piece: Column) -> Column:
+    """Text behind an ampersand -> the text with its reference decoded (as written where it is none)."""
+    ref = F.regexp_extract(piece, REFERENCE, 1)
+    digits = F.regexp_replace(ref, "[#xX;]", "")
+    hexadecimal = F.lower(F.substring(ref, 2, 1)) == "x"
+    # more digits than any character has
+    number = F.when(F.length(F.ltrim(F.lit("0"), digits)) > 7, F.lit(0x110000)).when(
+        hexadecimal, F.conv(digits, 16, 10).cast("long")).otherwise(digits.cast("long"))
+    bare = F.regexp_extract(piece, BARE_PATTERN, 1)
+    named = F.element_at(_literal_map(_NAMED), ref)
+    rest = lambda found: F.substring(piece, F.length(found) + 1, F.length(piece))
+    return (F.when(piece.startswith("amp;"), F.concat(F.lit("&"), F.substring(piece, F.lit(5), F.length(piece))))
+            .when(ref == "", F.concat(F.lit("&"), piece))
+            .when(ref.startswith("#"), F.concat(_character(number), rest(ref)))
+            .when(named.isNotNull(), F.concat(named, rest(ref)))
+            .when(bare != "", F.concat(F.element_at(_literal_map({n: html.entities.html5[n] for n in _BARE}), bare), rest(bare)))
+            .otherwise(F.concat(F.lit("&"), piece)))
 
-def _printable(n: Column) -> Column:
-    """Code points decoded from numeric references: printable ASCII and U+00A0 and
-    above, except surrogates (control characters are left as written)."""
-    return (n.between(0x20, 0x7E) | (n.between(0xA0, 0x10FFFF) & ~n.between(0xD800, 0xDFFF)))
 
-
-def decode_numeric_refs(node: Column) -> Column:
-    """``&#NNN;`` / ``&#xHH;`` -> the character, by folding ``replace`` over the
-    distinct references of one text node (``node`` must be cheap to repeat:
-    a lambda variable)."""
-    refs = F.array_distinct(F.regexp_extract_all(node, F.lit(NUMERIC_REF_PATTERN), 0))
-    folded = F.aggregate(refs, node, lambda acc, r: F.when(
-        _printable(_ref_codepoint(r)),
-        F.replace(acc, r, F.decode(F.unhex(F.lpad(F.hex(_ref_codepoint(r)), 8, "0")), "UTF-32")))
-        .otherwise(acc))
-    return F.when(F.instr(node, "&#") > 0, folded).otherwise(node)
+def decode_references(text: Column) -> Column:
+    """Every character reference decoded once (``text`` must be cheap to repeat, such as a lambda variable)."""
+    pieces = F.split(text, "&")
+    decoded = F.concat(F.get(pieces, F.lit(0)), F.array_join(F.transform(F.slice(pieces, 2, F.size(pieces)), _decode_piece), ""))
+    return F.when(F.instr(text, "&") > 0, decoded).otherwise(text)
 
 
 def text_nodes_joined(html_fragment, sep: str) -> Column:
-    """Stripped, non-empty text nodes of a fragment joined by ``sep``.
-
-    Tags become a separator character; the pieces between separators are
-    the text nodes (entities decoded), each stripped, empty ones dropped.
-    """
-    marked = decode_entities(F.regexp_replace(_c(html_fragment), TAG_PATTERN, SEP), SPACE_ENTITIES)
-    nodes = F.transform(F.split(marked, SEP), lambda p: py_strip(decode_numeric_refs(p)))
-    return decode_entities(F.array_join(F.filter(nodes, lambda p: p != ""), sep), OTHER_ENTITIES)
+    """Stripped, non-empty text nodes of a fragment joined by ``sep``."""
+    nodes = F.split(F.regexp_replace(_c(html_fragment), f"(?s){TAG_PATTERN}", SEP), SEP)
+    nodes = F.transform(nodes, lambda p: py_strip(decode_references(p)))
+    return F.array_join(F.filter(nodes, lambda p: p != ""), sep)
 
 
-def html_to_text(html) -> Column:
+def html_to_text(html_text) -> Column:
     """body HTML -> plain text (script/style/head dropped, nodes joined by newline)."""
-    cleaned = drop_blocks(drop_comments(html), K.BODY_DROP_TAGS)
-    text = strip_invisible(text_nodes_joined(cleaned, "\n"))
+    text = strip_invisible(text_nodes_joined(drop_elements(html_text, K.BODY_DROP_TAGS), "\n"))
     return py_strip(F.regexp_replace(text, "\\n{3,}", "\n\n"))
 
 
-def main_content(html) -> Column:
+def main_content(html_text) -> Column:
     """linked-article text: first article/main/body container, capped at 8000 chars.
 
     The cap is applied before invisible characters are removed and there is no
     final strip (the reference's order).
     """
-    cleaned = drop_blocks(drop_comments(html), K.ARTICLE_DROP_TAGS)
+    cleaned = drop_elements(html_text, K.ARTICLE_DROP_TAGS)
     chosen = F.when(cleaned.rlike(presence_pattern(K.ARTICLE_CONTAINERS[0])),
                     F.regexp_extract(cleaned, container_pattern(K.ARTICLE_CONTAINERS[0]), 1))
     for tag in K.ARTICLE_CONTAINERS[1:]:
         chosen = chosen.when(cleaned.rlike(presence_pattern(tag)),
                              F.regexp_extract(cleaned, container_pattern(tag), 1))
     # no <body> tag at all: the parser puts any loose content into an implied body
-    chosen = chosen.otherwise(F.regexp_replace(cleaned, block_pattern("head"), ""))
+    chosen = chosen.otherwise(F.regexp_replace(cleaned, "(?is)" + element_pattern("head"), SEP))
     text = F.regexp_replace(text_nodes_joined(chosen, "\n"), "\\n{3,}", "\n\n")
     return strip_invisible(F.substring(text, 1, K.ARTICLE_CHARS))
 
 
-ANCHOR_PATTERN = "(?is)<a\\s[^>]*>.*?</a\\s*>"
-ANCHOR_OPEN_PATTERN = "(?is)\\A<a\\s[^>]*>"
-ANCHOR_INNER_PATTERN = "(?is)\\A<a\\s[^>]*>(.*)</a\\s*>\\z"
+ANCHOR_PATTERN = f"(?is)<a\\s{ATTRIBUTES}>.*?</a\\s*>"
+ANCHOR_OPEN_PATTERN = f"(?is)\\A<a\\s{ATTRIBUTES}>"
+ANCHOR_INNER_PATTERN = f"(?is)\\A<a\\s{ATTRIBUTES}>(.*)</a\\s*>\\z"
 HREF_PATTERN = "(?is)\\shref\\s*=\\s*(?:\"([^\"]*)\"|'([^']*)'|([^\\s\"'>]+))"
+HAS_HREF_PATTERN = "(?is)\\A<a\\s(?:[^>\"']|\"[^\"]*\"|'[^']*')*?\\bhref\\s*="
 
 
-def anchors(html) -> Column:
-    """raw ``<a ...>...</a>`` elements in document order (comments/scripts excluded)."""
-    cleaned = drop_blocks(drop_comments(html), ["script", "style"])
-    return F.regexp_extract_all(F.coalesce(cleaned, F.lit("")), F.lit(ANCHOR_PATTERN), 0)
+def anchors(html_text) -> Column:
+    """raw ``<a href=...>...</a>`` elements in document order (comments/scripts excluded)."""
+    cleaned = drop_elements(html_text, ["script", "style"])
+    found = F.regexp_extract_all(F.coalesce(cleaned, F.lit("")), F.lit(ANCHOR_PATTERN), 0)
+    return F.filter(found, lambda a: a.rlike(HAS_HREF_PATTERN))
 
 
 def anchor_href(anchor) -> Column:
-    """Stripped, entity-decoded ``href`` value ('' when absent)."""
+    """Stripped, decoded ``href`` value."""
     open_tag = F.regexp_extract(_c(anchor), ANCHOR_OPEN_PATTERN, 0)
     raw = F.concat(F.regexp_extract(open_tag, HREF_PATTERN, 1), F.regexp_extract(open_tag, HREF_PATTERN, 2),
                    F.regexp_extract(open_tag, HREF_PATTERN, 3))
-    return py_strip(decode_entities(raw))
+    # as a lambda variable the extracted value is computed once
+    return py_strip(F.get(F.transform(F.array(raw), decode_references), F.lit(0)))
 
 
 def anchor_text(anchor) -> Column:

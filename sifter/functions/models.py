@@ -3,7 +3,9 @@
 ``rubric_model`` answers a triage prompt the way the rubric rules (J5) label
 messages, as the JSON array the scoring contract expects; the native
 ``rubric_label`` operator computes the same verdicts without Python.
-``failing_model`` always raises, which exercises every failure default.
+``lead_model`` and ``counting_model`` answer summary and synthesis prompts
+deterministically; ``failing_model`` always raises, which exercises every
+failure default.
 """
 
 from __future__ import annotations
@@ -47,5 +49,18 @@ def rubric_model(cfg: DigestConfig | None = None):
     return model
 
 
+def lead_model(system: str, prompt: str) -> str:
+    """Length and first words of a summary prompt's chunk; every seventh length has no answer."""
+    chunk = prompt.split("\n\n", 1)[1]
+    if len(chunk) % 7 == 0:
+        raise RuntimeError("no summary")
+    return f"{len(chunk)} characters: {chunk[:40]}"
+
+
+def counting_model(system: str, prompt: str) -> str:
+    """What a synthesis prompt holds."""
+    return f"## Digest\n{prompt.count('--- Item ---')} items, {len(prompt)} characters"
+
+
 def failing_model(system: str, prompt: str) -> str:
     raise RuntimeError("no model endpoint configured")

@@ -17,6 +17,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 from sifter.functions import constants as K
 from sifter.functions.templates import fill
 from sifter.functions.text import truncate, truncate_ellipsis
+from sifter.operators.extract import extract_items
+from sifter.session import stored
 
 
 def priority(category) -> Column:
@@ -37,6 +39,13 @@ def priority_cap(items: DataFrame, max_items: int) -> DataFrame:
             .orderBy(F.col("priority"), F.col("ord")).limit(max_items))
 
 
+def capped_items(kept: DataFrame, pages: DataFrame, cfg, summarizer=None) -> DataFrame:
+    """T1 before extraction: the first ``max_synthesis_items`` kept messages by priority, extracted."""
+    top = stored(priority_cap(kept, cfg.max_synthesis_items).drop("priority"), "capped")
+    items = extract_items(top, pages, cfg, summarizer=summarizer)
+    return items.withColumn("priority", priority("category"))
+
+
 def score_sort(df: DataFrame) -> DataFrame:
     """Score-descending stable sort (ties in input order)."""
     return df.orderBy(F.col("relevance_score").desc(), F.col("ord"))

@@ -18,7 +18,7 @@ from sifter.functions import constants as K
 from sifter.functions.html import html_to_text, main_content
 from sifter.functions.links import best_link
 from sifter.functions.text import source_name, token_slice_text, word_pieces
-from sifter.session import ensure_checkpoint_dir
+from sifter.session import stored
 
 SummarizeFn = Callable[[str, str], str]
 
@@ -28,30 +28,43 @@ def choose_body(body_html: Column, body_text: Column) -> Column:
     return F.when(F.coalesce(body_html, F.lit("")) != "", html_to_text(body_html)).otherwise(body_text)
 
 
-def gated_best_link(category: Column, body_html: Column) -> Column:
-    """P7 + A3: the best link, looked for only in high-relevance messages."""
-    return F.when(category == K.CATEGORY_HIGH, best_link(body_html))
+def computed_once(df: DataFrame, keep: list, value: Column, name: str) -> DataFrame:
+    """``keep`` and the non-NULL ``value``s: the expensive expression goes through a generator, so
+    no filter on it is pushed down to be evaluated a second time."""
+    return df.select(*keep, F.explode_outer(F.array(value)).alias(name)).where(F.col(name).isNotNull())
+
+
+def message_links(messages: DataFrame) -> DataFrame:
+    """A3: (id, link_url) of the messages that have a best link."""
+    return computed_once(messages, ["id"], best_link("body_html"), "link_url")
+
+
+def gated_links(kept: DataFrame) -> DataFrame:
+    """P7 + A3: (id, link_url), looked for in high-relevance messages only."""
+    return message_links(kept.where(F.col("category") == K.CATEGORY_HIGH))
 
 
 def page_contents(urls: DataFrame, pages: DataFrame) -> DataFrame:
     """S6/J4 lookup side: main content of the crawled page behind each needed URL.
 
-    Only pages whose URL is needed are read past the semi-join; a URL crawled
-    twice keeps its first page (lowest page_id); each page is parsed once no
-    matter how many messages link to it.
+    The page is picked on narrow columns (a URL crawled twice keeps its lowest
+    page_id); only then is the html of the picked pages read and parsed, once
+    per page no matter how many messages link to it.
     """
     needed = urls.select(F.col("link_url").alias("url")).where(F.col("url").isNotNull()).distinct()
-    hits = pages.select("page_id", "url", "html").join(needed, "url", "left_semi")
-    first = hits.groupBy("url").agg(F.min_by("html", "page_id").alias("html"))
-    return first.select(F.col("url").alias("link_url"), main_content("html").alias("article"))
+    picked = (pages.select("page_id", "url").join(needed, "url", "left_semi")
+              .groupBy("url").agg(F.min("page_id").alias("page_id")))
+    found = pages.select("page_id", "url", "html").join(picked, ["page_id", "url"])
+    return computed_once(found, [F.col("url").alias("link_url")], main_content("html"), "article")
 
 
 def lookup_page(links: DataFrame, pages: DataFrame) -> DataFrame:
     """(id, link_url) -> (id, link_url, article); unknown URL -> ''.
 
-    Rows without a link never enter the join (no NULL-key hot partition).
+    ``links`` is read twice (the needed URLs and the rows), so the narrow pairs are
+    stored once.  Rows without a link never enter the join (no NULL-key hot partition).
     """
-    with_link = links.where(F.col("link_url").isNotNull()).select("id", "link_url")
+    with_link = stored(links.where(F.col("link_url").isNotNull()).select("id", "link_url"), "links")
     found = with_link.join(page_contents(with_link, pages), "link_url", "left")
     return found.select("id", "link_url", F.coalesce(F.col("article"), F.lit("")).alias("article"))
 
@@ -87,12 +100,16 @@ def native_chunked_summary(tokens: Column, cfg: DigestConfig) -> Column:
     return F.array_join(F.transform(wins, lambda w: chunk_fallback(w["chunk_text"])), "\n\n")
 
 
-def summarize_windows(windows: DataFrame, model: SummarizeFn) -> DataFrame:
+def summarize_windows(windows: DataFrame, model: SummarizeFn, parallelism: int | None = None) -> DataFrame:
     """U4 with a model: (id, chunk_no, chunk_text) -> + summary; an exception -> fallback.
 
-    The windows are spread over tasks (a long document does not serialise its
-    calls in one task); the caller regroups them by id (A6).
+    The windows are dealt over ``parallelism`` tasks (default: the shuffle
+    partitions) by id and window, so a long document does not serialise its
+    calls in one task; the caller regroups them by id (A6) and stores the result
+    before reading it twice.
     """
+    tasks = parallelism or int(windows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
@@ -103,7 +120,7 @@ def summarize_windows(windows: DataFrame, model: SummarizeFn) -> DataFrame:
                     out.append(None)
             yield pdf.assign(summary=out)
 
-    scored = windows.select("id", "chunk_no", "chunk_text").mapInPandas(
+    scored = windows.select("id", "chunk_no", "chunk_text").repartition(tasks, "id", "chunk_no").mapInPandas(
         run, "id string, chunk_no int, chunk_text string, summary string")
     return scored.select("id", "chunk_no", F.coalesce(F.col("summary"), chunk_fallback(F.col("chunk_text")))
                          .alias("summary"))
@@ -123,15 +140,13 @@ def extract_items(kept: DataFrame, pages: DataFrame, cfg: DigestConfig,
     ``kept`` needs id, ord, sender, subject, snippet, body_html, body_text,
     category, topics.
     """
-    base = kept.select("id", "ord", "sender", "subject", "snippet", "category", "topics",
-                       choose_body(F.col("body_html"), F.col("body_text")).alias("body"),
-                       gated_best_link(F.col("category"), F.col("body_html")).alias("link_url"))
-    # The HTML work feeds three branches (main rows, needed URLs, link rows);
-    # materialise it once (reliable checkpoint) instead of recomputing it per branch.
-    ensure_checkpoint_dir(kept.sparkSession)
-    base = base.checkpoint(eager=True)
-    art = lookup_page(base.select("id", "link_url"), pages).select("id", "article")
-    j = base.join(art, "id", "left")
+    base = kept.select("id", "ord", "sender", "subject", "snippet", "category", "topics", "body_html", "body_text")
+    art = lookup_page(gated_links(base), pages)
+    # only messages that can have a link are joined; the others keep their place
+    gate = F.coalesce(F.col("category") == K.CATEGORY_HIGH, F.lit(False))
+    j = base.where(gate).join(art, "id", "left").unionByName(
+        base.where(~gate).withColumns({"link_url": F.lit(None).cast("string"), "article": F.lit(None).cast("string")}))
+    j = j.withColumn("body", choose_body(F.col("body_html"), F.col("body_text"))).drop("body_html", "body_text")
     combined = j.select("*", combine_article(F.col("body"), F.col("article")).alias("full_content")) \
         .drop("body", "article")
     tok = combined.withColumn("_tokens", word_pieces(F.col("full_content")))
@@ -143,12 +158,18 @@ def extract_items(kept: DataFrame, pages: DataFrame, cfg: DigestConfig,
         long_rows = tok.where(over)
         windows = long_rows.select("id", F.inline(token_windows(F.col("_tokens"), cfg.token_budget,
                                                                  cfg.window_stride)))
-        joined = join_summaries(summarize_windows(windows, summarizer))
+        joined = stored(join_summaries(summarize_windows(windows, summarizer)), "summaries")
         summarized = tok.join(joined, "id", "left").withColumn(
             "summary_text", F.when(over, F.col("summary_text")).otherwise(F.col("full_content")))
     return union_fallback(summarized.drop("_tokens"))
 
 
+def item_headers(kept: DataFrame) -> DataFrame:
+    """The columns of the extracted items that need no extraction: extraction keeps one row for each message."""
+    return kept.select(F.col("id").alias("email_id"), "ord", source_name(F.col("sender")).alias("source_name"), "topics",
+                       "category", F.col("subject").alias("email_subject"))
+
+
 def union_fallback(items: DataFrame) -> DataFrame:
     """An item whose extraction produced nothing falls back to its snippet, with
     no link and empty full content — in the same pass (no union, order kept)."""

@@ -9,8 +9,7 @@ table has one row per (partition, group), so broadcasting it is bounded by
 the partition count times the number of groups — callers only use it with a
 fixed, small group set (or none).
 
-The numbered frame is materialised once with a reliable ``checkpoint()``
-(into ``spark.checkpoint.dir``): the counts and the rows must come from the
+The numbered frame is stored once (Parquet in the shared checkpoint folder): the counts and the rows must come from the
 same range partitioning, and two separate range shuffles may sample
 different bounds or be coalesced differently by AQE.
 """
@@ -20,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sifter.session import ensure_checkpoint_dir
+from sifter.session import stored
 
 _LOCAL_MASK = (1 << 33) - 1
 
@@ -37,8 +36,7 @@ def ordered_position(df: DataFrame, order_cols: list, group_cols: list | None =
               .withColumn("_mid", F.monotonically_increasing_id()))
     ranged = ranged.select("*", F.shiftright("_mid", 33).alias("_pid"),
                            F.col("_mid").bitwiseAND(F.lit(_LOCAL_MASK)).alias("_loc"))
-    ensure_checkpoint_dir(df.sparkSession)
-    ranged = ranged.checkpoint(eager=True)
+    ranged = stored(ranged, "positions")
     stats = ranged.groupBy("_pid", *group_cols).agg(F.count(F.lit(1)).alias("_n"), F.min("_loc").alias("_first"))
     w = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     stats = stats.select("_pid", *group_cols, "_first",

@@ -1,8 +1,10 @@
-"""One digest run as a lazy DataFrame graph (the reference's `run` command).
+"""One digest run as a DataFrame graph (the `run` command).
 
 cutoff (P1) -> scan (S1) -> anti-join state (J1) -> triage (verdicts) -> keep (P2)
--> extract (F10..U1) -> priority cap (T1) -> digest (U6/F17/F18 + F16/F22) ->
-actions (S10), state delta (S8), run row (S9).
+-> priority cap (T1) -> extract (F10..U1) -> digest (U6/F17/F18 + F16/F22) ->
+actions (S10), state delta (S8), run row (S9).  The cap reads category and order
+only and extraction keeps one row for each message, so the cap comes first: at
+most ``max_synthesis_items`` messages are parsed and summarised.
 
 Nothing is collected except the one-row cutoff, which enters the scan as a
 scalar subquery.  Model callables are optional; without them the native
@@ -21,6 +23,7 @@ from sifter.operators import digest as D
 from sifter.operators import extract as X
 from sifter.operators import state_ops as S
 from sifter.operators import triage as TR
+from sifter.session import stored
 from sifter.sources import sinks
 
 
@@ -28,23 +31,32 @@ from sifter.sources import sinks
 class RunOutputs:
     fetched: DataFrame          # S1 result
     results: DataFrame          # every triage result with its kept flag
-    items: DataFrame            # extracted items
-    capped: DataFrame           # <= max_synthesis_items items with priority
+    capped: DataFrame           # <= max_synthesis_items extracted items with priority
     digest: DataFrame           # one row: subject, digest_md, n_items
-    actions: DataFrame          # S10
     processed_delta: DataFrame  # S8 rows to append
     run_row: DataFrame          # S9 row to append
 
+    def actions(self) -> DataFrame:
+        """S10, built when it is written: numbering the batches stores the action rows."""
+        return sinks.inbox_actions(self.results)
+
 
 def run_digest(messages: DataFrame, verdicts: DataFrame, pages: DataFrame, processed: DataFrame,
                runs: DataFrame, as_of_epoch: Column, cfg: DigestConfig,
-               synthesizer=None, summarizer=None) -> RunOutputs:
+               synthesizer=None, summarizer=None, run_id: int | None = None) -> RunOutputs:
     """Build every output of one run.
 
+    ``run_id`` names the run when it may be a replay: what an earlier attempt of
+    the same run left in the state (its processed ids, its run row) is not seen,
+    so the replay takes the same messages again.
+
     ``verdicts(id, category, relevance_score, topics, reason)`` is the triage
     output for the messages (from ``positional_verdicts`` over model responses,
     from ``rubric_label``, or a stored table).
     """
+    if run_id is not None:
+        processed = processed.where(F.col("run_id") != run_id)
+        runs = runs.where(F.col("id") != run_id)
     cutoff = S.resolve_cutoff(runs, as_of_epoch, cfg)
     fetched = S.scan_incremental(messages, cutoff, cfg)
     fresh = S.anti_join_processed(fetched, processed)
@@ -53,38 +65,34 @@ def run_digest(messages: DataFrame, verdicts: DataFrame, pages: DataFrame, proce
     kept = results.where("kept")
     if cfg.cap_per_sender_in_run:
         kept = TR.top_n_per_sender(TR.with_sender_key(kept), cfg.max_per_sender)
-    items = X.extract_items(kept, pages, cfg, summarizer=summarizer)
-    capped = D.priority_cap(items, cfg.max_synthesis_items)
+    capped = D.capped_items(kept, pages, cfg, summarizer=summarizer)
     parts = D.digest_parts(capped)
     if synthesizer is None:
         body = parts.select("n_items", "sources_md", F.col("fallback_md").alias("md"))
     else:
         prompt = parts.select("n_items", "sources_md", "fallback_md",
                               D.synthesis_prompt(F.col("items_block")).alias("prompt"))
-        written = D.write_digest(prompt, synthesizer)
+        written = stored(D.write_digest(prompt, synthesizer), "digest")     # one call, one text
         body = written.select("n_items", "sources_md", F.coalesce("model_md", "fallback_md").alias("md"))
     # no items: the empty digest and an empty sources section (append is a no-op)
     digest = body.select(D.digest_subject(as_of_epoch).alias("subject"),
                          D.append_sources(F.col("md"), F.col("sources_md")).alias("digest_md"), "n_items")
-    actions = sinks.inbox_actions(results)
     from sifter.sources.state import new_processed_rows, next_run_row
     delta = new_processed_rows(processed, fresh.select("id"), as_of_epoch)
     n_fresh = fresh.select(F.count(F.lit(1))).scalar()
     run_row = next_run_row(runs, as_of_epoch, n_fresh)
-    return RunOutputs(fetched, results, items, capped, digest, actions, delta, run_row)
+    return RunOutputs(fetched, results, capped, digest, delta, run_row)
 
 
 def model_verdicts(messages: DataFrame, cfg: DigestConfig, model) -> DataFrame:
     """Triage through a model callable: batches of 20 -> prompts -> one call per batch.
 
-    The scored batches are checkpointed (reliable, into ``spark.checkpoint.dir``)
-    right after the calls, so later actions and retries read the stored output
-    instead of calling the model again.
+    The scored batches are stored (in the shared checkpoint folder) right after
+    the calls, so later actions and retries read the stored output instead of
+    calling the model again.
     """
-    from sifter.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(messages.sparkSession)
     batched = TR.assign_batches(TR.triage_input(messages))
-    responses = TR.score_batches(TR.batch_pack(batched, cfg), model).checkpoint(eager=True)
+    responses = stored(TR.score_batches(TR.batch_pack(batched, cfg), model), "responses")
     return TR.positional_verdicts(batched.select("id", "ord", "batch_id", "idx"), responses)
 
 
@@ -92,13 +100,14 @@ def write_run(out: RunOutputs, state_dir: str, run_id: int, as_of_epoch: int, di
               cfg: DigestConfig) -> None:
     """Sink one run in the original order: digest and actions first, then the
     processed ids, then the run row (so a failure before the end re-runs the
-    messages instead of losing them).  A dry run writes nothing."""
+    messages instead of losing them).  Every sink has the run's own folder, and a
+    replay built with the same ``run_id`` writes the same rows there.  A dry run
+    writes nothing."""
     if cfg.dry_run:
         return
     from sifter.sources.state import append_processed, append_run
-    sinks.digest_sink(out.digest, digest_path, dry_run=False)
-    (out.actions.write.mode("overwrite").parquet(f"{state_dir}/actions/run_id={run_id}"))
-    fresh_ids = out.results.select("id")
-    append_processed(out.results.sparkSession, state_dir, fresh_ids, as_of_epoch, run_id)
-    n = out.results.count()
-    append_run(out.results.sparkSession, state_dir, as_of_epoch, n, run_id)
+    spark = out.results.sparkSession
+    sinks.digest_sink(out.digest, digest_path and f"{digest_path}/run_id={run_id}", dry_run=False)
+    out.actions().write.mode("overwrite").parquet(f"{state_dir}/actions/run_id={run_id}")
+    n = append_processed(spark, state_dir, out.results.select("id"), as_of_epoch, run_id)
+    append_run(spark, state_dir, as_of_epoch, n, run_id)

@@ -10,7 +10,6 @@ independent SQL.
 from __future__ import annotations
 
 from sifter.functions import constants as K
-from sifter.functions import html as H
 from sifter.functions import links as L
 from sifter.functions import text as T
 
@@ -115,61 +114,63 @@ def truncate_ellipsis(x: str, n: int, always: bool = False) -> str:
     return cut if always else f"(CASE WHEN length({x}) > {n} THEN {cut} ELSE {x} END)"
 
 
+# The oracle's own reading of HTML: its patterns and its small table of references are written here, not
+# taken from the operators.  Every reference that stands in the tables is covered.
+ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", "\u00a0"), ("&copy;", "©"), ("&middot;", "·"),
+            ("&euro;", "€"), ("&eacute;", "é")]
+QUOTED = """(?:[^>"']|"[^"]*"|'[^']*')*"""
+TAG = f"</?[A-Za-z]{QUOTED}>|</?[A-Za-z][^>]*>|<![^>]*>|<[?][^>]*>"
+
+
 def decode_entities(x: str) -> str:
-    for ent, ch in K.HTML_ENTITIES:
+    for ent, ch in ENTITIES:
         x = f"replace({x}, {q(ent)}, {q(ch)})"
-    return x
+    return f"regexp_replace({x}, '&amp;?', '&', 'g')"
 
 
 def drop_blocks(x: str, tags: list[str]) -> str:
-    for t in tags:
-        x = rx_replace(x, H.block_pattern(t))
-    return x
-
-
-def decode_numeric_refs(x: str) -> str:
-    cp = ("(CASE WHEN r ILIKE '&#x%' THEN TRY_CAST('0x' || substr(r, 4, length(r) - 4) AS BIGINT) "
-          "ELSE TRY_CAST(substr(r, 3, length(r) - 3) AS BIGINT) END)")
-    ok = f"(({cp} BETWEEN 32 AND 126) OR ({cp} BETWEEN 160 AND 1114111 AND {cp} NOT BETWEEN 55296 AND 57343))"
-    refs = f"list_distinct(regexp_extract_all({x}, {q(H.NUMERIC_REF_PATTERN)}, 0))"
-    return (f"list_reduce(list_prepend({x}, {refs}), "
-            f"lambda acc, r: CASE WHEN {ok} THEN replace(acc, r, chr(CAST({cp} AS INTEGER))) ELSE acc END)")
+    parts = ["<!--(?:.*?-->|.*)"] + [f"<{t}\\b{QUOTED}>(?:.*?</{t}\\s*>|.*)" for t in tags]
+    return rx_replace(x, f"(?is)(?:{'|'.join(parts)})", "chr(1)")
 
 
 def text_nodes_joined(x: str, sep_sql: str) -> str:
-    marked = decode_numeric_refs(rx_replace(x, H.TAG_PATTERN, "chr(1)"))
-    return py_strip(rx_replace(decode_entities(marked), H.BOUNDARY_PATTERN, sep_sql))
+    nodes = f"list_transform(string_split({rx_replace(x, f'(?s){TAG}', 'chr(1)')}, chr(1)), lambda p: {py_strip(decode_entities('p'))})"
+    return f"array_to_string(list_filter({nodes}, lambda p: p <> ''), {sep_sql})"
 
 
 def html_to_text(x: str) -> str:
-    cleaned = drop_blocks(rx_replace(x, H.COMMENT_PATTERN), K.BODY_DROP_TAGS)
-    t = strip_invisible(text_nodes_joined(cleaned, "chr(10)"))
+    t = strip_invisible(text_nodes_joined(drop_blocks(x, ["script", "style", "head"]), "chr(10)"))
     return py_strip(rx_replace(t, "\\n{3,}", "chr(10) || chr(10)"))
 
 
 def main_content(x: str) -> str:
-    cleaned = drop_blocks(rx_replace(x, H.COMMENT_PATTERN), K.ARTICLE_DROP_TAGS)
+    cleaned = drop_blocks(x, ["script", "style", "nav", "footer", "header", "aside", "iframe"])
     branches = " ".join(
-        f"WHEN regexp_matches({cleaned}, {q(H.presence_pattern(t))}) "
-        f"THEN regexp_extract({cleaned}, {q(H.container_pattern(t))}, 1)" for t in K.ARTICLE_CONTAINERS)
-    chosen = f"(CASE {branches} ELSE {rx_replace(cleaned, H.block_pattern('head'))} END)"
+        f"WHEN regexp_matches({cleaned}, '(?is)<{t}\\b') "
+        f"THEN regexp_extract({cleaned}, {q(f'(?is)<{t}{chr(92)}b{QUOTED}>(.*?)(?:</{t}{chr(92)}s*>|{chr(92)}z)')}, 1)"
+        for t in ("article", "main", "body"))
+    chosen = f"(CASE {branches} ELSE {drop_blocks(cleaned, ['head'])} END)"
     t = rx_replace(text_nodes_joined(chosen, "chr(10)"), "\\n{3,}", "chr(10) || chr(10)")
     return strip_invisible(f"substr({t}, 1, {K.ARTICLE_CHARS})")
 
 
+ANCHOR = f"(?is)<a\\s{QUOTED}>.*?</a\\s*>"
+HREF = """(?is)\\shref\\s*=\\s*(?:"([^"]*)"|'([^']*)'|([^\\s"'>]+))"""
+
+
 def anchors(x: str) -> str:
-    cleaned = drop_blocks(rx_replace(x, H.COMMENT_PATTERN), ["script", "style"])
-    return f"regexp_extract_all(coalesce({cleaned}, ''), {q(H.ANCHOR_PATTERN)}, 0)"
+    found = f"regexp_extract_all(coalesce({drop_blocks(x, ['script', 'style'])}, ''), {q(ANCHOR)}, 0)"
+    return f"list_filter({found}, lambda a: regexp_matches(a, {q('(?is)^<a[^>]*' + chr(92) + 'shref' + chr(92) + 's*=')}))"
 
 
 def anchor_href(a: str) -> str:
-    open_tag = f"regexp_extract({a}, {q(H.ANCHOR_OPEN_PATTERN)}, 0)"
-    raw = " || ".join(f"regexp_extract({open_tag}, {q(H.HREF_PATTERN)}, {g})" for g in (1, 2, 3))
+    open_tag = f"regexp_extract({a}, {q(f'(?is)^<a{chr(92)}s{QUOTED}>')}, 0)"
+    raw = " || ".join(f"regexp_extract({open_tag}, {q(HREF)}, {g})" for g in (1, 2, 3))
     return py_strip(decode_entities(f"({raw})"))
 
 
 def anchor_text(a: str) -> str:
-    inner = f"regexp_extract({a}, {q(H.ANCHOR_INNER_PATTERN)}, 1)"
+    inner = f"regexp_extract({a}, {q(f'(?is)^<a{chr(92)}s{QUOTED}>(.*)</a{chr(92)}s*>$')}, 1)"
     return text_nodes_joined(inner, "''")
 
 

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from sifter.functions import constants as K
 from sifter.functions.templates import sql_fill
 from sifter.operators import digest as D
+from sifter.operators import extract as X
 from sifter.plans import oracle as O
 from sifter.plans.catalog import CFG, register
-from sifter.plans.q_extract import EXTRACT_CTES, SQL_TOK, items
+from sifter.plans.q_extract import EXTRACT_CTES, SQL_TOK, items, kept_messages
 from sifter.sources.fixtures import Fixtures
 
 N = CFG.max_synthesis_items
@@ -56,12 +57,17 @@ FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY email_id ORDER BY
                      FROM capped_i WHERE coalesce(email_id, '') <> '') WHERE r = 1)""")
 
 
+def headers(fx: Fixtures) -> DataFrame:
+    """The item columns that need no extraction, with their priority."""
+    return X.item_headers(kept_messages(fx)).withColumn("priority", D.priority("category"))
+
+
 def prioritized(fx: Fixtures) -> DataFrame:
     return items(fx).withColumn("priority", D.priority("category"))
 
 
 def capped(fx: Fixtures) -> DataFrame:
-    return D.priority_cap(items(fx), N)
+    return D.capped_items(kept_messages(fx), fx.pages(), CFG)
 
 
 @register("item_block", O.compose(ITEM_CTES, f"SELECT email_id, {sql_item_block()} AS block FROM items_f"))
@@ -85,14 +91,14 @@ def q_digest_items_block(fx: Fixtures) -> DataFrame:
          FROM items_f WHERE coalesce(email_id, '') <> '') WHERE r = 1"""))
 def q_first_per_key(fx: Fixtures) -> DataFrame:
     """W3 + P9: first item per non-empty email id in priority order."""
-    return D.first_per_key(prioritized(fx)).select("email_id", "source_name", "email_subject")
+    return D.first_per_key(headers(fx)).select("email_id", "source_name", "email_subject")
 
 
 @register("nonempty_id", O.compose(ITEM_CTES,
     "SELECT email_id, ord FROM items_f WHERE coalesce(email_id, '') <> ''"))
 def q_nonempty_id(fx: Fixtures) -> DataFrame:
     """Items with an empty email id never reach the sources list."""
-    return items(fx).where(F.coalesce(F.col("email_id"), F.lit("")) != "").select("email_id", "ord")
+    return headers(fx).where(F.coalesce(F.col("email_id"), F.lit("")) != "").select("email_id", "ord")
 
 
 @register("source_bullet", O.compose([*ITEM_CTES, SQL_CAPPED, SQL_SOURCES], "SELECT n_sources, sources_md FROM src"))
@@ -142,7 +148,7 @@ def q_digest_subject(fx: Fixtures) -> DataFrame:
         FROM pairs p JOIN totals t ON t.topic = p.topic"""))
 def q_topic_digest(fx: Fixtures) -> DataFrame:
     """Items grouped by topic and source with topic totals; single general items -> Quick Hits."""
-    return D.topic_digest(items(fx)).select("topic", "source_name", "n_from_source", "n_items", "n_high", "n_sources",
+    return D.topic_digest(headers(fx)).select("topic", "source_name", "n_from_source", "n_items", "n_high", "n_sources",
                                             "section")
 
 

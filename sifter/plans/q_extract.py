@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sifter.config import DigestConfig
 from sifter.functions import constants as K
 from sifter.functions import text as T
+from sifter.functions.models import lead_model
 from sifter.operators import extract as X
 from sifter.operators import triage as TR
 from sifter.plans import oracle as O
@@ -59,9 +60,7 @@ def items(fx: Fixtures) -> DataFrame:
 @register("lookup_page", O.compose(EXTRACT_CTES, "SELECT id, link_url, article FROM art"))
 def q_lookup_page(fx: Fixtures) -> DataFrame:
     """Crawled page text behind the best link of each kept high-relevance message."""
-    k = kept_messages(fx)
-    links = k.select("id", X.gated_best_link(F.col("category"), F.col("body_html")).alias("link_url"))
-    return X.lookup_page(links, fx.pages())
+    return X.lookup_page(X.gated_links(kept_messages(fx)), fx.pages())
 
 
 @register("combine_article", O.compose(EXTRACT_CTES, "SELECT id, full_content FROM items"))
@@ -91,21 +90,30 @@ def q_token_windows(fx: Fixtures) -> DataFrame:
     return windows(fx).select("id", "chunk_no", "start", "chunk_text")
 
 
-@register("summarize_chunks", O.compose([SQL_WTOK, SQL_WINDOWS],
-    f"SELECT id, chunk_no, concat(substr(chunk_text, 1, {K.CHUNK_FALLBACK_CHARS}), '...') AS summary FROM windows"))
+SQL_SUMMARIES = ("summaries", f"""
+SELECT id, chunk_no, CASE WHEN length(chunk_text) % 7 = 0 THEN concat(substr(chunk_text, 1, {K.CHUNK_FALLBACK_CHARS}), '...')
+                          ELSE concat(length(chunk_text), ' characters: ', substr(chunk_text, 1, 40)) END AS summary
+FROM windows""")
+
+
+@register("summarize_chunks", O.compose([SQL_WTOK, SQL_WINDOWS, SQL_SUMMARIES], "SELECT id, chunk_no, summary FROM summaries"))
 def q_summarize_chunks(fx: Fixtures) -> DataFrame:
-    """U4 without a model: every window's fallback summary (500 characters + '...')."""
-    return windows(fx).select("id", "chunk_no", X.chunk_fallback(F.col("chunk_text")).alias("summary"))
+    """U4: every window summarised by a model callable; a call that fails gives the window's fallback."""
+    return summaries(fx)
+
 
+def summaries(fx: Fixtures) -> DataFrame:
+    return X.summarize_windows(windows(fx), lead_model).select("id", F.col("chunk_no").cast("long").alias("chunk_no"), "summary")
 
-@register("join_summaries", O.compose([SQL_WTOK],
-    f"""SELECT id, {O.chunked_fallback_summary('t', WCFG.token_budget, WCFG.window_stride)} AS summary_text
-        FROM wtok WHERE len(t) > {WCFG.token_budget}"""))
+
+@register("join_summaries", O.compose([SQL_WTOK, SQL_WINDOWS, SQL_SUMMARIES], f"""
+SELECT s.id, string_agg(s.summary, chr(10) || chr(10) ORDER BY s.chunk_no) AS summary_text
+FROM summaries s JOIN wtok w ON w.id = s.id WHERE len(w.t) > {WCFG.token_budget} GROUP BY s.id"""))
 def q_join_summaries(fx: Fixtures) -> DataFrame:
-    """Window summaries of every over-budget text joined by blank lines (within the row)."""
-    tok = fx.messages().select("id", T.word_pieces("body_text").alias("t"))
-    return (tok.where(F.size("t") > WCFG.token_budget)
-            .select("id", X.native_chunked_summary(F.col("t"), WCFG).alias("summary_text")))
+    """The model's window summaries of every over-budget text, regrouped in window order."""
+    tok = fx.messages().select("id", T.word_pieces("body_text").alias("t")).where(F.size("t") > WCFG.token_budget)
+    w = tok.select("id", F.inline(X.token_windows(F.col("t"), WCFG.token_budget, WCFG.window_stride)))
+    return X.join_summaries(X.summarize_windows(w, lead_model))
 
 
 @register("union_fallback", O.compose([*EXTRACT_CTES, SQL_TOK],

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sifter.functions import constants as K
 from sifter.functions import html as H
 from sifter.functions import links as L
+from sifter.operators import extract as X
 from sifter.plans import oracle as O
 from sifter.plans.catalog import register
 from sifter.sources.fixtures import Fixtures
@@ -86,8 +87,7 @@ def q_positive_score(fx: Fixtures) -> DataFrame:
 @register("best_link", O.compose([SQL_ANCHORS, SQL_WEB, SQL_SCORED, SQL_BEST], "SELECT id, link_url FROM best"))
 def q_best_link(fx: Fixtures) -> DataFrame:
     """A3: argmax link per message (first in document order on ties), computed within each row."""
-    b = fx.messages().select("id", L.best_link("body_html").alias("link_url"))
-    return b.where(F.col("link_url").isNotNull())
+    return X.message_links(fx.messages())
 
 
 @register("link_gate", O.compose([SQL_ANCHORS, SQL_WEB, SQL_SCORED, SQL_BEST],
@@ -96,6 +96,4 @@ def q_best_link(fx: Fixtures) -> DataFrame:
 def q_link_gate(fx: Fixtures) -> DataFrame:
     """Links are only looked for in high-relevance messages (filter before the anchor work)."""
     high = fx.verdicts().where(F.col("category") == K.CATEGORY_HIGH).select("id")
-    m = fx.messages().select("id", "body_html").join(high, "id", "left_semi")
-    b = m.select("id", L.best_link("body_html").alias("link_url"))
-    return b.where(F.col("link_url").isNotNull())
+    return X.message_links(fx.messages().select("id", "body_html").join(high, "id", "left_semi"))

@@ -1,19 +1,22 @@
-"""Registered user-function queries (U3, U5, U6): Python runs only inside Arrow batches."""
+"""Registered user-function queries (U3, U6): Python runs only inside Arrow batches."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sifter.functions.html_parser import html_to_text_udf
-from sifter.functions.models import failing_model, rubric_model
+from sifter.functions import constants as K
+from sifter.functions.models import counting_model, failing_model, rubric_model
+from sifter.functions.templates import sql_fill
 from sifter.operators import digest as D
 from sifter.operators import triage as TR
 from sifter.plans import oracle as O
 from sifter.plans.catalog import CFG, register
 from sifter.plans.q_digest import ITEM_CTES, SQL_CAPPED, SQL_FALLBACK
 from sifter.plans.q_digest import capped as capped_items
+from sifter.plans.q_digest import sql_item_block
 from sifter.plans.q_triage import _sql_rubric, batched
+from sifter.session import stored
 from sifter.sources.fixtures import Fixtures
 
 
@@ -28,19 +31,17 @@ def q_score_batches(fx: Fixtures) -> DataFrame:
     return v.select("id", "category", "relevance_score", "reason")
 
 
-@register("html_parser_udf", O.compose([],
-    f"SELECT id, {O.html_to_text('body_html')} AS text FROM messages WHERE body_html <> ''"))
-def q_html_parser_udf(fx: Fixtures) -> DataFrame:
-    """Parser-grade HTML to text (stdlib parser in an Arrow UDF) of every HTML body."""
-    return (fx.messages().where(F.col("body_html") != "")
-            .select("id", html_to_text_udf(F.col("body_html")).alias("text")))
-
-
-@register("write_digest", O.compose([*ITEM_CTES, SQL_CAPPED, SQL_FALLBACK], "SELECT n_items, fallback_md AS digest_md FROM fb"))
+@register("write_digest", O.compose([*ITEM_CTES, SQL_CAPPED, SQL_FALLBACK], f"""
+SELECT 'failing' AS model, n_items, fallback_md AS digest_md FROM fb
+UNION ALL
+SELECT 'counting', count(*), concat('## Digest', chr(10), count(*), ' items, ', length({sql_fill(
+    K.SYNTHESIS_USER, items_block=f"string_agg({sql_item_block()}, chr(10) ORDER BY priority, ord)")}), ' characters')
+FROM capped_i"""))
 def q_write_digest(fx: Fixtures) -> DataFrame:
-    """The synthesis call on the capped items' prompt; a failing call falls back to F17."""
-    c = capped_items(fx)
-    prompt = D.digest_items_block(c).select(D.synthesis_prompt(F.col("items_block")).alias("prompt"))
-    written = D.write_digest(prompt, failing_model).select("model_md").scalar()
-    fb = D.fallback_digest(c)
-    return fb.select("n_items", F.coalesce(written, F.col("fallback_md")).alias("digest_md"))
+    """The synthesis call on the capped items' prompt, by a model that answers and by one that
+    fails (then F17's fallback is the digest)."""
+    parts = stored(D.digest_parts(capped_items(fx)), "digest-parts")
+    prompt = parts.select("n_items", "fallback_md", D.synthesis_prompt(F.col("items_block")).alias("prompt"))
+    digest = F.coalesce("model_md", "fallback_md").alias("digest_md")
+    return D.write_digest(prompt, failing_model).select(F.lit("failing").alias("model"), "n_items", digest).unionByName(
+        D.write_digest(prompt, counting_model).select(F.lit("counting").alias("model"), "n_items", digest))

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from sifter.session import stored
+
 PROCESSED_SCHEMA = "message_id string, processed_epoch long, run_id long"
 RUNS_SCHEMA = "id long, ran_epoch long, messages_processed long"
 
@@ -43,13 +45,20 @@ def merged_processed(processed: DataFrame, new_ids: DataFrame, as_of_epoch: Colu
 
 
 def append_processed(spark: SparkSession, state_dir: str, new_ids: DataFrame, as_of_epoch: int,
-                     run_id: int) -> None:
-    """S8 sink: write this run's delta into its own partition (replay-safe)."""
+                     run_id: int) -> int:
+    """S8 sink: write this run's delta into its own partition and return its number of rows.
+
+    Replay-safe: the partition of an earlier attempt is replaced, and its ids keep their first
+    ``processed_epoch``."""
     processed, _ = read_state(spark, state_dir)
     others = processed.where(F.col("run_id") != run_id)
-    delta = new_processed_rows(others, new_ids, F.lit(as_of_epoch)).withColumn("run_id", F.lit(run_id))
+    before = processed.where(F.col("run_id") == run_id).select("message_id", F.col("processed_epoch").alias("_first"))
+    delta = new_processed_rows(others, new_ids, F.lit(as_of_epoch)).join(before, "message_id", "left").select(
+        "message_id", F.coalesce("_first", "processed_epoch").alias("processed_epoch"), F.lit(run_id).alias("run_id"))
+    delta = stored(delta, "processed-delta")            # the partition that is replaced is also read
     (delta.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("run_id").parquet(f"{state_dir}/processed_messages"))
+    return delta.count()
 
 
 def next_run_row(runs: DataFrame, as_of_epoch: Column, messages_processed: Column) -> DataFrame:
@@ -60,7 +69,6 @@ def next_run_row(runs: DataFrame, as_of_epoch: Column, messages_processed: Colum
 
 def append_run(spark: SparkSession, state_dir: str, as_of_epoch: int, messages_processed: int, run_id: int) -> None:
     """S9 sink: the run row lives in partition ``run_id`` (a replay rewrites it)."""
-    _, runs = read_state(spark, state_dir)
     row = spark.createDataFrame([(run_id, as_of_epoch, messages_processed)], RUNS_SCHEMA)
     (row.withColumn("run_part", F.col("id")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("run_part").parquet(f"{state_dir}/runs"))

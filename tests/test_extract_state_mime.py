@@ -71,7 +71,7 @@ def test_append_processed_is_replay_safe(spark):
     ids2 = spark.createDataFrame([("b",), ("c",)], "id string")
     ST.append_processed(spark, d, ids2, 20, run_id=2)
     got = sorted((r.message_id, r.processed_epoch) for r in ST.read_state(spark, d)[0].collect())
-    assert got == [("a", 11), ("b", 11), ("c", 20)]                        # first run wins, no duplicates
+    assert got == [("a", 10), ("b", 10), ("c", 20)]        # first time wins, also over a replay; no duplicates
 
 
 def _b64(s: bytes) -> str:
@@ -138,6 +138,33 @@ def test_full_run_with_model_and_state(spark):
     assert out2.results.count() == 0 and out2.digest.first().n_items == 0
 
 
+def test_replay_of_a_broken_run(spark):
+    """A run that dies before its run row is written gives the same outputs when it is run again."""
+    from sifter.plans.digest_run import run_digest, write_run
+    from sifter.sources.fixtures import load
+    fx, cfg, as_of = load(spark, "/root/testdata/sf0.001"), DigestConfig(), 1704067200 + 86400
+    state = tempfile.mkdtemp(prefix="sifter-replay-")
+
+    def attempt(at):
+        processed, runs = ST.read_state(spark, state)
+        return run_digest(fx.messages(), fx.verdicts(), fx.pages(), processed, runs, F.lit(at), cfg, run_id=1)
+
+    broken = attempt(as_of)
+    digest = broken.digest.first()
+    sent = broken.actions().count()
+    broken.actions().write.parquet(f"{state}/actions/run_id=1")
+    ST.append_processed(spark, state, broken.results.select("id"), as_of, 1)
+    # ... and here it died
+    again = attempt(as_of)
+    write_run(again, state, 1, as_of, f"{state}/digest", cfg)
+    assert again.digest.first() == digest and digest.n_items > 0
+    assert spark.read.parquet(f"{state}/digest/run_id=1").first().digest_md == digest.digest_md
+    assert spark.read.parquet(f"{state}/actions/run_id=1").count() == sent > 0
+    processed, runs = ST.read_state(spark, state)
+    assert {r.processed_epoch for r in processed.collect()} == {as_of}
+    assert [(r.id, r.messages_processed) for r in runs.collect()] == [(1, processed.count())]
+
+
 def test_streaming_dedupe_variants(spark):
     """R2: exact dedupe across availableNow runs, and the bounded-state watermark variant."""
     from sifter.streaming.incremental import EVENT_SCHEMA, IncrementalRunner, dedupe_within_watermark

@@ -77,4 +77,19 @@ def test_main_content_container_order_and_cap(spark):
 
 def test_numeric_character_references(spark):
     html = "<p>a&#8217;s &#x27;q&#X27; &#65;&#65;</p><p>&#160;</p><p>x&#32;</p>&amp;#39; &#0; <a>&#x1F600;</a>"
-    assert one(spark, H.html_to_text(F.col("x")), html) == "a’s 'q' AA\nx\n&#39; &#0;\n😀"
+    assert one(spark, H.html_to_text(F.col("x")), html) == "a’s 'q' AA\nx\n&#39; \ufffd\n😀"
+
+
+def test_html_reading_by_hand(spark):
+    """What a parser gives: dropped parts separate nodes, what opens first wins, quoted attributes, open ends, references."""
+    cases = {
+        "foo<!-- x -->bar": "foo\nbar", "foo<script>x</script>bar": "foo\nbar",
+        "<script>var s='<!--';</script>text<!-- c -->end": "text\nend", "a<style>p{x} no end": "a",
+        "<p title='a>b'>hi</p>": "hi", "caf&eacute; a&#10;b it&#146;s": "café a\nb it’s", "&copy b &notit; &bogus; x &": "© b ¬it; &bogus; x &",
+        "&#38;lt; &amp;lt; &amp;amp;": "&lt; &lt; &amp;", "&#0; &#xD800; &#99999999; &#x80;": "\ufffd \ufffd \ufffd €",
+        "cut &am": "cut &am", "pre&amp": "pre&"}
+    got = col_values(spark, H.html_to_text, list(cases))
+    assert dict(zip(cases, got)) == cases
+    links = col_values(spark, lambda x: F.array_join(F.transform(H.anchors(x), H.anchor_href), "|"),
+                       ['<a href="?a=1&#38;b=2">x</a><a name="n">no</a><a class="q>r" href=u>y</a>'])
+    assert links == ["?a=1&b=2|u"]

@@ -39,7 +39,7 @@ def duck():
 
 def test_every_survey_key_has_query_and_oracle():
     assert set(catalog.queries()) == set(catalog.oracle_sql())
-    assert len(catalog.queries()) == 74
+    assert len(catalog.queries()) == 73
     assert set(catalog.queries()) <= set(E.queries())
 
 
