@@ -316,4 +316,4 @@ def keep_one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Da
     """The rows of ``docs``, all columns, without near-duplicates of a document that stays; rows with a
     null doc_id stay."""
     gone = near_duplicates(docs, shingle, percent).where("not kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
