@@ -9,13 +9,15 @@ A pair of similarity 0.8 meets in some table with probability over 0.999.
 
 Documents with one and the same set are one class from the start; only class
 representatives enter the tables.  Within a table entry nobody is paired with
-everybody: each member is first held against the entry's smallest id, and only
-the best supported such pair of each member is verified.  What is then not yet
-connected but shares an entry is compared by minhash agreement, the most similar
-first, then whatever remains, and verified.  Links are confirmed on full sets
-(100 * common >= percent * union); components come from star contraction of the
-links.  Sets, candidates and links stay distributed; intermediate tables are
-written to the shared folder.
+everybody: each member is held against the entry's smallest id, the few best
+supported of these pairs are kept where the minhashes agree enough, and the best of each
+member is verified.  The kept pairs also tie documents into families.  A family
+that is not yet one component is compared fully: its members are dealt into
+blocks, every pair of blocks goes to one task with the members' full sets, and
+the task counts common shingles of all its cross-component pairs and returns
+only the links that join components.  Links are confirmed on full sets
+(100 * common >= percent * union).  Sets, candidates and links stay distributed;
+intermediate tables are written to the shared folder.
 
 Defined cases: an empty set (no words, empty or null text) is linked with
 nothing; fewer words than a shingle make one shingle of the whole sequence.  A
@@ -30,7 +32,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sifter.llm.common import (ascii_words, by_bucket, mix64, pack_sorted, shuffle_partitions, stored, unpack_sorted,
@@ -38,8 +40,13 @@ from sifter.llm.common import (ascii_words, by_bucket, mix64, pack_sorted, shuff
 
 HALF, SIDE = 3, 12
 HASHES = 2 * HALF * SIDE
-#: Minhash agreement below which a pair is not verified: four standard deviations under 0.8.
-LEAST_AGREEMENT = 0.6
+#: Minhash agreement that ties two documents into a family: five standard deviations under 0.8.
+LEAST_AGREEMENT = 0.55
+#: Pairs kept of each member, best supported first; members of a family's block.
+KEPT_PAIRS = 4
+BLOCK_MEMBERS = 256
+#: Links that one task may join (a few megabytes).
+ONE_TASK_LINKS = 500_000
 #: Table entries of a bucket, about; members of one entry that are listed together.
 BUCKET_ENTRIES = 2_000_000
 LISTED = 1 << 14
@@ -201,51 +208,91 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(_percent_ok(percent), "a long, b long")
 
 
-def _agreeing(percent: int):
-    """Pairs whose sizes and minhash agreement allow a link."""
-    def run(batches):
-        for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint32).reshape(-1, HASHES) for c in ("x", "y"))
-            n, m = (np.asarray(b.column(c)) for c in ("n", "m"))
-            ok = ((x == y).mean(axis=1) >= LEAST_AGREEMENT) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
-            yield b.select(["a", "b", "times"]).filter(pa.array(ok, pa.bool_()))
-    return run
+def _agreeing(batches):
+    """Pairs whose minhashes agree enough for one family."""
+    for b in batches:
+        x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint32).reshape(-1, HASHES) for c in ("x", "y"))
+        yield b.select(["a", "b", "times"]).filter(pa.array((x == y).mean(axis=1) >= LEAST_AGREEMENT, pa.bool_()))
 
 
-def _cross_pairs(percent: int, best: int | None):
-    """Pairs of an entry's members in different components that may be linked: each member's ``best``
-    most agreeing partners, or all."""
+def _block_links(percent: int):
+    """Links between different components within a pair of blocks of a family, as few as join them."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, label, n = (pdf[c].to_numpy() for c in ("id", "label", "n"))
-        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(-1, HASHES)
-        out = set()
-        for i in range(len(ids)):
-            other = np.flatnonzero((label != label[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
-            agree = (sig[other] == sig[i]).mean(axis=1)
-            other, agree = other[agree >= LEAST_AGREEMENT], agree[agree >= LEAST_AGREEMENT]
-            if best is not None:
-                other = other[np.argsort(-agree, kind="stable")[:best]]
-            out.update((min(ids[i], ids[o]), max(ids[i], ids[o])) for o in other)
-        return pd.DataFrame(sorted(out), columns=["a", "b"], dtype="int64")
+        lo, hi = int(pdf["lo"].iloc[0]), int(pdf["hi"].iloc[0])
+        ids, label, block = (pdf[c].to_numpy() for c in ("id", "label", "block"))
+        sets = [unpack_sorted(x) for x in pdf["set"]]
+        sizes = np.array([s.size for s in sets])
+        distinct, code = np.unique(np.concatenate(sets), return_inverse=True)
+        codes = np.split(code, np.cumsum(sizes)[:-1])
+        right = np.flatnonzero(block == hi)
+        if not right.size:
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        flat = np.concatenate([codes[i] for i in right])
+        starts = np.concatenate([[0], np.cumsum(sizes[right])[:-1]])
+        present = np.zeros(distinct.size, bool)
+        joined: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while joined.get(x, x) != x:
+                x = joined[x]
+            return x
+
+        out = []
+        for i in np.flatnonzero(block == lo):
+            other = label[right] != label[i]
+            if not other.any():
+                continue
+            present[codes[i]] = True
+            common = np.add.reduceat(present[flat], starts)
+            present[codes[i]] = False
+            for j in right[other & (100 * common >= percent * (sizes[i] + sizes[right] - common))]:
+                x, y = root(int(label[i])), root(int(label[j]))
+                if x != y:
+                    joined[max(x, y)] = min(x, y)
+                    out.append((ids[i], ids[j]))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
     return run
 
 
-def cross_pairs(entries: DataFrame, labels: DataFrame, reps: DataFrame, percent: int, best: int | None) -> DataFrame:
-    """Distinct candidate pairs (a, b) between different components that share a table entry."""
-    rows = entries.select("entry", F.explode("members").alias("id")).join(labels, "id", "left").withColumn(
-        "label", F.coalesce("label", "id"))
-    open_ = rows.groupBy("entry").agg(F.min("label").alias("lo"), F.max("label").alias("hi"),
-                                      F.sort_array(F.collect_list(F.struct("id", "label"))).alias("m")).where("lo < hi")
-    once = open_.groupBy("m").agg(F.min("entry").alias("entry"))
-    members = once.select("entry", F.inline("m")).join(reps.select("id", "n", "sig"), "id")
-    return members.groupBy("entry").applyInPandas(_cross_pairs(percent, best), "a long, b long").distinct()
-
-
-def components(links: DataFrame) -> DataFrame:
+def family_links(star: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between the components of every family that has more than one."""
+    families = stored(components(star).select("id", F.col("label").alias("family")), "near-families")
+    members = families.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("x"), F.max("label").alias("y"))
+    blocks = F.ceil(F.col("size") / BLOCK_MEMBERS)
+    open_ = sizes.where("x < y").select("family", blocks.alias("blocks"))
+    members = members.join(open_, "family").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    paired = members.select("family", "id", "label", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("o"))
+    paired = paired.select("family", F.least("block", "o").alias("lo"), F.greatest("block", "o").alias("hi"), "id", "label", "block")
+    return paired.join(sets, "id").groupBy("family", "lo", "hi").applyInPandas(_block_links(percent), "a long, b long")
+
+
+def _union(frames):
+    """Union-find over the links of one task."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        top = x
+        while (up := parent.setdefault(top, top)) != top:
+            top = up
+        while x != top:
+            parent[x], x = top, parent[x]
+        return top
+
+    for pdf in frames:
+        for u, v in zip(pdf["u"].tolist(), pdf["v"].tolist()):
+            u, v = root(u), root(v)
+            parent[max(u, v)] = min(u, v)
+    ids = list(parent)
+    yield pd.DataFrame({"id": ids, "label": [root(x) for x in ids]}, dtype="int64")
+
+
+def components(links: DataFrame, one_task: int = ONE_TASK_LINKS) -> DataFrame:
     """(id, label): the smallest id of the component, for every id that has a link.
 
-    Alternating star contraction: all larger neighbours of an id, then it and its smaller
-    ones, are tied to the smallest id around, until nothing changes."""
+    Up to ``one_task`` links (counted first) one task joins them.  More links are contracted
+    in distributed rounds of alternating stars: all larger neighbours of an id, then it and its
+    smaller ones, are tied to the smallest id around, until nothing changes."""
     def smallest(edges: DataFrame) -> DataFrame:
         return edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
 
@@ -254,7 +301,9 @@ def components(links: DataFrame) -> DataFrame:
 
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "near-links")
     state = digest(edges)
-    while state[0]:
+    if state[0] <= one_task:
+        return edges.coalesce(1).mapInPandas(_union, "id long, label long")
+    while True:
         around = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = around.join(smallest(around), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.join(smallest(large), "u")
@@ -280,31 +329,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     buckets = max(shuffle_partitions(spark), -(-reps.count() * SIDE * SIDE // BUCKET_ENTRIES))
     cells = reps.select("id", "sig").mapInArrow(_fill_tables(buckets), "bucket int, keys binary, ids binary")
     entries = cells.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_entries, "members array<long>, times int")
-    entries = stored(entries.groupBy("members").agg(F.sum("times").alias("times"))
-                     .withColumn("entry", F.monotonically_increasing_id()), "near-entries")
     # every member against the smallest id of its entries
     star = entries.select(F.col("members")[0].alias("a"), F.explode(F.slice("members", 2, LISTED)).alias("b"), "times").groupBy(
         "a", "b").agg(F.sum("times").alias("times"))
-    sig = lambda key, s, n: reps.select(F.col("id").alias(key), F.col("sig").alias(s), F.col("n").alias(n))
-    star = star.join(sig("a", "x", "n"), "a").join(sig("b", "y", "m"), "b").mapInArrow(_agreeing(percent), "a long, b long, times long")
+    best = Window.partitionBy("b").orderBy(F.desc("times"), "a")
+    star = star.withColumn("r", F.row_number().over(best)).where(F.col("r") <= KEPT_PAIRS).drop("r")
+    sig = lambda key, name: reps.select(F.col("id").alias(key), F.col("sig").alias(name))
+    star = star.join(sig("a", "x"), "a").join(sig("b", "y"), "b").mapInArrow(_agreeing, "a long, b long, times long")
     star = stored(star, "near-stars")
     ids = star.select(F.col("a").alias("id")).unionAll(star.select(F.col("b").alias("id"))).distinct()
     sets = full_sets(rows, reps.select("id", "s1", "s2", "copies").join(ids, "id"), shingle)
     first = star.groupBy("b").agg(F.min(F.struct(-F.col("times"), F.col("a"))).alias("x")).select(F.col("x.a").alias("a"), "b")
     links = stored(verified(first, sets, percent), "near-links")
+    labels = stored(components(links), "near-labels")
+    links = links.unionAll(family_links(star, labels, sets, percent))
     labels = components(links)
-    tried = first
-    for best in (2, None):
-        pairs = stored(cross_pairs(entries, labels, reps, percent, best).join(tried, ["a", "b"], "left_anti"), "near-pairs")
-        if not pairs.limit(1).count():
-            break
-        ends = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
-        lacking = ends.join(sets, "id", "left_anti")
-        if lacking.limit(1).count():
-            sets = sets.unionAll(full_sets(rows, reps.select("id", "s1", "s2", "copies").join(lacking, "id"), shingle))
-        links = links.unionAll(stored(verified(pairs, sets, percent), "near-links"))
-        labels = components(links)
-        tried = tried.unionAll(pairs)
     classes = reps.join(labels, "id", "left").select("s1", "s2", F.coalesce("label", "id").alias("component_id"))
     linked = own.where("n > 0").select("doc_id", "n", "s1", "s2").join(classes, ["s1", "s2"])
     alone = own.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
