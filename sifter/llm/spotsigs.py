@@ -91,15 +91,17 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next,
     length_partition) of every row of (doc_id, text): the text's own fingerprint, that of its edited
     form (the second half replaced by the start of the next document), and their likeness."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+    # both joins below take these three columns by key, so one shuffle of the texts serves both
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("key"),
-                       text.alias("text"), F.char_length(text).cast("long").alias("n_chars"))
-    lending = rows.drop("doc_id", "n_chars").join(lent_heads(rows), "key")
-    lending = lending.withColumn("_r", F.row_number().over(Window.partitionBy("key").orderBy("text"))).where("_r = 1")
+                       F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    n_chars = F.char_length("text").cast("long")
+    lending = rows.join(lent_heads(rows.select("key", n_chars.alias("n_chars"))), "key")
+    first = Window.partitionBy("key", "doc_id").orderBy("text")
+    lending = lending.withColumn("_r", F.row_number().over(first)).where("_r = 1")
     lending = with_signatures(lending, "text", "next_sigs").select(
         F.col("target").alias("key"), F.substring("text", F.lit(1), F.col("need")).alias("lent"), "next_sigs")
-    both = rows.join(lending, "key")
+    both = rows.join(lending, "key").withColumn("n_chars", n_chars)
     half = F.floor(F.col("n_chars") / 2).cast("int")
     both = both.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half),
                                               F.substring("lent", F.lit(1), half))).drop("lent")
