@@ -12,7 +12,7 @@ from sifter.operators import extract as X
 from sifter.plans import oracle as O
 from sifter.plans.catalog import CFG, register
 from sifter.plans.q_extract import EXTRACT_CTES, SQL_TOK, items, kept_messages
-from sifter.sources.fixtures import Fixtures
+from sifter.sources.fixtures import EPOCH0, Fixtures
 
 N = CFG.max_synthesis_items
 SQL_PRIO = "CASE category WHEN 'high_relevance' THEN 0 WHEN 'general_info' THEN 1 ELSE 2 END"
@@ -152,10 +152,13 @@ def q_topic_digest(fx: Fixtures) -> DataFrame:
                                             "section")
 
 
+RUN_SECONDS = 300
+
+
 @register("empty_digest", O.compose([*ITEM_CTES,
-    ("rl", "SELECT id AS run_id, ran_epoch, lag(ran_epoch) OVER (ORDER BY id) AS prev_epoch FROM runs"),
-    ("ri", """SELECT rl.run_id, i.* FROM rl JOIN items_f i JOIN messages m ON m.id = i.email_id
-              ON m.received_epoch <= rl.ran_epoch AND (rl.prev_epoch IS NULL OR m.received_epoch > rl.prev_epoch)"""),
+    ("rl", f"SELECT DISTINCT (received_epoch - {EPOCH0}) // {RUN_SECONDS} AS run_id FROM messages"),
+    ("ri", f"""SELECT (m.received_epoch - {EPOCH0}) // {RUN_SECONDS} AS run_id, i.*
+               FROM items_f i JOIN messages m ON m.id = i.email_id"""),
     ("rc", f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY priority, ord) AS rr FROM ri)
                WHERE rr <= {N}""")],
     f"""SELECT rl.run_id, count(rc.email_id) AS n_items,
@@ -164,24 +167,18 @@ def q_topic_digest(fx: Fixtures) -> DataFrame:
                                 string_agg({sql_fallback_line()}, chr(10) ORDER BY rc.priority, rc.ord)) END AS digest_md
         FROM rl LEFT JOIN rc ON rc.run_id = rl.run_id GROUP BY rl.run_id"""))
 def q_empty_digest(fx: Fixtures) -> DataFrame:
-    """per logged run, the fallback digest of the items that arrived since the
-    previous run (by run id); a run with nothing new gets the fixed empty digest."""
-    runs = fx.runs()
-    w = Window.orderBy("id")        # the run log: two rows a day, bounded
-    log = runs.select(F.col("id").alias("run_id"), "ran_epoch", F.lag("ran_epoch").over(w).alias("prev_epoch"))
-    bounds = log.select(F.collect_list(F.struct("run_id", "ran_epoch", "prev_epoch"))).scalar()
-    it = prioritized(fx).join(fx.messages().select(F.col("id").alias("email_id"), "received_epoch"), "email_id")
-    e = F.col("received_epoch")
-    it = it.withColumn("_bounds", bounds)        # the scalar enters as a column, then the lambdas read it
-    tagged = it.select("*", F.explode(F.transform(F.filter("_bounds", lambda b: (e <= b["ran_epoch"]) & (
-        b["prev_epoch"].isNull() | (e > b["prev_epoch"]))), lambda b: b["run_id"])).alias("run_id")).drop("_bounds")
+    """with a run every five minutes, the fallback digest of the items that arrived in each run's
+    interval; a run without a new item gets the fixed empty digest."""
+    run = F.floor((F.col("received_epoch") - EPOCH0) / RUN_SECONDS).alias("run_id")
+    log = fx.messages().select(run).distinct()
+    it = prioritized(fx).join(fx.messages().select(F.col("id").alias("email_id"), run), "email_id")
     rw = Window.partitionBy("run_id").orderBy("priority", "ord")
-    capped_runs = tagged.withColumn("_r", F.row_number().over(rw)).where(F.col("_r") <= N)
+    capped_runs = it.withColumn("_r", F.row_number().over(rw)).where(F.col("_r") <= N)
     per_run = capped_runs.groupBy("run_id").agg(
         F.count(F.lit(1)).alias("n_items"),
         D.ordered_text(D.fallback_line("source_name", "summary_text", "link_url"), F.struct("priority", "ord"),
                        "\n").alias("_lines"))
-    j = log.select("run_id").join(per_run, "run_id", "left")
+    j = log.join(per_run, "run_id", "left")
     n = F.coalesce(F.col("n_items"), F.lit(0))
     return j.select("run_id", n.alias("n_items"),
                     F.when(n == 0, F.lit(K.EMPTY_DIGEST))

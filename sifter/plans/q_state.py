@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,9 +15,10 @@ from sifter.plans.catalog import CFG, register
 from sifter.plans.digest_run import run_digest
 from sifter.plans.q_digest import sql_bullet, sql_fallback_line
 from sifter.plans.q_extract import SQL_ART, SQL_BASE, SQL_HIGH, SQL_ITEMS, SQL_PG, SQL_TOK
+from sifter.session import shared_folder
 from sifter.sources import sinks
 from sifter.sources.fixtures import Fixtures
-from sifter.sources.state import merged_processed, next_run_row
+from sifter.sources.state import append_processed, append_run, next_run_row, read_state
 
 THR = CFG.triage_score_threshold
 DAY = 86400
@@ -67,10 +70,24 @@ def q_last_run(fx: Fixtures) -> DataFrame:
             .unionByName(S.last_run(event_run_log(fx)).select(F.lit("events").alias("log"), "last_ran_epoch")))
 
 
-@register("resolve_cutoff", O.compose([SQL_ASOF, SQL_LAST, SQL_CUTOFF], "SELECT cutoff_epoch, cutoff_source FROM cutoff"))
+@register("resolve_cutoff", O.compose([SQL_ASOF, SQL_LAST, SQL_CUTOFF, SQL_EVENT_RUNS], f"""
+SELECT 'runs' AS log, cutoff_epoch, cutoff_source FROM cutoff
+UNION ALL
+SELECT 'events', arg_max(ran_epoch, id), 'last_run' FROM event_runs
+UNION ALL
+SELECT 'none', as_of - {CFG.initial_lookback_days * DAY}, 'initial_lookback' FROM run_at
+UNION ALL
+SELECT 'override', as_of - {2 * DAY}, 'override' FROM run_at"""))
 def q_resolve_cutoff(fx: Fixtures) -> DataFrame:
-    """Override -> last run -> initial lookback."""
-    return S.resolve_cutoff(fx.runs(), as_of(fx), CFG)
+    """Override -> last run -> initial lookback, for the fixture log, a log derived from the
+    events table, an empty log, and an override."""
+    log, out = event_run_log(fx), None
+    override = replace(CFG, lookback_days_override=2)
+    for name, runs, cfg in (("runs", fx.runs(), CFG), ("events", log, CFG), ("none", log.where("id IS NULL"), CFG),
+                            ("override", log, override)):
+        row = S.resolve_cutoff(runs, as_of(fx), cfg).select(F.lit(name).alias("log"), "cutoff_epoch", "cutoff_source")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 @register("scan_incremental", O.compose(STATE_CTES,
@@ -97,12 +114,26 @@ def q_new_vs_seen(fx: Fixtures) -> DataFrame:
     return S.new_vs_seen(fetched(fx), fx.processed_messages())
 
 
-@register("read_state", O.compose([SQL_LAST],
-    "SELECT p.message_id, p.processed_epoch, l.last_ran_epoch FROM processed_messages p, last_run l"))
+def written_state(fx: Fixtures) -> str:
+    """A new state folder that holds the processed ids and the event-derived run log, as run 0 left them."""
+    folder = shared_folder(fx.spark, "state")
+    (fx.processed_messages().withColumn("run_id", F.lit(0).cast("long"))
+     .write.partitionBy("run_id").parquet(f"{folder}/processed_messages"))
+    event_run_log(fx).withColumn("run_part", F.lit(0)).write.partitionBy("run_part").parquet(f"{folder}/runs")
+    return folder
+
+
+def as_of_value(fx: Fixtures) -> int:
+    return int(fx.messages().agg(F.max("received_epoch") + 60).first()[0])
+
+
+@register("read_state", O.compose([SQL_EVENT_RUNS],
+    """SELECT p.message_id, p.processed_epoch, (SELECT arg_max(ran_epoch, id) FROM event_runs) AS last_ran_epoch
+       FROM processed_messages p"""))
 def q_read_state(fx: Fixtures) -> DataFrame:
-    """Processed ids together with the last run time (scalar)."""
-    lr = S.last_run(fx.runs()).scalar()
-    return fx.processed_messages().select("message_id", "processed_epoch", lr.alias("last_ran_epoch"))
+    """Processed ids together with the last run time, read from a written state folder."""
+    processed, runs = read_state(fx.spark, written_state(fx))
+    return processed.select("message_id", "processed_epoch", S.last_run(runs).scalar().alias("last_ran_epoch"))
 
 
 @register("append_processed", O.compose(STATE_CTES,
@@ -111,19 +142,26 @@ def q_read_state(fx: Fixtures) -> DataFrame:
        SELECT DISTINCT f.id AS message_id, (SELECT as_of FROM run_at) AS processed_epoch FROM fetched f
        WHERE NOT EXISTS (SELECT 1 FROM processed_messages p WHERE p.message_id = f.id)"""))
 def q_append_processed(fx: Fixtures) -> DataFrame:
-    """The processed table after this run's fetched ids are inserted (first time wins)."""
-    return merged_processed(fx.processed_messages(), fetched(fx).select("id"), as_of(fx))
+    """This run's fetched ids written to a state folder (twice: a replay changes nothing), read back."""
+    folder, now = written_state(fx), as_of_value(fx)
+    ids = fetched(fx).select("id")
+    append_processed(fx.spark, folder, ids, now, run_id=1)
+    append_processed(fx.spark, folder, ids, now + 1, run_id=1)
+    return read_state(fx.spark, folder)[0].select("message_id", "processed_epoch")
 
 
-@register("append_run", O.compose([*STATE_CTES, SQL_FRESH],
-    """SELECT id, ran_epoch, messages_processed FROM runs
+@register("append_run", O.compose([*STATE_CTES, SQL_FRESH, SQL_EVENT_RUNS],
+    """SELECT id, ran_epoch, messages_processed FROM event_runs
        UNION ALL
-       SELECT (SELECT max(id) FROM runs) + 1, (SELECT as_of FROM run_at), (SELECT count(*) FROM fresh)"""))
+       SELECT (SELECT max(id) FROM event_runs) + 1, (SELECT as_of FROM run_at), (SELECT count(*) FROM fresh)"""))
 def q_append_run(fx: Fixtures) -> DataFrame:
-    """The run log with this run's row appended."""
-    fresh = S.anti_join_processed(fetched(fx), fx.processed_messages())
-    row = next_run_row(fx.runs(), as_of(fx), fresh.select(F.count(F.lit(1))).scalar())
-    return fx.runs().unionByName(row)
+    """This run's row written to a state folder, the log read back."""
+    folder, now = written_state(fx), as_of_value(fx)
+    processed, runs = read_state(fx.spark, folder)
+    fresh = S.anti_join_processed(fetched(fx), processed)
+    row = next_run_row(runs, F.lit(now), fresh.select(F.count(F.lit(1))).scalar()).first()
+    append_run(fx.spark, folder, now, row["messages_processed"], row["id"])
+    return read_state(fx.spark, folder)[1].select("id", "ran_epoch", "messages_processed")
 
 
 SQL_RESULTS = ("results", f"""

@@ -38,12 +38,6 @@ def new_processed_rows(processed: DataFrame, new_ids: DataFrame, as_of_epoch: Co
             .select("message_id", as_of_epoch.cast("long").alias("processed_epoch")))
 
 
-def merged_processed(processed: DataFrame, new_ids: DataFrame, as_of_epoch: Column) -> DataFrame:
-    """S8 result table: state plus the delta."""
-    base = processed.select("message_id", "processed_epoch")
-    return base.unionByName(new_processed_rows(base, new_ids, as_of_epoch))
-
-
 def append_processed(spark: SparkSession, state_dir: str, new_ids: DataFrame, as_of_epoch: int,
                      run_id: int) -> int:
     """S8 sink: write this run's delta into its own partition and return its number of rows.
