@@ -15,8 +15,9 @@ the log10 weights are added up.
 Counts cover all training texts and live nowhere as a whole.  Texts are dealt
 into blocks; a block sends its distinct n-grams (64-bit hashes in sorted, packed
 cells, one for each bucket of the hash space), a bucket adds up the counts and
-sends back only those that differ from what the block has counted itself, and
-the block, now holding the arcs and states its texts need, scores them.  Hot
+sends back one byte for each n-gram (the total, or that the block's own count is
+all there is), and the block, now holding the arcs and states its texts need,
+scores them.  Hot
 n-grams cost one entry for each block.
 
 Tokens: A-Z lower-cased words between white space, then one end token.  Defined
@@ -129,7 +130,7 @@ def _count_block(order: int, buckets: int):
 
 
 def _sum_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Corpus counts of a bucket's n-grams, for each block where they differ from its own."""
+    """Corpus counts of a bucket's n-grams, told to each block that has sent some."""
     keys = [unpack_sorted(k) for k in pdf["keys"]]
     sizes = [k.size for k in keys]
     own = np.concatenate([np.frombuffer(c, "<u4") for c in pdf["counts"]]).astype(np.int64)
@@ -140,22 +141,26 @@ def _sum_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
     sums = np.add.reduceat(own[by], first)
     total = np.empty_like(own)
     total[by] = np.repeat(sums, np.diff(np.concatenate([first, [flat.size]])))
-    out, at = [], 0
-    for block, k, n in zip(pdf["block"], keys, sizes):
-        t = total[at:at + n]
-        differs = t != own[at:at + n]
-        at += n
-        if differs.any():
-            out.append((block, pack_sorted(k[differs]), t[differs].tobytes()))
-    return pd.DataFrame(out, columns=["block", "keys", "totals"]).astype({"block": "int32"})
+    # one byte for each n-gram of a block's cell, in its order: 0 where the block's own count is all there is,
+    # the total up to 254, or 255 with the total in ``large``
+    code = np.where(total == own, 0, np.minimum(total, 255)).astype(np.uint8)
+    ends = np.cumsum(sizes)
+    out = [(block, bucket, code[e - n:e].tobytes(), total[e - n:e][code[e - n:e] == 255].tobytes())
+           for block, bucket, n, e in zip(pdf["block"], pdf["bucket"], sizes, ends)]
+    return pd.DataFrame(out, columns=["block", "bucket", "codes", "large"])
 
 
-def _score_block(order: int, n_train: int, vocabulary: int, train_docs: int, mu: float):
+def _score_block(order: int, buckets: int, n_train: int, vocabulary: int, train_docs: int, mu: float):
     def run(pdf: pd.DataFrame, sent: pd.DataFrame) -> pd.DataFrame:
         own = BlockCounts(pdf, order)
         counts = own.counts
-        for keys, totals in zip(sent["keys"], sent["totals"]):
-            counts[np.searchsorted(own.keys, unpack_sorted(keys))] = np.frombuffer(totals, np.int64)
+        cells = {b: (i, j) for b, i, j in by_bucket(own.keys, buckets)}
+        for bucket, codes, large in zip(sent["bucket"], sent["codes"], sent["large"]):
+            i, j = cells[bucket]
+            code = np.frombuffer(codes, np.uint8)
+            total = np.where(code == 0, counts[i:j], code)
+            total[code == 255] = np.frombuffer(large, np.int64)
+            counts[i:j] = total
         per_order = counts[own.at].reshape(order, -1).astype(np.float64)
         root = np.log10(per_order[0] + 1) - np.log10(n_train + vocabulary + 1)
         score, failures = walk(per_order, own.starts, root, train_docs, mu)
@@ -196,8 +201,9 @@ def score_texts(docs: DataFrame, train: Column, order: int = ORDER, mu: float =
     train_docs = rows.where("train").count()
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
     cells = dealt.groupBy("block").applyInPandas(_count_block(order, blocks), "bucket int, block int, keys binary, counts binary")
-    sums = cells.repartition(blocks, "bucket").groupBy("bucket").applyInPandas(_sum_bucket, "block int, keys binary, totals binary")
-    score = _score_block(order, n_train, vocabulary, train_docs, mu)
+    sums = cells.repartition(blocks, "bucket").groupBy("bucket").applyInPandas(
+        _sum_bucket, "block int, bucket int, codes binary, large binary")
+    score = _score_block(order, blocks, n_train, vocabulary, train_docs, mu)
     return dealt.groupBy("block").cogroup(sums.repartition(blocks, "block").groupBy("block")).applyInPandas(
         score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, "
                "score double, n_failures long")
