@@ -190,7 +190,10 @@ def q_inbox_actions(fx: Fixtures) -> DataFrame:
         FROM (SELECT row_number() OVER (ORDER BY ord) AS n, subject, sender,
                      strftime(to_timestamp(received_epoch), '%a, %d %b %Y %H:%M:%S +0000') AS date,
                      substr(snippet, 1, {K.LISTING_SNIPPET_CHARS}) AS snippet
-              FROM fetched)"""))
+              FROM fetched)
+        UNION ALL
+        SELECT 0, NULL, NULL, NULL, NULL, concat('Fetched ', count(*), ' emails (query: category:updates is:unread is:important)', chr(10))
+        FROM fetched"""))
 def q_fetched_listing(fx: Fixtures) -> DataFrame:
     """Numbered listing of the fetched messages."""
     return sinks.fetched_listing(fetched(fx))
@@ -204,7 +207,14 @@ def q_fetched_listing(fx: Fixtures) -> DataFrame:
                id, category, printf('%.2f', relevance_score) AS score, subject, sender,
                CASE WHEN section = 'KEPT' THEN CASE WHEN coalesce(len(topics), 0) > 0
                     THEN array_to_string(topics, ', ') ELSE {O.q(K.REPORT_NO_TOPICS)} END END AS topics, reason
-        FROM (SELECT *, CASE WHEN kept THEN 'KEPT' ELSE 'DISCARDED' END AS section FROM results))"""))
+        FROM (SELECT *, CASE WHEN kept THEN 'KEPT' ELSE 'DISCARDED' END AS section FROM results))
+        UNION ALL
+        SELECT 'KEPT', 0, NULL, NULL, NULL, NULL, NULL, NULL, NULL,
+               concat('Triage results: ', count(*) FILTER (WHERE kept), ' kept / ', count(*), ' total', chr(10), chr(10),
+                      repeat('=', 60), chr(10), 'KEPT', chr(10), repeat('=', 60)) FROM results
+        UNION ALL
+        SELECT 'DISCARDED', 0, NULL, NULL, NULL, NULL, NULL, NULL, NULL,
+               concat(repeat('=', 60), chr(10), 'DISCARDED', chr(10), repeat('=', 60))"""))
 def q_triage_report(fx: Fixtures) -> DataFrame:
     """KEPT / DISCARDED report sorted by score."""
     return sinks.triage_report(results(fx))

@@ -24,6 +24,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str, tasks: int) -> DataFrame:
+    """Deal a table's rows by a hash of ``key`` over ``tasks`` where it would be read by fewer (few files
+    or row groups); a table of many files is read as it is, without a shuffle."""
+    return df if df.rdd.getNumPartitions() >= tasks else df.repartition(tasks, key)
+
+
 def _mod(c: Column, n) -> Column:
     return c % n
 
@@ -34,6 +40,7 @@ class Fixtures:
 
     spark: SparkSession
     sf_dir: str
+    parallelism: int | None = None      # tasks of the per-message work; default: the shuffle partitions
     _cache: dict = field(default_factory=dict)
 
     def table(self, name: str) -> DataFrame:
@@ -75,7 +82,8 @@ class Fixtures:
         labels = F.split(F.concat_ws(",", F.lit("UPDATES"), F.when(d % 3 != 0, F.lit("UNREAD")),
                                      F.when(d % 5 != 0, F.lit("IMPORTANT"))), ",")
         text = F.col("text")
-        out = docs.join(lk, "doc_id").select(
+        tasks = self.parallelism or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        out = spread(docs, "doc_id", tasks).join(lk, "doc_id").select(
             d.cast("string").alias("id"),
             d.alias("ord"),
             F.replace(F.substring(text, 1, 80), F.lit("\n"), F.lit(" ")).alias("subject"),

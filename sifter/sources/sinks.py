@@ -27,15 +27,18 @@ def header_date(epoch_col) -> F.Column:
     return F.date_format(F.timestamp_seconds(epoch_col), "EEE, dd MMM yyyy HH:mm:ss '+0000'")
 
 
-def fetched_listing(fetched: DataFrame) -> DataFrame:
+def fetched_listing(fetched: DataFrame, query: str = K.FETCH_QUERY) -> DataFrame:
     """Numbered listing of fetched messages: subject, from, date, snippet[:120],
-    with ``line`` = the entry as the text dump shows it."""
+    with ``line`` = the entry as the text dump shows it; number 0 is the head line."""
     pos = ordered_position(fetched.select("ord", "subject", "sender", "received_epoch", "snippet"), ["ord"])
     out = pos.select(F.col("pos").alias("n"), "subject", "sender", header_date(F.col("received_epoch")).alias("date"),
                      truncate(F.col("snippet"), K.LISTING_SNIPPET_CHARS).alias("snippet"))
     line = F.concat(F.col("n").cast("string"), F.lit(". "), F.col("subject"), F.lit("\n   From: "), F.col("sender"),
                     F.lit("\n   Date: "), F.col("date"), F.lit("\n   Snippet: "), F.col("snippet"), F.lit("\n"))
-    return out.withColumn("line", line)
+    head = fetched.agg(F.count(F.lit(1)).alias("_n")).select(
+        F.lit(0).cast("long").alias("n"), F.concat(F.lit("Fetched "), F.col("_n").cast("string"),
+                                                   F.lit(f" emails (query: {query})\n")).alias("line"))
+    return out.withColumn("line", line).unionByName(head, allowMissingColumns=True)
 
 
 def write_lines(report: DataFrame, path: str, order_cols: list) -> None:
@@ -48,7 +51,8 @@ def write_lines(report: DataFrame, path: str, order_cols: list) -> None:
 
 
 def triage_report(results: DataFrame) -> DataFrame:
-    """KEPT and DISCARDED sections, each by score descending (ties in input order)."""
+    """KEPT and DISCARDED sections, each by score descending (ties in input order); rank 0 is a
+    section's head, above the first one also the report's."""
     r = results.select("id", "ord", "subject", "sender", "category", "relevance_score", "topics", "reason",
                        F.when(F.col("kept"), F.lit("KEPT")).otherwise(F.lit("DISCARDED")).alias("section"))
     pos = ordered_position(r, [F.col("relevance_score").desc(), F.col("ord")], ["section"], out="rank")
@@ -62,7 +66,13 @@ def triage_report(results: DataFrame) -> DataFrame:
                     F.when(F.col("section") == "KEPT", F.concat(F.lit("\n    Topics: "), F.col("topics")))
                     .otherwise(F.lit("")),
                     F.lit("\n    Reason: "), F.coalesce(F.col("reason"), F.lit("None")), F.lit("\n"))
-    return out.withColumn("line", line)
+    sections = [F.struct(F.lit(name).alias("section"), F.concat(
+        title, F.lit(f"{K.REPORT_RULE}\n{name}\n{K.REPORT_RULE}")).alias("line")) for name, title in (
+            ("KEPT", F.concat(F.lit("Triage results: "), F.col("_kept").cast("string"), F.lit(" kept / "),
+                              F.col("_all").cast("string"), F.lit(" total\n\n"))), ("DISCARDED", F.lit("")))]
+    heads = results.agg(F.count_if("kept").alias("_kept"), F.count(F.lit(1)).alias("_all")).select(
+        F.inline(F.array(*sections))).withColumn("rank", F.lit(0).cast("long"))
+    return out.withColumn("line", line).unionByName(heads, allowMissingColumns=True)
 
 
 def digest_sink(digest: DataFrame, path: str | None, dry_run: bool) -> DataFrame:

@@ -230,7 +230,8 @@ def test_listing_text_in_order(spark):
     sinks.write_lines(listing, path, ["n"])
     import glob
     text = "".join(open(f).read() for f in sorted(glob.glob(f"{path}/part-*")))
-    assert text.startswith("1. subj 29\n   From: s29@x\n   Date: Mon, 01 Jan 2024 00:00:29 +0000\n   Snippet: " + "x" * 120)
+    head = "Fetched 30 emails (query: category:updates is:unread is:important)\n\n"
+    assert text.startswith(head + "1. subj 29\n   From: s29@x\n   Date: Mon, 01 Jan 2024 00:00:29 +0000\n   Snippet: " + "x" * 120)
     assert text.count(". subj ") == 30 and text.index("2. subj 28") < text.index("30. subj 0")
 
 
