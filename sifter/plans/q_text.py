@@ -27,13 +27,23 @@ def q_source_name(fx: Fixtures) -> DataFrame:
     return fx.messages().select("id", "sender", T.source_name("sender").alias("source_name"))
 
 
-@register("strip_invisible", O.compose([],
-    f"""SELECT id, length(body_text) - length({O.strip_invisible('body_text')}) AS n_removed,
-               {O.strip_invisible('body_text')} AS clean_text FROM messages"""))
+SQL_MARKED = ("marked", """
+SELECT id, CASE ord % 3 WHEN 0 THEN replace(body_text, ' ', concat(' ', chr(8203)))
+                        WHEN 1 THEN concat(chr(65279), replace(body_text, 'e', concat('e', chr(173), chr(160)))) ELSE body_text END AS body
+FROM messages""")
+
+
+@register("strip_invisible", O.compose([SQL_MARKED],
+    f"""SELECT id, length(body) - length({O.strip_invisible('body')}) AS n_removed,
+               {O.strip_invisible('body')} AS clean_text FROM marked"""))
 def q_strip_invisible(fx: Fixtures) -> DataFrame:
-    """invisible code points deleted from every message text."""
-    m = fx.messages().select("id", "body_text", T.strip_invisible("body_text").alias("clean_text"))
-    return m.select("id", (F.length("body_text") - F.length("clean_text")).cast("long").alias("n_removed"), "clean_text")
+    """invisible code points deleted from every message text; two thirds of the texts are given some
+    (zero-width spaces, byte order marks, soft hyphens, no-break spaces)."""
+    o, text = F.col("ord"), F.col("body_text")
+    marked = (F.when(o % 3 == 0, F.replace(text, F.lit(" "), F.lit(" \u200b")))
+              .when(o % 3 == 1, F.concat(F.lit("\ufeff"), F.replace(text, F.lit("e"), F.lit("e\u00ad\u00a0")))).otherwise(text))
+    m = fx.messages().select("id", marked.alias("body")).select("id", "body", T.strip_invisible("body").alias("clean_text"))
+    return m.select("id", (F.length("body") - F.length("clean_text")).cast("long").alias("n_removed"), "clean_text")
 
 
 @register("html_to_text", O.compose([],
