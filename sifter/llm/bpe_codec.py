@@ -28,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sifter.llm.common import tokenizer_path
+from sifter.llm.common import kept, tokenizer_path
 from sifter.llm.token_counts import SPACE
 
 #: Words that a worker remembers.
-CACHE = 300_000
+CACHE = 150_000
 
 #: Fixed value: the word pattern of the vocabulary (matches are kept, the rest is dropped).
 WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+"
@@ -204,15 +204,9 @@ class Codec:
         return counts, ids, decoded
 
 
-_WORKER: dict[str, Codec] = {}
-
-
 def codec(name: str) -> Codec:
     path = name if os.path.sep in name else tokenizer_path(name)
-    if path not in _WORKER:
-        _WORKER.clear()
-        _WORKER[path] = Codec(path)
-    return _WORKER[path]
+    return kept(("codec", path), lambda: Codec(path))
 
 
 def _sha(text: str) -> str:

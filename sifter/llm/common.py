@@ -56,7 +56,37 @@ def held_out(doc_id, modulus: int, remainder: int):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
-# ---------------------------------------------------------------- tokens inside tasks
+# ---------------------------------------------------------------- inside tasks
+
+_KEPT: dict = {}
+
+
+def kept(key, build):
+    """What an operator keeps in a Python worker between batches and tasks (caches, compressors).  Workers serve
+    one operator after another, so only the last one's is held."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = build()
+    return _KEPT[key]
+
+
+def release() -> None:
+    """For operators that keep nothing: give back what an earlier one has left."""
+    _KEPT.clear()
+
+
+def in_portions(texts: list, chars: int):
+    """Ranges (from, to) of the texts with about ``chars`` characters each, a longer text alone."""
+    a, held = 0, 0
+    for i, t in enumerate(texts):
+        n = len(t) if t else 0
+        if held and held + n > chars:
+            yield a, i
+            a, held = i, 0
+        held += n
+    if a < len(texts):
+        yield a, len(texts)
+
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 

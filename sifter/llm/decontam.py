@@ -25,12 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sifter.llm.common import in_portions, release
+
 Q = 10
 WINDOW, STRIDE = 96, 48
 #: Edits allowed in a whole window (in proportion for shorter items).
 EDITS = 6
 MIN_CHARS = 32
 BLOCK_CHARS = 1 << 21
+#: Characters that are searched at once (about a hundred bytes of memory each).
+PORTION = 1 << 20
 BITS = 22
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Stands between texts; no character has this code.
@@ -103,8 +107,11 @@ class Block:
 
     def matches(self, texts: list[str | None]) -> list[tuple[int, int, int, int]]:
         """(text, item, matched windows, fewest edits), for items found in a text."""
-        if not self.windows or not texts:
+        if not self.windows:
             return []
+        return [(a + d, i, n, e) for a, b in in_portions(texts, PORTION) for d, i, n, e in self._matches(texts[a:b])]
+
+    def _matches(self, texts: list[str | None]) -> list[tuple[int, int, int, int]]:
         parts, gap = [], np.full(self.reach + 2 * self.band, GAP, np.uint32)
         starts, at = [], gap.size
         for t in texts:
@@ -199,6 +206,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS)
 
 def _finder(shared):
     def run(batches):
+        release()
         block = shared.value
         for b in batches:
             found = block.matches(b.column(1).to_pylist())
@@ -221,6 +229,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_C
 
 def _cleaner(shared, at: int):
     def run(batches):
+        release()
         for b in batches:
             dirty = {d for d, *_ in shared.value.matches(b.column(at).to_pylist())}
             yield b.filter(pa.array([i not in dirty for i in range(b.num_rows)], pa.bool_()))

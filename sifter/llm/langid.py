@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sifter.llm.common import kept
+
 #: Bounds of the training sample, and the block of a text that is compressed at once.
 DOCS = 128
 EXCERPT = 1000
@@ -88,14 +90,8 @@ class Classifier:
         return self.langs[best], score, margin < min_margin
 
 
-_WORKER: dict[int, Classifier] = {}
-
-
 def _classifier(shared) -> Classifier:
-    if shared.id not in _WORKER:
-        _WORKER.clear()
-        _WORKER[shared.id] = Classifier(shared.contents)
-    return _WORKER[shared.id]
+    return kept(("langid", shared.id), lambda: Classifier(shared.contents))
 
 
 class _Shared:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sifter.llm.common import LOWER
+from sifter.llm.common import LOWER, release
 
 CONTAINMENT = 0.9
 #: Words of a window, and its step, where a block is longer; no template is longer than the step.
@@ -159,6 +159,7 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates=TEMPLATES
     types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
 
     def run(batches):
+        release()
         for b in batches:
             rows = list(zip(*map(one, b.column(1).to_pylist()))) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(rows, types))], ["doc_id", *names])

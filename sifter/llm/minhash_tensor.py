@@ -35,8 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sifter.llm.common import (ascii_words, by_bucket, mix64, pack_sorted, shuffle_partitions, stored, unpack_sorted,
-                               word_hashes)
+from sifter.llm.common import (ascii_words, by_bucket, in_portions, mix64, pack_sorted, release, shuffle_partitions, stored,
+                               unpack_sorted, word_hashes)
 
 HALF, SIDE = 3, 12
 HASHES = 2 * HALF * SIDE
@@ -45,6 +45,8 @@ LEAST_AGREEMENT = 0.55
 #: Pairs kept of each member, best supported first; members of a family's block.
 KEPT_PAIRS = 4
 BLOCK_MEMBERS = 256
+#: Characters of text that are hashed at once.
+PORTION = 1 << 20
 #: Links that one task may join (a few megabytes).
 ONE_TASK_LINKS = 500_000
 #: Table entries of a bucket, about; members of one entry that are listed together.
@@ -110,9 +112,17 @@ def table_keys(sig: np.ndarray) -> np.ndarray:
     return mix64(pairs.reshape(len(sig), SIDE * SIDE) ^ TABLE_SALTS)
 
 
+def _portions(batches):
+    """The batches, cut to about a million characters of text each."""
+    release()
+    for b in batches:
+        for i, j in in_portions(b.column(1).to_pylist(), PORTION):
+            yield b.slice(i, j - i)
+
+
 def _sketch(shingle: int):
     def run(batches):
-        for b in batches:
+        for b in _portions(batches):
             sets = shingle_sets(b.column(1).to_pylist(), shingle)
             sizes = np.array([s.size for s in sets], np.int64)
             full = [s for s in sets if s.size]
@@ -183,7 +193,7 @@ def _percent_ok(percent: int):
 
 def _sets_of(shingle: int):
     def run(batches):
-        for b in batches:
+        for b in _portions(batches):
             sets = shingle_sets(b.column(1).to_pylist(), shingle)
             keep = [set_hash(s) == (x, y) for s, x, y in zip(sets, b.column(2).to_pylist(), b.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(pack_sorted, sets), pa.binary())], ["id", "set"]).filter(

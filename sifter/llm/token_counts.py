@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sifter.llm.common import load_tokenizer
+from sifter.llm.common import kept, load_tokenizer
 
 #: Entries of the broadcast table (a few MB), of each task's summary and of a worker's cache.
 FREQUENT = 50_000
@@ -44,6 +44,7 @@ class PreTokens:
         special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.marks = special
+        self.lengths: dict[str, int] = {}
 
     def split(self, text: str) -> tuple[list[str], int]:
         """Pre-tokens and the number of special tokens."""
@@ -53,16 +54,8 @@ class PreTokens:
         return [t for p in parts for t in self.find(p)], len(parts) - 1
 
 
-_WORKER: dict[str, PreTokens] = {}
-_CACHE: dict[str, int] = {}
-
-
 def _pre_tokens(name: str) -> PreTokens:
-    if name not in _WORKER:
-        _WORKER.clear()
-        _CACHE.clear()
-        _WORKER[name] = PreTokens(name)
-    return _WORKER[name]
+    return kept(("pre-tokens", name), lambda: PreTokens(name))
 
 
 def frequent_pre_tokens(docs: DataFrame, name: str, frequent: int = FREQUENT, summary: int = SUMMARY) -> list[str]:
@@ -97,14 +90,15 @@ def count_tokens(docs: DataFrame, name: str = "byte_bpe_50k.json", limit: int =
 
     def count(batches):
         pre, tier1 = _pre_tokens(name), first_tier.value
+        known = pre.lengths
         for b in batches:
             split = [pre.split(t) if t else ((), 0) for t in b.column(1).to_pylist()]
-            if len(_CACHE) > CACHE or not _CACHE:
-                _CACHE.clear()
-                _CACHE.update(tier1)
-            missing = list(set().union(*(s for s, _ in split)).difference(_CACHE))
-            _CACHE.update(zip(missing, map(len, pre.tok.encode_batch_fast(missing, add_special_tokens=False))))
-            look = _CACHE.__getitem__
+            if len(known) > CACHE or not known:
+                known.clear()
+                known.update(tier1)
+            missing = list(set().union(*(s for s, _ in split)).difference(known))
+            known.update(zip(missing, map(len, pre.tok.encode_batch_fast(missing, add_special_tokens=False))))
+            look = known.__getitem__
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(2), pa.array([sum(map(look, s)) + n for s, n in split], pa.int64())],
                 ["doc_id", "n_bytes", "n_tokens"])

@@ -26,15 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sifter.llm.bpe_codec import CACHE, WordSplitter
-from sifter.llm.common import load_tokenizer, shared_folder, stored
+from sifter.llm.bpe_codec import WordSplitter
+from sifter.llm.common import kept, load_tokenizer, shared_folder, stored
 
 #: Ids of one sequence, sequences of one record batch.
 LENGTH = 2048
 ROWS = 256
-
-_WORKER: dict[str, "LibraryWords"] = {}
-
+#: Words that a worker remembers.
+CACHE = 300_000
 
 class LibraryWords:
     """Ids of a text as little-endian bytes: distinct words are encoded by the library once, then looked up."""
@@ -56,10 +55,7 @@ class LibraryWords:
 
 
 def _library(name: str) -> LibraryWords:
-    if name not in _WORKER:
-        _WORKER.clear()
-        _WORKER[name] = LibraryWords(name)
-    return _WORKER[name]
+    return kept(("library", name), lambda: LibraryWords(name))
 
 
 class SequenceWriter:
