@@ -70,37 +70,6 @@ def likeness(a, b, least: float = 0.0) -> Column:
             .otherwise(common / (F.size(a) + F.size(b) - common)))
 
 
-def similar_pairs(docs: DataFrame, least: float = PARTITION_LIKENESS) -> tuple[DataFrame, DataFrame]:
-    """Documents with fingerprints at least ``least`` alike: (doc_id, class_id) with one class for each
-    distinct fingerprint (its smallest doc_id), and the pairs (a, b, likeness) of classes.
-
-    Every class is listed under its rarest signatures only, so many that a partner that is alike enough must share
-    one; classes of one partition by length, or of neighbouring ones, that share one are compared
-    by pruned Jaccard.  Texts without signatures (and a null doc_id) are in no class."""
-    prints = with_signatures(docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text"),
-                             "text", "sigs").where(F.size("sigs") > 0).select("doc_id", "sigs")
-    prints = stored(prints, "spotsigs-sets")
-    classes = stored(prints.groupBy("sigs").agg(F.min("doc_id").alias("class_id")), "spotsigs-classes")
-    members = prints.join(classes, "sigs").select("doc_id", "class_id")
-    n = F.size("sigs")
-    listed = classes.select("class_id", n.alias("n"), length_partition("sigs", least).alias("part"), F.explode("sigs").alias("sig"))
-    often = listed.groupBy("sig").agg(F.count(F.lit(1)).alias("often"))
-    rarest = Window.partitionBy("class_id").orderBy("often", "sig")
-    prefix = (listed.join(often, "sig").withColumn("r", F.row_number().over(rarest))
-              .where(F.col("r") <= F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1).drop("r", "often"))
-    left = prefix.select("sig", F.col("class_id").alias("a"), F.col("n").alias("na"), F.explode(
-        F.array(F.col("part"), F.col("part") + 1)).alias("part"))
-    right = prefix.select("sig", F.col("class_id").alias("b"), F.col("n").alias("nb"), "part")
-    # each pair once: from the shorter set to the longer one, equal lengths by id
-    near = left.join(right, ["sig", "part"]).where(
-        ((F.col("na") < F.col("nb")) | (F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-        & (F.col("na") >= F.lit(least) * F.col("nb") - 1e-9)).select("a", "b").distinct()
-    both = near.join(classes.select(F.col("class_id").alias("a"), F.col("sigs").alias("x")), "a").join(
-        classes.select(F.col("class_id").alias("b"), F.col("sigs").alias("y")), "b")
-    pairs = both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), likeness("x", "y", least).alias("likeness"))
-    return members, pairs.where(F.col("likeness") >= least)
-
-
 def lent_heads(docs: DataFrame) -> DataFrame:
     """(key, target, need): for each document the one before it in descending order, which it
     follows, and how many characters it lends it.

@@ -54,21 +54,6 @@ def test_spotsigs_signatures_by_hand(spark):
     assert (r.x, r.same, r.none, r.pruned) == (0.4, 1.0, 0.0, 0.0)
 
 
-def test_spotsigs_similar_pairs_against_brute_force(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(
-        edge_docs(spark).where("doc_id > 4").select(F.expr("doc_id + 5000").alias("doc_id"), "text"))
-    prints = {r.doc_id: frozenset(r.s) for r in spotsigs.with_signatures(docs, "text", "s").collect() if r.s}
-    first = {}
-    for d in sorted(prints):
-        first.setdefault(prints[d], d)
-    sets = [(d, s) for s, d in first.items()]
-    expect = {(min(a, b), max(a, b)): len(x & y) / len(x | y) for i, (a, x) in enumerate(sets) for b, y in sets[:i]
-              if len(x & y) / len(x | y) >= 0.8}
-    members, pairs = spotsigs.similar_pairs(docs)
-    assert {(r.a, r.b): r.likeness for r in pairs.collect()} == pytest.approx(expect) and expect
-    assert {r.doc_id: r.class_id for r in members.collect()} == {d: first[s] for d, s in prints.items()}
-
-
 def test_language_model_against_brute_force(spark):
     docs = edge_docs(spark)
     got = backoff_lm.score_texts(docs, ~held_out(F.col("doc_id"), 7, 2), block_bytes=50_000).collect()
