@@ -5,7 +5,9 @@ with license templates where a block holds at least ``CONTAINMENT`` of a
 template's words.  Words are ordered by their frequency in the whole corpus,
 rarest first; a block can reach the threshold only if it holds a word of the
 template's prefix, is long enough, and has enough of the template left behind its
-first common word (position filter).  What passes is counted exactly.  Beside it
+first common word (position filter).  What passes is counted exactly, and the
+common words must stand close together (within ``SPAN`` times the template's
+length), so that a long sentence that happens to hold them is no match.  Beside it
 the base rule finds every place where a phrase's words stand consecutively.
 
 The templates are fixed values, a few hundred words, so the corpus count of
@@ -28,6 +30,7 @@ from pyspark.sql import functions as F
 from sifter.llm.common import LOWER, release
 
 CONTAINMENT = 0.9
+SPAN = 1.5
 #: Words of a window, and its step, where a block is longer; no template is longer than the step.
 WINDOW, STEP = 80, 40
 
@@ -89,10 +92,22 @@ class TemplateIndex:
             need = math.ceil(containment * len(own) - 1e-9)
             for i, w in enumerate(own[:len(own) - need + 1]):
                 self.prefix.setdefault(w, []).append((len(self.sets), i))
-            self.sets.append((label, frozenset(own), need))
+            self.sets.append((label, frozenset(own), need, int(SPAN * len(words_of(lowered(text))))))
 
     def search(self, block: list[bytes]) -> list[tuple[str, float]]:
-        """(label, containment) of every template that this block meets."""
+        """(label, containment) of every template that this block's set meets."""
+        return [(self.sets[t][0], c) for t, c in self._hits(block)]
+
+    def found(self, block: list[bytes]) -> list[tuple[str, float]]:
+        """The hits of ``search`` whose words stand close together."""
+        out = []
+        for t, c in self._hits(block):
+            label, words, need, span = self.sets[t]
+            if any(len(words.intersection(block[a:a + span])) >= need for a, w in enumerate(block) if w in words):
+                out.append((label, c))
+        return out
+
+    def _hits(self, block: list[bytes]) -> list[tuple[int, float]]:
         own = set(block)
         shared = sorted((w for w in own if w in self.order), key=self.order.__getitem__)
         first: dict[int, tuple[int, int]] = {}
@@ -101,11 +116,11 @@ class TemplateIndex:
                 first.setdefault(t, (i, j))
         out = []
         for t, (i, j) in first.items():
-            label, words, need = self.sets[t]
+            _, words, need, _ = self.sets[t]
             if len(own) >= need and min(len(words) - i, len(shared) - j) >= need:
                 common = len(words & own)
                 if common >= need:
-                    out.append((label, common / len(words)))
+                    out.append((t, common / len(words)))
         return out
 
 
@@ -149,7 +164,7 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates=TEMPLATES
                 base_labels.add(label)
         found: list[tuple[str, float]] = []
         if not index.value.prefix.keys().isdisjoint(words):
-            found = [hit for block in blocks(low) for hit in index.value.search(block)]
+            found = [hit for block in blocks(low) for hit in index.value.found(block)]
         labels = base_labels | {label for label, _ in found}
         score = 1.0 if base_labels else max((c for _, c in found), default=0.0)
         return (len(words), len(at), min(at, default=None), max(at, default=None),
