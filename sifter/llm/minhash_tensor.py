@@ -8,10 +8,14 @@ second.  SIDE * SIDE tables of 2 * HALF minhashes each so need only
 A pair of similarity 0.8 meets in some table with probability over 0.999.
 
 Documents with one and the same set are one class from the start; only class
-representatives enter the tables.  Within a table entry nobody is paired with
-everybody: each member is held against the entry's smallest id, the few best
-supported of these pairs are kept where the minhashes agree enough, and the best of each
-member is verified.  The kept pairs also tie documents into families.  A family
+representatives enter the tables.  First each member of a table entry is held
+against the entry's smallest id, the few best supported of these pairs are kept
+where the minhashes agree enough, and the best of each member is verified.  The
+kept pairs also tie documents into families.  Then every entry whose members are
+of more than one family is looked through in full: in blocks, pair of blocks by
+pair of blocks, the minhashes of all its members of different families are
+compared, and what agrees enough ties their families too.  So two documents that
+share an entry and agree enough are always of one family.  A family
 that is not yet one component is compared fully: its members are dealt into
 blocks, every pair of blocks goes to one task with the members' full sets, and
 the task counts common shingles of all its cross-component pairs and returns
@@ -29,6 +33,8 @@ no rows.
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -45,6 +51,9 @@ LEAST_AGREEMENT = 0.55
 #: Pairs kept of each member, best supported first; members of a family's block.
 KEPT_PAIRS = 4
 BLOCK_MEMBERS = 256
+#: Members of a block of a table entry; groups of one-block entries for each bucket of the tables.
+ENTRY_BLOCK = 2048
+ENTRY_GROUPS = 16
 #: Characters of text that are hashed at once.
 PORTION = 1 << 20
 #: Links that one task may join (a few megabytes).
@@ -160,21 +169,25 @@ def _fill_tables(buckets: int, rows_at_once: int = 8000):
 
 
 def _entries(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The table entries of a bucket that more than one representative shares, equal ones once with their number."""
+    """The table entries of a bucket that more than one representative shares, equal ones once with their number.
+
+    ``entry`` is a hash of all members."""
     keys = np.concatenate([unpack_sorted(k) for k in pdf["keys"]])
     ids = np.concatenate([np.frombuffer(i, np.int64) for i in pdf["ids"]])
     by = np.lexsort((ids, keys))
     keys, ids = keys[by], ids[by]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     sizes = np.diff(np.concatenate([first, [keys.size]]))
-    seen: dict[bytes, int] = {}
+    seen: dict[tuple[int, bytes], int] = {}
     for a, n in zip(first[sizes > 1].tolist(), sizes[sizes > 1].tolist()):
         members = ids[a:a + n]
+        entry = int.from_bytes(blake2b(members.tobytes(), digest_size=8).digest(), "little", signed=True)
         # a very long entry is listed in portions, its smallest id in each
         for c in range(1, n, LISTED):
-            part = np.concatenate([members[:1], members[c:c + LISTED]]).tobytes()
+            part = entry, np.concatenate([members[:1], members[c:c + LISTED]]).tobytes()
             seen[part] = seen.get(part, 0) + 1
-    return pd.DataFrame({"members": [np.frombuffer(m, np.int64) for m in seen], "times": list(seen.values())})
+    return pd.DataFrame({"entry": np.array([e for e, _ in seen], np.int64), "members": [np.frombuffer(m, np.int64) for _, m in seen],
+                         "times": list(seen.values())})
 
 
 # ---------------------------------------------------------------- candidates, verification, components
@@ -225,6 +238,53 @@ def _agreeing(batches):
         yield b.select(["a", "b", "times"]).filter(pa.array((x == y).mean(axis=1) >= LEAST_AGREEMENT, pa.bool_()))
 
 
+def _low_bytes(batches):
+    """The lowest byte of every minhash: equal ones stay equal, unequal ones meet once in 256."""
+    for b in batches:
+        low = [np.frombuffer(s, np.uint32).astype(np.uint8).tobytes() for s in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(low, pa.binary())], ["id", "low"])
+
+
+def _ties(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Pairs that agree enough and join different families, as few as join them, of every pair of blocks (entry, lo, hi)."""
+    out = []
+    for (_, lo, hi), own in pdf.groupby(["entry", "lo", "hi"], sort=False):
+        ids, block = own["id"].to_numpy(), own["block"].to_numpy()
+        low = np.frombuffer(b"".join(own["low"]), np.uint8).reshape(-1, HASHES)
+        _, family = np.unique(own["family"].to_numpy(), return_inverse=True)
+        right = np.flatnonzero(block == hi)
+        columns = np.ascontiguousarray(low[right].T)
+        for i in np.flatnonzero(block == lo):
+            other = family[right] != family[i]
+            if not other.any():
+                continue
+            agree = (columns == low[i][:, None]).view(np.uint8).sum(axis=0, dtype=np.uint8)
+            met = right[other & (agree >= LEAST_AGREEMENT * HASHES)]
+            for f, at in zip(*np.unique(family[met], return_index=True)):
+                out.append((ids[i], ids[met[at]]))
+                family[family == f] = family[i]
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+def family_ties(entries: DataFrame, families: DataFrame, reps: DataFrame, groups: int) -> DataFrame:
+    """Pairs (a, b) that tie further families: of all members of a table entry that are of different
+    families (id, family) and agree enough, as few as join these families."""
+    listed = entries.select("entry", F.explode("members").alias("id")).distinct()
+    listed = listed.join(families, "id", "left").withColumn("family", F.coalesce("family", "id"))
+    sizes = listed.groupBy("entry").agg(F.count(F.lit(1)).alias("size"), F.min("family").alias("x"), F.max("family").alias("y"))
+    open_ = sizes.where("x < y").select("entry", F.ceil(F.col("size") / ENTRY_BLOCK).alias("blocks"))
+    members = listed.join(open_, "entry").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    low = reps.select("id", "sig").mapInArrow(_low_bytes, "id long, low binary")
+    paired = members.join(low, "id").select("entry", "id", "family", "low", "block", "blocks", F.explode(
+        F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("o"))
+    paired = paired.select("entry", "id", "family", "low", "block", "blocks", F.least("block", "o").alias("lo"), F.greatest("block", "o").alias("hi"))
+    alone = F.pmod(F.xxhash64("entry"), F.lit(groups))
+    group = F.when(F.col("blocks") == 1, F.struct(alone.alias("e"), F.lit(-1).cast("long").alias("lo"), F.lit(-1).cast("long").alias("hi"))).otherwise(
+        F.struct(F.col("entry").alias("e"), "lo", "hi"))
+    return paired.withColumn("g", group).select("g.e", F.col("g.lo").alias("l"), F.col("g.hi").alias("h"), "entry", "id", "family", "low",
+                                                "block", "lo", "hi").groupBy("e", "l", "h").applyInPandas(_ties, "a long, b long")
+
+
 def _block_links(percent: int):
     """Links between different components within a pair of blocks of a family, as few as join them."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -264,9 +324,13 @@ def _block_links(percent: int):
     return run
 
 
-def family_links(star: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def families_of(ties: DataFrame) -> DataFrame:
+    """(id, family) of the pairs (a, b), stored."""
+    return stored(components(ties).select("id", F.col("label").alias("family")), "near-families")
+
+
+def family_links(families: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between the components of every family that has more than one."""
-    families = stored(components(star).select("id", F.col("label").alias("family")), "near-families")
     members = families.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("x"), F.max("label").alias("y"))
     blocks = F.ceil(F.col("size") / BLOCK_MEMBERS)
@@ -338,7 +402,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
                   .select(F.col("x.doc_id").alias("id"), "s1", "s2", "x.n", "x.sig", "x.copies"), "near-classes")
     buckets = max(shuffle_partitions(spark), -(-reps.count() * SIDE * SIDE // BUCKET_ENTRIES))
     cells = reps.select("id", "sig").mapInArrow(_fill_tables(buckets), "bucket int, keys binary, ids binary")
-    entries = cells.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_entries, "members array<long>, times int")
+    entries = stored(cells.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(
+        _entries, "entry long, members array<long>, times int"), "near-entries")
     # every member against the smallest id of its entries
     star = entries.select(F.col("members")[0].alias("a"), F.explode(F.slice("members", 2, LISTED)).alias("b"), "times").groupBy(
         "a", "b").agg(F.sum("times").alias("times"))
@@ -347,12 +412,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     sig = lambda key, name: reps.select(F.col("id").alias(key), F.col("sig").alias(name))
     star = star.join(sig("a", "x"), "a").join(sig("b", "y"), "b").mapInArrow(_agreeing, "a long, b long, times long")
     star = stored(star, "near-stars")
-    ids = star.select(F.col("a").alias("id")).unionAll(star.select(F.col("b").alias("id"))).distinct()
+    # the rest of the entries' pairs
+    families = families_of(star.select("a", "b"))
+    more = stored(family_ties(entries, families, reps, buckets * ENTRY_GROUPS), "near-ties")
+    ties = star.select("a", "b").unionAll(more)
+    if more.limit(1).count():
+        families = families_of(ties)
+    ids = ties.select(F.col("a").alias("id")).unionAll(ties.select(F.col("b").alias("id"))).distinct()
     sets = full_sets(rows, reps.select("id", "s1", "s2", "copies").join(ids, "id"), shingle)
     first = star.groupBy("b").agg(F.min(F.struct(-F.col("times"), F.col("a"))).alias("x")).select(F.col("x.a").alias("a"), "b")
     links = stored(verified(first, sets, percent), "near-links")
     labels = stored(components(links), "near-labels")
-    links = links.unionAll(family_links(star, labels, sets, percent))
+    links = links.unionAll(family_links(families, labels, sets, percent))
     labels = components(links)
     classes = reps.join(labels, "id", "left").select("s1", "s2", F.coalesce("label", "id").alias("component_id"))
     linked = own.where("n > 0").select("doc_id", "n", "s1", "s2").join(classes, ["s1", "s2"])

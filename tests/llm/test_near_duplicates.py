@@ -49,6 +49,25 @@ def test_groups_hubs_and_chains(spark):
     _check(spark, [(i * 3 + 1, " ".join(w)) for i, w in enumerate(docs)], 2)
 
 
+def test_copies_among_lookalikes(spark):
+    """Near copies with large ids inside a large set of pages of one stock of words, about 0.35 alike: smaller ids own their entries."""
+    rng = random.Random(5)
+    stock = [f"f{i}" for i in range(400)]
+    docs = [rng.sample(stock, 208) for _ in range(4000)]
+    for _ in range(150):
+        one = rng.sample(stock, 208)
+        docs += [one, [*one[:-14], *(f"p{rng.randrange(10**9)}" for _ in range(14))]]
+    rows = [(i, " ".join(w)) for i, w in enumerate(docs)]
+    got = {r.doc_id: r.component_id for r in M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 1).collect()}
+    assert got == {i: i if i < 4000 else i - i % 2 for i in range(len(docs))}
+
+
+def test_blocks_of_an_entry(spark, monkeypatch):
+    """The same where the members of an entry are dealt into several blocks."""
+    monkeypatch.setattr(M, "ENTRY_BLOCK", 100)
+    test_copies_among_lookalikes(spark)
+
+
 def test_edges_and_five_words(spark):
     rows = {d: t for d, t, *_ in edge_rows() if d is not None}
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in M.near_duplicates(edge_docs(spark), 5).collect()}
