@@ -6,8 +6,12 @@ the language with the fewest bytes wins.  A narrow margin between the best and
 the second best rejects the prediction.
 
 Training is on a bounded sample: ``EXCERPT`` bytes of at most ``DOCS`` labelled
-texts of each language (the smallest hashes of doc_id), cut to one size for all
-languages so that none is favoured.  ``lang`` is taken to be a small label set.
+texts of each language (the smallest hashes of doc_id).  All dictionaries are of one
+size, that of the language with the most of it: a smaller sample is repeated up to
+it, so that a label with few texts neither shrinks the other dictionaries nor gains
+by shorter offsets.  There is no least number of training bytes: such a label wins
+only where its few words compress a text better than every full dictionary.
+``lang`` is taken to be a small label set.
 Texts are reduced to lower-case words before they are compressed.  Predictions
 use the whole text and nothing else.
 
@@ -56,8 +60,8 @@ def dictionaries(docs: DataFrame, trains: Column, n_docs: int = DOCS, excerpt: i
     content: dict[str, bytes] = {}
     for r in sorted(picked.collect(), key=lambda r: (r["h"], r["text"])):
         content[r["lang"]] = content.get(r["lang"], b"") + words_only(r["text"])[:excerpt] + b" "
-    size = min([n_docs * excerpt, *map(len, content.values())])
-    return {k: content[k][:size] for k in sorted(content, key=lambda k: (-sizes[k], k))}
+    size = min(n_docs * excerpt, max(map(len, content.values()), default=0))
+    return {k: (content[k] * -(-size // len(content[k])))[:size] for k in sorted(content, key=lambda k: (-sizes[k], k))}
 
 
 class Classifier:

@@ -118,6 +118,16 @@ def test_language_id_edges_and_accuracy(spark):
     assert kept.columns == edge_docs(spark).columns and not {1, 2, 3, 13} & {r.doc_id for r in kept.collect()}
 
 
+def test_language_id_with_a_label_of_one_short_text(spark):
+    """One label with a single five-letter text leaves the other languages as they are."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    contents = langid.dictionaries(docs.unionAll(spark.createDataFrame([(-5, "qwert", "xx")], docs.schema)), F.lit(True))
+    assert list(contents)[-1] == "xx" and min(map(len, contents.values())) > 10_000
+    lang = {r.doc_id: r.lang for r in docs.collect()}
+    out = langid.predictions(docs, contents).collect()
+    assert sum(r.lang_pred == lang[r.doc_id] and not r.rejected for r in out) >= 0.9 * len(out) > 20
+
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
