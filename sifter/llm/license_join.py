@@ -1,8 +1,8 @@
 """Operator 9: license scans by an exact set-similarity join.
 
-Text blocks (sentences and lines, long ones as overlapping windows) are joined
-with license templates where a block holds at least ``CONTAINMENT`` of a
-template's words.  Words are ordered by their frequency in the whole corpus,
+Text blocks (overlapping word windows of the whole text, over line and sentence
+ends) are joined with license templates where a block holds at least
+``CONTAINMENT`` of a template's words.  Words are ordered by their frequency in the whole corpus,
 rarest first; a block can reach the threshold only if it holds a word of the
 template's prefix, is long enough, and has enough of the template left behind its
 first common word (position filter).  What passes is counted exactly, and the
@@ -20,7 +20,6 @@ repeated rows; other columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 
 import pyarrow as pa
@@ -31,8 +30,8 @@ from sifter.llm.common import LOWER, release
 
 CONTAINMENT = 0.9
 SPAN = 1.5
-#: Words of a window, and its step, where a block is longer; no template is longer than the step.
-WINDOW, STEP = 80, 40
+#: Least step of the windows, in words; a window is two steps, and no step is shorter than a template's span.
+STEP = 40
 
 # ---- fixed values: phrases of the base rule, templates of the method
 PHRASES = {"mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -55,7 +54,6 @@ TEMPLATES = [
 #: Bytes that are no part of a word (after lower-casing): everything in ASCII but letters and digits.
 NO_WORD = bytes(b for b in range(128) if not chr(b).isalnum())
 SPACED = bytes.maketrans(NO_WORD, b" " * len(NO_WORD))
-BLOCK_END = re.compile(rb"[\n\r]+|[.!?]+(?=\s|$)")
 
 
 def lowered(text: str | None) -> bytes:
@@ -93,6 +91,7 @@ class TemplateIndex:
             for i, w in enumerate(own[:len(own) - need + 1]):
                 self.prefix.setdefault(w, []).append((len(self.sets), i))
             self.sets.append((label, frozenset(own), need, int(SPAN * len(words_of(lowered(text))))))
+        self.step = max([STEP, *(span for *_, span in self.sets)])
 
     def search(self, block: list[bytes]) -> list[tuple[str, float]]:
         """(label, containment) of every template that this block's set meets."""
@@ -124,15 +123,10 @@ class TemplateIndex:
         return out
 
 
-def blocks(low: bytes):
-    """Word lists of the blocks of a text."""
-    for piece in BLOCK_END.split(low):
-        words = words_of(piece)
-        if len(words) <= WINDOW:
-            yield words
-        else:
-            for a in range(0, len(words) - WINDOW + STEP, STEP):
-                yield words[a:a + WINDOW]
+def blocks(words: list[bytes], step: int = STEP):
+    """Windows of two steps over the words of a text: any ``step`` consecutive words stand in one of them."""
+    for a in range(0, max(len(words) - step, 1), step):
+        yield words[a:a + 2 * step]
 
 
 def places(words: list[bytes], phrase: list[bytes]) -> list[int]:
@@ -154,8 +148,7 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates=TEMPLATES
     base = [(words_of(lowered(p)), label) for p, label in phrases.items()]
 
     def one(text: str | None):
-        low = lowered(text)
-        words = words_of(low)
+        words = words_of(lowered(text))
         joined = b" " + b" ".join(words) + b" "
         at, base_labels = [], set()
         for phrase, label in base:
@@ -164,7 +157,7 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates=TEMPLATES
                 base_labels.add(label)
         found: list[tuple[str, float]] = []
         if not index.value.prefix.keys().isdisjoint(words):
-            found = [hit for block in blocks(low) for hit in index.value.found(block)]
+            found = [hit for block in blocks(words, index.value.step) for hit in index.value.found(block)]
         labels = base_labels | {label for label, _ in found}
         score = 1.0 if base_labels else max((c for _, c in found), default=0.0)
         return (len(words), len(at), min(at, default=None), max(at, default=None),

@@ -154,6 +154,24 @@ def test_license_scan_against_brute_force(spark):
     assert license_join.scan(empty_docs(spark)).count() == 0
 
 
+WRAPPED = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation "
+           "files (the \"Software\"), to deal\nin the Software without restriction",
+    "apache-2": "# you may not use this file except in compliance with the License.\n# You may obtain a copy of the License at\n#\n",
+    "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that",
+    "gpl": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as "
+           "published by\nthe Free Software Foundation",
+    "mpl-2": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not",
+}
+
+
+def test_license_headers_over_lines_and_sentences(spark):
+    """Standard headers as they are wrapped in files, at every place of a window."""
+    rows = [(i * 1000 + n, "word " * n + text) for i, text in enumerate(WRAPPED.values()) for n in (0, 1, 39, 40, 60, 79, 200)]
+    got = {r.doc_id: r.labels for r in license_join.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: list(WRAPPED)[d // 1000] for d, _ in rows}
+
+
 def test_set_similarity_join_is_exact():
     """The prefix, length and position filters lose no block that a plain comparison finds."""
     import random
