@@ -1,8 +1,11 @@
 """Operator 6: main text of web pages by composite text density.
 
-Every page becomes a small DOM.  Menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles and reader comments are cut out by their roles;
-for every node that stays, the characters per tag are adjusted by the share of
+Every page becomes a small DOM.  Menus, footers, asides, scripts and styles are
+cut out by their elements and roles.  Forms, page headers and what class and id
+names mark (sidebars, notices, adverts, reader comments) are cut out too, but not
+where such a part holds the densest subtree of the page and more text than all
+unmarked parts together (reader comments: only where no unmarked text is left).
+Then for every node that stays, the characters per tag are adjusted by the share of
 link characters and link tags (composite density), child densities are summed,
 and the subtree with the largest sum is the article.  Parts outside it are kept
 only where their density reaches the threshold, the least density on the path
@@ -39,9 +42,9 @@ SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",
             "option": ("option",), "thead": ("tr", "td", "th", "tbody"), "tbody": ("tr", "td", "th", "thead", "tbody")}
 SCOPES = frozenset("ul ol dl table select body html article section div main aside nav header footer form".split())
 #: Elements that can hold an article.
-HOLDERS = frozenset("body main article section div td center blockquote details fieldset dd figure".split())
+HOLDERS = frozenset("body main article section div td center blockquote details fieldset dd figure form".split())
 #: Elements that never hold the article.
-DROPPED = frozenset(("head script style noscript template iframe object embed svg canvas nav footer aside form button select "
+DROPPED = frozenset(("head script style noscript template iframe object embed svg canvas nav footer aside button select "
                      "textarea input label dialog menu audio video map").split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
 #: Words of class and id names that mark such parts.
@@ -51,30 +54,44 @@ MARKS = frozenset(("nav navbar navigation menu menubar breadcrumb breadcrumbs he
                    "share sharing social related recommended recommendations pagination pager comment comments commentlist respond "
                    "discussion disqus replies reply skip toolbar").split())
 
+#: Names with one of these words tell the state of a layout ("no-sidebar"), not a role.
+STATES = frozenset("no has with without free".split())
+#: Marks of reader comments.
+REPLIES = frozenset("comment comments commentlist respond disqus replies reply".split())
+
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[A-Za-z][^>]*(?:>|\Z)", re.S)
 ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+RAW_END = {tag: re.compile("</" + tag, re.I | re.A) for tag in RAW}
 
 
 class Node:
-    __slots__ = ("tag", "children", "parent", "drop", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "children", "parent", "drop", "chars", "tags", "link_chars", "link_tags", "density", "total", "marks")
 
-    def __init__(self, tag: str, parent: "Node | None", drop: bool = False):
-        self.tag, self.parent, self.drop, self.children = tag, parent, drop, []
+    def __init__(self, tag: str, parent: "Node | None", drop: bool = False, marks: frozenset = frozenset()):
+        self.tag, self.parent, self.drop, self.children, self.marks = tag, parent, drop, [], marks
 
 
-def _marked(tag: str, attrs: str, parent: Node) -> bool:
-    """Whether an element is one of the parts that never hold the article."""
-    if tag in DROPPED or tag == "header" and not _inside(parent, ("article", "main")):
-        return True
+def _marked(tag: str, attrs: str, parent: Node) -> tuple[bool, frozenset]:
+    """Whether an element never holds the article, and the names by which it seldom does."""
+    if tag in DROPPED:
+        return True, frozenset()
+    article = _inside(parent, ("article", "main"))
+    marks = {tag} if tag == "form" or tag == "header" and not article else set()
     if not attrs or tag in ("html", "body", "article", "main"):
-        return False
+        return False, frozenset(marks)
     for name, a, b, c in ATTR.findall(attrs):
         value, name = a or b or c, name.lower()
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "role" and value.lower() in ROLES:
-            return True
-        if name in ("class", "id") and not MARKS.isdisjoint(x.lower() for x in re.split(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])", value)):
-            return True
-    return False
+            return True, frozenset()
+        if name in ("class", "id"):
+            for one in (value or "").split():
+                words = {x.lower() for x in re.split(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])", one)}
+                if STATES.isdisjoint(words):
+                    marks |= MARKS & words
+    if article:
+        # a title block, and a paper's section
+        marks -= {"header", "masthead"} | ({"discussion"} if tag == "section" else set())
+    return False, frozenset(marks)
 
 
 def _inside(node: Node | None, tags) -> bool:
@@ -88,7 +105,7 @@ def _inside(node: Node | None, tags) -> bool:
 def parse(page: str) -> Node:
     """DOM of the page below ``body``; text children are strings."""
     body = at = Node("body", None)
-    low, pos, n = page.lower(), 0, len(page)
+    pos, n = 0, len(page)
     while pos < n:
         m = TOKEN.search(page, pos)
         text = page[pos:m.start() if m else n]
@@ -113,11 +130,11 @@ def parse(page: str) -> Node:
             at = _leave(at, ("p",))
         if tag in SIBLINGS:
             at = _leave(at, SIBLINGS[tag])
-        node = Node(tag, at, _marked(tag, m[3], at))
+        node = Node(tag, at, *_marked(tag, m[3], at))
         at.children.append(node)
         if tag in RAW:
-            end = low.find("</" + tag, pos)
-            close = page.find(">", end) if end >= 0 else -1
+            end = RAW_END[tag].search(page, pos)
+            close = page.find(">", end.end()) if end else -1
             node.drop = True
             pos = close + 1 if close >= 0 else n
         elif tag not in VOID and not (m[3].endswith("/") and tag not in BLOCK):
@@ -187,16 +204,45 @@ def _blocks(node: Node, out: list[list[str]], take: set[int] | None) -> None:
             stack.extend((c, inside) for c in reversed(item.children))
 
 
+def _densest(nodes: list[Node]) -> Node:
+    """The subtree with the largest sum."""
+    # paragraphs and inline markup are summed but are no subtree of their own: an article is what holds them
+    return max((x for x in nodes if x.tag in HOLDERS), key=lambda x: x.total)
+
+
+def _cut_marked(body: Node, nodes: list[Node]) -> None:
+    """Drops the marked parts but those that hold the densest subtree and more text than all unmarked parts."""
+    around, up = [], _densest(nodes)
+    while up is not None:
+        around.append(up)
+        up = up.parent
+    outer = [x for x in around if x.marks]
+    if outer:
+        stack, plain = [body], 0
+        while stack:
+            node = stack.pop()
+            plain += sum(len("".join(c.split())) for c in node.children if isinstance(c, str))
+            stack.extend(c for c in node.children if not isinstance(c, str) and not c.marks and c.tag != "a")
+        top = outer[-1]
+        if plain if any(x.marks & REPLIES for x in outer) else plain >= top.chars - top.link_chars:
+            outer = []
+    for node in nodes:
+        if node.marks and not any(node is x for x in outer):
+            node.drop = True
+
+
 def main_text(page: str | None) -> str:
     """The article's text."""
     if not page:
         return ""
     body = parse(page)
     nodes = _measure(body)
+    if any(x.marks for x in nodes):
+        _cut_marked(body, nodes)
+        nodes = _measure(body)
     if not body.chars:
         return ""
-    # paragraphs and inline markup are summed but are no subtree of their own: an article is what holds them
-    best = max((x for x in nodes if x.tag in HOLDERS), key=lambda x: x.total)
+    best = _densest(nodes)
     threshold, up = best.density, best
     while up is not None:
         threshold, up = min(threshold, up.density), up.parent

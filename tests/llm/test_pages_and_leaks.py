@@ -45,6 +45,24 @@ def test_density_drops_what_lies_outside():
     assert text.startswith("Story\nplain words") and "other story" not in text and text.count("\n") == 6
 
 
+def test_names_do_not_cut_the_article():
+    body = "".join(f"<p>{'plain words of the story ' * 8}{i}</p>" for i in range(6))
+    text = "\n".join(f"{'plain words of the story ' * 8}{i}" for i in range(6))
+    for name in ("content has-sidebar", "no-sidebar", "with-comments", "ad-free", "promo"):
+        assert html_density.main_text(f"<body><div class='{name}'>{body}</div><div class='sidebar'><p>Latest posts</p></div></body>") == text
+    assert html_density.main_text(f"<body><form id=f><nav>Menu</nav><div>{body}</div><div class=ad>Buy</div></form></body>") == text
+    assert html_density.main_text(f"<body><form>{body}</form></body>") == text
+    assert html_density.main_text(f"<article><header class='entry-header'><h1>Title</h1></header>{body}</article>") == "Title\n" + text
+    assert html_density.main_text(f"<article><section>{body}</section><section class='discussion'>{body}</section></article>") == f"{text}\n{text}"
+    replies = f"<section class='comments'>{body}{body}</section>"
+    assert html_density.main_text(f"<body><article>{body}</article>{replies}</body>") == text
+    assert html_density.main_text("<body><p>A short text of the page</p><form><p>Search</p></form></body>") == "A short text of the page"
+
+
+def test_raw_ends_after_letters_that_grow():
+    assert html_density.main_text(f"<article><p>{'İ' * 40}</p><script>var a</SCRIPT><p>kept</p></article>") == "İ" * 40 + "\nkept"
+
+
 def test_long_page():
     body = "".join(f"<p>{'word ' * 50}{i}</p>" for i in range(3000))
     assert html_density.main_text(f"<body><article>{body}</article></body>").count("\n") == 2999
