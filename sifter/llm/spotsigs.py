@@ -2,9 +2,9 @@
 
 A signature is an anchor (a common word) with the chain of ``CHAIN`` content words
 that follow it; the fingerprint of a text is the sorted set of its signatures (as
-32-bit hashes).  Fingerprints are dealt into partitions by set length, and two
-of them are compared by Jaccard similarity only where their lengths allow the
-wanted likeness (the smaller set over the larger is its upper bound).
+32-bit hashes).  A fingerprint is compared by Jaccard similarity with that of the
+text's edited form and that of the next document, with nothing else; the length
+partition is an output column that no comparison uses.
 Everything is DataFrame expressions over arrays within a row; only the order of the ids, the text that
 the next document lends, and its fingerprint are shuffled.
 
