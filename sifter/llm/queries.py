@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sifter.llm import backoff_lm, decontam, html_density, langid, license_join, minhash_tensor, spotsigs
+from sifter.llm import backoff_lm, decontam, html_density, langid, license_join, minhash_tensor, path_repair, piece_codec, prefix_trie, spotsigs
 from sifter.llm.bpe_codec import encode_decode
 from sifter.llm.common import held_out, prepare, table
 from sifter.llm.token_counts import count_tokens
@@ -58,9 +58,22 @@ def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(prepare(spark), table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(prepare(spark), sf_dir, "conversations"))
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.encode_pieces(table(prepare(spark), sf_dir, "documents"))
+
+
+def op13_path_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return path_repair.repair_conversations(table(prepare(spark), sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_spotsigs, op2_language_model, op3_language_id, op4_near_duplicates, op5_decontamination, op6_html_text, op7_token_counts,
-                                    op8_bpe, op9_license_scan, op10_token_file)}
+    return {f.__name__: f for f in (
+        op1_spotsigs, op2_language_model, op3_language_id, op4_near_duplicates, op5_decontamination, op6_html_text, op7_token_counts, op8_bpe,
+        op9_license_scan, op10_token_file, op11_prefix_trie, op12_sentencepiece, op13_path_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
