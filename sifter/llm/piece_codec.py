@@ -30,6 +30,7 @@ import os
 import re
 import struct
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +40,9 @@ from pyspark.sql import functions as F
 from sifter.llm.common import in_portions, kept, tokenizer_path
 
 MARK = "▁"
-#: Words that a worker remembers, and the longest such word; characters that are processed together.
-CACHE = 150_000
+#: Words that a worker remembers, and the longest such word (longer ones are segmented by themselves); characters that are
+#: processed together.
+CACHE = 300_000
 LONGEST = 64
 PORTION = 1_000_000
 
@@ -195,6 +197,61 @@ class Normaliser:
 
 # ---------------------------------------------------------------- segmentation
 
+class Joins:
+    """For two neighbouring symbols: the rank of the piece that they form (equal scores, equal ranks) and its symbol; a hash
+    table with linear probing that looks up whole arrays.  Symbols of pieces are their ids, then come single characters that
+    only occur inside pieces."""
+
+    NONE = np.int32(2**31 - 1)
+
+    def __init__(self, score: dict[str, float], ids: dict[str, int], size: int):
+        symbol = dict(ids)
+        for c in sorted({c for p in ids for c in p} - ids.keys()):
+            symbol[c] = size + len(symbol) - len(ids)
+        self.symbols = size + len(symbol) - len(ids)
+        self.char = np.full(0x110000, -1, np.int32)
+        for p, i in symbol.items():
+            if len(p) == 1:
+                self.char[ord(p)] = i
+        order = {v: k for k, v in enumerate(sorted(set(score.values())))}
+        keys, ranks, made = [], [], []
+        for p, i in ids.items():
+            for cut in range(1, len(p)):
+                if (x := symbol.get(p[:cut])) is not None and (y := symbol.get(p[cut:])) is not None:
+                    keys.append(x * self.symbols + y)
+                    ranks.append(order[score[p]])
+                    made.append(i)
+        bits = max(4, (4 * len(keys)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.keys = np.full((1 << bits) + 64, -1, np.int64)
+        self.rank, self.made = np.full(self.keys.size, self.NONE), np.zeros(self.keys.size, np.int32)
+        keys, ranks, made = np.array(keys, np.int64), np.array(ranks, np.int32), np.array(made, np.int32)
+        at, self.probes = self.slot(keys), 0
+        while keys.size:
+            self.probes += 1
+            free = self.keys[at] < 0
+            _, one = np.unique(np.where(free, at, -1 - np.arange(at.size)), return_index=True)
+            put = one[free[one]]
+            self.keys[at[put]], self.rank[at[put]], self.made[at[put]] = keys[put], ranks[put], made[put]
+            rest = np.ones(at.size, bool)
+            rest[put] = False
+            keys, ranks, made, at = keys[rest], ranks[rest], made[rest], at[rest] + 1
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def find(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank (NONE if they form no piece) and symbol of the joined pairs."""
+        key = np.where((a < 0) | (b < 0), -2, a.astype(np.int64) * self.symbols + b)
+        at = self.slot(np.maximum(key, 0))
+        rank, made = np.full(key.shape, self.NONE), np.zeros(key.shape, np.int32)
+        for _ in range(self.probes):
+            hit = self.keys[at] == key
+            rank[hit], made[hit] = self.rank[at[hit]], self.made[at[hit]]
+            at = at + 1
+        return rank, made
+
+
 class PieceCodec:
     def __init__(self, path: str):
         with open(path, "rb") as f:
@@ -207,15 +264,18 @@ class PieceCodec:
         self.id = {p: i for i, (p, k) in enumerate(zip(model.piece, model.kind)) if k == 1}
         self.score = {p: -model.score[i] for p, i in self.id.items()}
         self.byte_id = {int(p[1:-1], 16): i for i, (p, k) in enumerate(zip(model.piece, model.kind)) if k == model.BYTE}
+        self.joins = Joins(self.score, self.id, len(model.piece))
+        self.names = [str(i) for i in range(len(model.piece))]
+        self.surface = [p.replace(MARK, " ") if k == 1 else "" for p, k in zip(model.piece, model.kind)]
+        #: original bytes of a piece where a mark is one space
+        self.bytes = [len(s.encode("utf-8")) for s in self.surface]
         inside = any(MARK in p.lstrip(MARK) for p in self.id)
         self.words = (lambda t: [t]) if inside else re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+").findall
-        self.known: dict[str, tuple[int, str, str, bytes]] = {}
+        self.known: dict[str, tuple[str, str, bytes]] = {}
 
-    def segment(self, word: str) -> list[str]:
-        """Pieces of a word: of all neighbours that form a piece the best-scored pair is joined first, the leftmost of equals."""
+    def segment(self, word: str) -> list[int]:
+        """Symbols of one long word (see ``segments``), with a queue of the neighbours that form a piece."""
         sym = list(word)
-        if word in self.score and len(sym) == 1:
-            return sym
         n = len(sym)
         nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
         queue, score = [], self.score
@@ -239,42 +299,90 @@ class PieceCodec:
                 joined = sym[p] + sym[a]
                 if (s := score.get(joined)) is not None:
                     heapq.heappush(queue, (s, p, a, len(joined)))
-        return [s for s in sym if s]
-
-    def ids_of(self, word: str) -> tuple[list[int], list[int]]:
-        """Ids of a word, and how many normalised bytes each stands for."""
-        ids, sizes = [], []
-        for p in self.segment(word):
-            raw = p.encode("utf-8")
-            if (i := self.id.get(p)) is not None:
-                ids.append(i)
-                sizes.append(len(raw))
-            elif self.model.byte_fallback:
+        return [self.id.get(s, -2 - ord(s[0])) for s in sym if s]
+
+    def segments(self, words: list[str]) -> list[list[int]]:
+        """Symbols of every word: of all neighbours that form a piece the best-scored pair is joined first, the leftmost of
+        equals; -2 - c for a character c that is no piece.  Short words are laid out in one table and joined step by step
+        together, one pair of each word at a time."""
+        out: list = [None] * len(words)
+        lengths = np.array([len(w) for w in words], np.int64)
+        for i in np.flatnonzero(lengths > LONGEST).tolist():
+            out[i] = self.segment(words[i])
+        for low, high in ((0, 4), (4, 6), (6, 8), (8, 11), (11, 16), (16, 32), (32, LONGEST)):
+            mine = np.flatnonzero((lengths > low) & (lengths <= high))
+            if not mine.size:
+                continue
+            points = np.frombuffer("".join([words[i] for i in mine.tolist()]).encode("utf-32-le"), "<u4").astype(np.int32)
+            sym = np.full((mine.size, high), -1, np.int32)
+            piece = self.joins.char[points]
+            sym[np.arange(high) < lengths[mine][:, None]] = np.where(piece >= 0, piece, -2 - points)
+            self._join(sym, mine, out)
+        return out
+
+    def _join(self, sym: np.ndarray, mine: np.ndarray, out: list) -> None:
+        size = len(self.model.piece)
+        rank = self.joins.find(sym[:, :-1], sym[:, 1:])[0]
+        while True:
+            best = rank.argmin(1) if rank.shape[1] else np.zeros(len(rank), np.int64)
+            more = rank[np.arange(len(rank)), best] < Joins.NONE if rank.shape[1] else np.zeros(len(rank), bool)
+            for i, row in zip(mine[~more].tolist(), sym[~more].tolist()):
+                out[i] = [s if s < size else -2 - ord(self._alone(s)) for s in row if s != -1]
+            if not more.any():
+                return
+            mine, sym, rank, best = mine[more], sym[more], rank[more], best[more]
+            rows, col = np.arange(len(mine)), np.arange(sym.shape[1] - 1)
+            joined = self.joins.find(sym[rows, best], sym[rows, best + 1])[1]
+            sym = np.where(col <= best[:, None], sym[:, :-1], sym[:, 1:])
+            sym[rows, best] = joined
+            rank = np.where(col[:-1] < best[:, None], rank[:, :-1], rank[:, 1:])
+            for at in (best - 1, best):
+                on = (at >= 0) & (at < rank.shape[1])
+                rank[rows[on], at[on]] = self.joins.find(sym[rows[on], at[on]], sym[rows[on], at[on] + 1])[0]
+
+    def _alone(self, symbol: int) -> str:
+        return chr(int(np.flatnonzero(self.joins.char == symbol)[0]))
+
+    def ids_of(self, symbols: list[int]) -> tuple[list[int], list[int], list[int]]:
+        """Ids of a word's symbols, the normalised bytes of each, and its original bytes where a mark is one space; of a
+        character that falls back to bytes the last one stands for the whole."""
+        ids, sizes, own, m = [], [], [], self.model
+        for s in symbols:
+            if s >= 0:
+                ids.append(s)
+                sizes.append(len(m.piece[s].encode("utf-8")))
+                own.append(self.bytes[s])
+                continue
+            c = chr(-2 - s)
+            raw, n = c.encode("utf-8"), 1 if c == MARK else len(c.encode("utf-8"))
+            if m.byte_fallback:
                 ids += [self.byte_id[b] for b in raw]
                 sizes += [1] * len(raw)
-            elif ids and ids[-1] == self.model.unk:
+                own += [0] * (len(raw) - 1) + [n]
+            elif ids and ids[-1] == m.unk:
                 sizes[-1] += len(raw)
+                own[-1] += n
             else:
-                ids.append(self.model.unk)
+                ids.append(m.unk)
                 sizes.append(len(raw))
-        return ids, sizes
-
-    def learn(self, word: str) -> tuple[int, str, str, bytes]:
-        """(number of ids, ids as text, decoded text, original bytes of each id where a mark is one space)."""
-        ids, sizes = self.ids_of(word)
-        raw, at, own = word.encode("utf-8"), 0, []
-        for n in sizes:
-            at += n
-            inside = at < len(raw) and raw[at] & 0xC0 == 0x80      # a character's last byte stands for the whole of it
-            own.append(-1 if inside else at)
-        ends = np.array([0, *[raw[:e].count(MARK.encode()) * -2 + e if e >= 0 else -1 for e in own]], np.int64)
-        ends = np.maximum.accumulate(ends)
-        out = len(ids), " ".join(map(str, ids)), self.pieces_text(ids), np.diff(ends).astype("<u4").tobytes()
-        if len(word) <= LONGEST:
-            if len(self.known) >= CACHE:
-                self.known.clear()
-            self.known[word] = out
-        return out
+                own.append(n)
+        return ids, sizes, own
+
+    def learn(self, used: set[str]) -> dict[str, tuple[str, str, bytes]]:
+        """Word -> (ids as text, decoded text, original bytes of each id where a mark is one space) of all used words and
+        of those that are remembered."""
+        if len(self.known) > CACHE:
+            self.known = {w: self.known[w] for w in used & self.known.keys()}
+        new, names, surface, size = list(used.difference(self.known)), self.names, self.surface, self.bytes
+        long = {}
+        for w, symbols in zip(new, self.segments(new)):
+            if min(symbols) >= 0:
+                row = " ".join([names[i] for i in symbols]), "".join([surface[i] for i in symbols]), [size[i] for i in symbols]
+            else:
+                ids, _, own = self.ids_of(symbols)
+                row = " ".join([names[i] for i in ids]), self.pieces_text(ids), own
+            (self.known if len(w) <= LONGEST else long)[w] = row[0], row[1], array("I", row[2]).tobytes()
+        return self.known | long if long else self.known
 
     def pieces_text(self, ids: list[int]) -> str:
         """Text of ids, bytes put together, marks as spaces; nothing is cut at the start."""
@@ -301,24 +409,26 @@ class PieceCodec:
             return text.lstrip(" ") if m.trim else text[1:]
         return text
 
-    def run(self, text: str | None) -> tuple[int, str, str, np.ndarray, np.ndarray]:
-        """(number of ids, ids as text, decoded text, first byte, end byte of each id); no end id."""
-        norm, source = self.normal.run(text or "")
-        get, words = self.known.get, self.words(norm)
-        rows = [get(w) or self.learn(w) for w in words]
-        n, ids, decoded, sizes = zip(*rows) if rows else ((), (), (), ())
+    def run(self, texts: list[str | None]) -> list[tuple[int, str, str, np.ndarray, np.ndarray]]:
+        """(number of ids, ids as text, decoded text, first byte, end byte of each id) of every text; no end ids."""
+        normal = [self.normal.run(t or "") for t in texts]
+        words = [self.words(n) for n, _ in normal]
+        known = self.learn(set().union(*words))
+        return [self._text(w, source, known) for w, (_, source) in zip(words, normal)]
+
+    def _text(self, words: list[str], source: np.ndarray | None, known: dict) -> tuple[int, str, str, np.ndarray, np.ndarray]:
+        ids, decoded, sizes = zip(*map(known.__getitem__, words)) if words else ((), (), ())
         if source is None:
-            lengths = np.frombuffer(b"".join(sizes), "<u4").astype(np.int64)
             # the prefix stands for nothing: all ends lie one byte earlier, the text starts at 0
-            ends = np.maximum(np.cumsum(lengths) - 1, 0)
+            ends = np.maximum(np.cumsum(np.frombuffer(b"".join(sizes), np.uint32), dtype=np.int64) - 1, 0)
             begins = np.concatenate([[0], ends[:-1]])
         else:
-            cuts = np.cumsum([0, *[s for w in words for s in self.ids_of(w)[1]]])
+            cuts = np.cumsum([0, *[n for symbols in self.segments(words) for n in self.ids_of(symbols)[1]]])
             begins, ends = source[cuts[:-1]], source[cuts[1:]]
         decoded = "".join(decoded)
         if words and (self.model.dummy_prefix or self.model.trim) and decoded.startswith(" "):
             decoded = decoded.lstrip(" ") if self.model.trim else decoded[1:]
-        return sum(n), " ".join(ids), decoded, begins, ends
+        return ends.size, " ".join(ids), decoded, begins, ends
 
 
 def as_text(raw: bytes) -> str:
@@ -351,8 +461,7 @@ def encode_pieces(docs: DataFrame, name: str = "piece_bpe_32k.model", with_spans
             ids_col, texts = b.column(0), b.column(1)
             for a, z in in_portions(texts.to_pylist(), PORTION) if b.num_rows else []:
                 lib, rows = codec(name), []
-                for t in texts.slice(a, z - a).to_pylist():
-                    n, ids, decoded, begins, ends = lib.run(t)
+                for n, ids, decoded, begins, ends in lib.run(texts.slice(a, z - a).to_pylist()):
                     ids = f"{ids} {lib.model.end}" if ids else str(lib.model.end)
                     row = [n + 1, _sha(ids), _sha(decoded), zlib.crc32(np.stack([begins, ends], 1).astype("<u8"))]
                     rows.append(row + ([list(map(int, ids.split())), begins, ends, decoded] if with_spans else []))
