@@ -8,8 +8,8 @@ stripped (``btrim``), empty ones dropped and the rest joined.  Tags may hold
 quoted ``>``; an unclosed element or comment runs to the end of the text.
 Character references follow the HTML rules: all named ones (the standard
 library's table), those that need no semicolon, and numeric ones with the
-Windows-1252 corrections; each is decoded once.  Nested elements of the same
-name are the known difference to a real parser.
+Windows-1252 corrections; each is decoded once.  Nested and unclosed elements
+are read from the stream of tags (``tag_stream``).
 """
 
 from __future__ import annotations
@@ -21,10 +21,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sifter.functions import constants as K
+from sifter.functions import tag_stream as T
 from sifter.functions.text import _c, py_strip, strip_invisible
 
 SEP = "\u0001"
-ATTRIBUTES = "(?:[^>\"']|\"[^\"]*\"|'[^']*')*+"
+ATTRIBUTES = T.ATTRIBUTES
 COMMENT_PATTERN = "<!--.*?(?:-->|\\z)"
 # a tag with well-formed attributes, else (a stray quote) up to the next '>'
 TAG_PATTERN = f"</?[A-Za-z]{ATTRIBUTES}>|</?[A-Za-z][^>]*>|<![^>]*>|<\\?[^>]*>"
@@ -35,11 +36,6 @@ def element_pattern(tag: str) -> str:
     return f"<{tag}\\b{ATTRIBUTES}>.*?(?:</{tag}\\s*>|\\z)"
 
 
-def container_pattern(tag: str) -> str:
-    """Inner HTML of the first ``tag`` element; an unclosed one runs to the end."""
-    return f"(?is)<{tag}\\b{ATTRIBUTES}>(.*?)(?:</{tag}\\s*>|\\z)"
-
-
 def presence_pattern(tag: str) -> str:
     return f"(?is)<{tag}\\b"
 
@@ -112,33 +108,59 @@ def html_to_text(html_text) -> Column:
     return py_strip(F.regexp_replace(text, "\\n{3,}", "\n\n"))
 
 
+def _is_plain(html_text: Column, names: Column) -> Column:
+    """Every element of ``names`` (joined by '|') has its own end tag and none stands in another of them, so that a
+    pattern finds its end.
+
+    Only the start and end tags of ``names`` are looked at, in order: each start must be followed by its own end."""
+    stream = F.regexp_extract_all(html_text, F.concat(F.lit("(?is)<(?:"), names, F.lit(f")\\b{ATTRIBUTES}>|</(?:"), names, F.lit(")\\s*>")), 0)
+    marks = F.array_join(F.transform(stream, lambda t: F.lower(F.regexp_extract(t, "(?i)\\A(</?[a-z]+)", 1))), "")
+    return marks.rlike("\\A(?:<([a-z]+)</\\1(?=<|\\z))*+\\z")
+
+
 def main_content(html_text) -> Column:
     """linked-article text: first article/main/body container, capped at 8000 chars.
 
     The cap is applied before invisible characters are removed and there is no
-    final strip (the reference's order).
+    final strip (the reference's order).  Pages whose dropped elements or
+    containers are nested, unclosed or interleaved are read from their tag
+    stream; in all others patterns find the same ends.
     """
-    cleaned = drop_elements(html_text, K.ARTICLE_DROP_TAGS)
-    chosen = F.when(cleaned.rlike(presence_pattern(K.ARTICLE_CONTAINERS[0])),
-                    F.regexp_extract(cleaned, container_pattern(K.ARTICLE_CONTAINERS[0]), 1))
-    for tag in K.ARTICLE_CONTAINERS[1:]:
-        chosen = chosen.when(cleaned.rlike(presence_pattern(tag)),
-                             F.regexp_extract(cleaned, container_pattern(tag), 1))
-    # no <body> tag at all: the parser puts any loose content into an implied body
-    chosen = chosen.otherwise(F.regexp_replace(cleaned, "(?is)" + element_pattern("head"), SEP))
-    text = F.regexp_replace(text_nodes_joined(chosen, "\n"), "\\n{3,}", "\n\n")
-    return strip_invisible(F.substring(text, 1, K.ARTICLE_CHARS))
-
-
-ANCHOR_PATTERN = f"(?is)<a\\s{ATTRIBUTES}>.*?</a\\s*>"
+    page = _c(html_text)
+    nestable = [t for t in K.ARTICLE_DROP_TAGS if t not in ("script", "style")]
+    cleaned = F.when(_is_plain(drop_elements(page, ["script", "style"]), F.lit("|".join(nestable))),
+                     drop_elements(page, K.ARTICLE_DROP_TAGS)).otherwise(T.outside_of(page, nestable, SEP))
+    # as the variable of a lambda the cleaned page is computed once
+    return F.get(F.transform(F.array(cleaned), _content_of_cleaned), F.lit(0))
+
+
+def _content_of_cleaned(cleaned: Column) -> Column:
+    tag = F.lit(None).cast("string")
+    for name in reversed(K.ARTICLE_CONTAINERS):
+        tag = F.when(cleaned.rlike(presence_pattern(name)), name).otherwise(tag)
+
+    def content(tag: Column) -> Column:
+        pattern = F.concat(F.lit("(?is)<"), tag, F.lit(f"\\b{ATTRIBUTES}>(.*?)(?:</"), tag, F.lit("\\s*>|\\z)"))
+        # no <body> tag at all: the parser puts any loose content into an implied body
+        return (F.when(tag.isNull(), F.regexp_replace(cleaned, "(?is)" + element_pattern("head"), SEP))
+                .when(_is_plain(cleaned, tag), F.call_function("regexp_extract", cleaned, pattern, F.lit(1)))
+                .otherwise(T.inside_first(cleaned, tag, SEP)))
+
+    text = F.get(F.transform(F.array(tag), lambda t: text_nodes_joined(content(t), "\n")), F.lit(0))
+    return strip_invisible(F.substring(F.regexp_replace(text, "\\n{3,}", "\n\n"), 1, K.ARTICLE_CHARS))
+
+
+#: An anchor and what follows it up to the next one, which closes it if nothing else has.
+ANCHOR_PATTERN = f"(?is)<a\\s{ATTRIBUTES}>(?:[^<]++|<(?!a[\\s>])[a-z/!?]{ATTRIBUTES}>|<(?!a[\\s>]))*+"
 ANCHOR_OPEN_PATTERN = f"(?is)\\A<a\\s{ATTRIBUTES}>"
-ANCHOR_INNER_PATTERN = f"(?is)\\A<a\\s{ATTRIBUTES}>(.*)</a\\s*>\\z"
+#: ... up to its end tag, if it has one
+ANCHOR_INNER_PATTERN = f"(?is)\\A<a\\s{ATTRIBUTES}>((?:[^<]++|<(?!/a\\s*>)[a-z/!?]{ATTRIBUTES}>|<(?!/a\\s*>))*+)"
 HREF_PATTERN = "(?is)\\shref\\s*=\\s*(?:\"([^\"]*)\"|'([^']*)'|([^\\s\"'>]+))"
 HAS_HREF_PATTERN = "(?is)\\A<a\\s(?:[^>\"']|\"[^\"]*\"|'[^']*')*?\\bhref\\s*="
 
 
 def anchors(html_text) -> Column:
-    """raw ``<a href=...>...</a>`` elements in document order (comments/scripts excluded)."""
+    """``<a href=...>`` in document order (comments/scripts excluded), each with what follows up to the next anchor."""
     cleaned = drop_elements(html_text, ["script", "style"])
     found = F.regexp_extract_all(F.coalesce(cleaned, F.lit("")), F.lit(ANCHOR_PATTERN), 0)
     return F.filter(found, lambda a: a.rlike(HAS_HREF_PATTERN))
@@ -153,7 +175,13 @@ def anchor_href(anchor) -> Column:
     return py_strip(F.get(F.transform(F.array(raw), decode_references), F.lit(0)))
 
 
+def anchor_inner(anchor) -> Column:
+    """Content of an anchor: up to its end tag, the next anchor, or the end of an element around it."""
+    inner = F.regexp_extract(_c(anchor), ANCHOR_INNER_PATTERN, 1)
+    # the tag stream is only read where an end tag could be that of an element around it
+    return F.when(F.instr(inner, "</") > 0, T.within(inner)).otherwise(inner)
+
+
 def anchor_text(anchor) -> Column:
     """Anchor text: stripped inner strings concatenated without separator."""
-    inner = F.regexp_extract(_c(anchor), ANCHOR_INNER_PATTERN, 1)
-    return text_nodes_joined(inner, "")
+    return F.get(F.transform(F.array(anchor_inner(anchor)), lambda inner: text_nodes_joined(inner, "")), F.lit(0))

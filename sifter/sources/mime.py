@@ -1,12 +1,10 @@
 """Raw message payloads: headers, malformed rows, MIME part tree, base64url bodies.
 
 The payload is JSON text (one per message).  It is parsed once to VARIANT.  The
-part tree of ordinary payloads is walked level by level with higher-order
-functions inside the row (no explode, no shuffle).  Payloads that may be nested
-deeper are walked by a frontier: each round explodes the children of the last
-level's nodes, of those rows only, until no node has children — there is no
-depth limit.  The pre-order of a recursive walk is recovered by sorting the
-nodes by their index path.
+part tree is walked level by level by a fold inside the row (no explode, no
+shuffle, one pass over the source); how many levels it goes down is counted in
+the payload itself, so there is no depth limit.  The pre-order of a recursive
+walk is recovered by sorting the nodes by their index path.
 """
 
 from __future__ import annotations
@@ -15,9 +13,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from sifter.functions import constants as K
-from sifter.session import stored
 
-IN_ROW_LEVELS = 8      # levels walked inside the row; payloads with more part lists take the frontier walk
 HEADER_TYPE = "array<struct<name:string,value:string>>"
 NODE_TYPE = "struct<path:array<int>,mime:string,data:string>"
 
@@ -85,45 +81,30 @@ def _node_info(level: Column) -> Column:
         F.coalesce(F.try_variant_get(n["node"], "$.body.data", "string"), F.lit("")).alias("data")))
 
 
-def _part_lists(payload_json: Column) -> Column:
-    """How often the payload names a part list: no tree is nested deeper than that."""
-    return F.size(F.split(payload_json, '"parts"', -1)) - 1
+def _depth_bound(payload_json: Column) -> Column:
+    """No tree of part lists is deeper than the payload has opening brackets (0 where there is no payload)."""
+    return F.coalesce(F.length("payload_json") - F.length(F.replace(payload_json, F.lit("["), F.lit(""))), F.lit(0))
 
 
-def _root(msg: Column) -> Column:
-    return F.try_variant_get(msg, "$.payload", "variant")
+def walked_tree(msg: Column, depth: Column) -> Column:
+    """Every node of the part tree as array<struct(path, mime, data)> in pre-order.
 
+    One fold over ``depth`` steps: the state is the level being looked at and the nodes found so far, a
+    step adds the level's nodes and goes down to their children.  A level without nodes stays empty, so
+    steps beyond the tree's depth do nothing."""
+    root = F.array(F.struct(F.array().cast("array<int>").alias("path"), F.try_variant_get(msg, "$.payload", "variant").alias("node")))
+    return F.aggregate(
+        F.sequence(F.lit(0), depth),
+        F.struct(root.alias("level"), F.array().cast(f"array<{NODE_TYPE}>").alias("found")),
+        lambda state, _: F.when(F.size(state["level"]) == 0, state).otherwise(F.struct(
+            _children(state["level"]).alias("level"), F.concat(state["found"], _node_info(state["level"])).alias("found"))),
+        lambda state: F.array_sort(state["found"]))
 
-def _levels(start: DataFrame, n: int) -> DataFrame:
-    """``start`` (id, path, node) with ``nodes``, the infos of the first ``n`` levels below and with each
-    node, and ``below``, the children of the last of them."""
-    cur = start.select("id", F.array(F.struct("path", "node")).alias("_l0"))
-    for d in range(1, n + 1):
-        cur = cur.select("*", _children(F.col(f"_l{d - 1}")).alias(f"_l{d}"))
-    return cur.select("id", F.concat(*[_node_info(F.col(f"_l{d}")) for d in range(n)]).alias("nodes"), F.col(f"_l{n}").alias("below"))
 
-
-def _roots(raw: DataFrame) -> DataFrame:
-    return with_variant(raw).select("id", F.array().cast("array<int>").alias("path"), _root(F.col("_msg")).alias("node"))
-
-
-def _nodes_by_frontier(raw: DataFrame, levels: int) -> DataFrame:
-    """The walk of deeply nested payloads: ``levels`` levels a round, then only the nodes below them."""
-    frontier, found = _roots(raw), None
-    while not frontier.isEmpty():
-        walked = stored(_levels(frontier, levels), "mime-levels")
-        info = walked.select("id", F.inline("nodes"))
-        found = info if found is None else found.unionAll(info)
-        frontier = walked.where(F.size("below") > 0).select("id", F.inline("below"))
-    return found.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("path", "mime", "data"))).alias("nodes"))
-
-
-def mime_nodes(raw: DataFrame, levels: int = IN_ROW_LEVELS) -> DataFrame:
-    """Every node of each payload's part tree, at any depth, as array<struct(path, mime, data)> in pre-order."""
-    deep = raw.where(_part_lists(F.col("payload_json")) > levels)
-    flat = raw.where(F.coalesce(_part_lists(F.col("payload_json")), F.lit(0)) <= levels)
-    nodes = _levels(_roots(flat), levels + 1).select("id", F.array_sort("nodes").alias("nodes"))
-    return nodes if deep.isEmpty() else nodes.unionAll(_nodes_by_frontier(deep, levels))
+def mime_nodes(raw: DataFrame) -> DataFrame:
+    """(id, nodes): every node of each payload's part tree, at any depth, in pre-order.  One pass over the
+    payloads, all within the row."""
+    return with_variant(raw).select("id", walked_tree(F.col("_msg"), _depth_bound(F.col("payload_json"))).alias("nodes"))
 
 
 def flatten_mime(raw: DataFrame) -> DataFrame:
