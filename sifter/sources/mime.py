@@ -2,8 +2,8 @@
 
 The payload is JSON text (one per message).  It is parsed once to VARIANT.  The
 part tree is walked level by level by a fold inside the row (no explode, no
-shuffle, one pass over the source); how many levels it goes down is counted in
-the payload itself, so there is no depth limit.  The pre-order of a recursive
+shuffle, one pass over the source); how far it goes down is counted in the
+payload itself, so there is no depth limit but the JSON reader's (1,000 brackets).  The pre-order of a recursive
 walk is recovered by sorting the nodes by their index path.
 """
 
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from sifter.functions import constants as K
 
+FIRST_LEVELS = 4       # what a message with alternatives inside a mixed part needs, and the empty level below
 HEADER_TYPE = "array<struct<name:string,value:string>>"
 NODE_TYPE = "struct<path:array<int>,mime:string,data:string>"
 
@@ -83,28 +84,34 @@ def _node_info(level: Column) -> Column:
 
 def _depth_bound(payload_json: Column) -> Column:
     """No tree of part lists is deeper than the payload has opening brackets (0 where there is no payload)."""
-    return F.coalesce(F.length("payload_json") - F.length(F.replace(payload_json, F.lit("["), F.lit(""))), F.lit(0))
+    return F.coalesce(F.length(payload_json) - F.length(F.replace(payload_json, F.lit("["), F.lit(""))), F.lit(0))
 
 
-def walked_tree(msg: Column, depth: Column) -> Column:
+def walked_tree(msg: Column, payload_json: Column) -> Column:
     """Every node of the part tree as array<struct(path, mime, data)> in pre-order.
 
-    One fold over ``depth`` steps: the state is the level being looked at and the nodes found so far, a
-    step adds the level's nodes and goes down to their children.  A level without nodes stays empty, so
-    steps beyond the tree's depth do nothing."""
+    A fold over the levels: the state is the level being looked at and the nodes found so far, a step
+    adds the level's nodes and goes down to their children.  A level without nodes stays empty.  After
+    ``FIRST_LEVELS`` steps, which is all that usual mail needs, the fold goes on for as many steps as the
+    payload could be deep; these are only counted then."""
     root = F.array(F.struct(F.array().cast("array<int>").alias("path"), F.try_variant_get(msg, "$.payload", "variant").alias("node")))
-    return F.aggregate(
-        F.sequence(F.lit(0), depth),
-        F.struct(root.alias("level"), F.array().cast(f"array<{NODE_TYPE}>").alias("found")),
-        lambda state, _: F.when(F.size(state["level"]) == 0, state).otherwise(F.struct(
-            _children(state["level"]).alias("level"), F.concat(state["found"], _node_info(state["level"])).alias("found"))),
-        lambda state: F.array_sort(state["found"]))
+    start = F.struct(root.alias("level"), F.array().cast(f"array<{NODE_TYPE}>").alias("found"))
+
+    def step(state: Column, _: Column) -> Column:
+        return F.when(F.size(state["level"]) == 0, state).otherwise(F.struct(
+            _children(state["level"]).alias("level"), F.concat(state["found"], _node_info(state["level"])).alias("found")))
+
+    def rest(state: Column) -> Column:
+        deeper = F.aggregate(F.sequence(F.lit(0), _depth_bound(payload_json)), state, step, lambda s: s["found"])
+        return F.array_sort(F.when(F.size(state["level"]) == 0, state["found"]).otherwise(deeper))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(FIRST_LEVELS)), start, step, rest)
 
 
 def mime_nodes(raw: DataFrame) -> DataFrame:
     """(id, nodes): every node of each payload's part tree, at any depth, in pre-order.  One pass over the
     payloads, all within the row."""
-    return with_variant(raw).select("id", walked_tree(F.col("_msg"), _depth_bound(F.col("payload_json"))).alias("nodes"))
+    return with_variant(raw).select("id", walked_tree(F.col("_msg"), F.col("payload_json")).alias("nodes"))
 
 
 def flatten_mime(raw: DataFrame) -> DataFrame:

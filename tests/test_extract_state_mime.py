@@ -107,12 +107,26 @@ def test_mime_tree_of_any_depth(spark):
                 {"mimeType": "text/plain", "body": {"data": _b64(b"side")}}, node]}
         return json.dumps({"payload": node})
 
-    raw = spark.createDataFrame([(str(d), nested(d)) for d in (0, 8, 9, 12, 30)], "id string, payload_json string")
+    depths = (0, 3, 4, 5, 8, 9, 12, 30, 300)
+    raw = spark.createDataFrame([(str(d), nested(d)) for d in depths], "id string, payload_json string")
     body = {r.id: r for r in M.flatten_mime(raw).collect()}
-    for d in (0, 8, 9, 12, 30):
+    for d in depths:
         assert body[str(d)].body_text == "\n".join(["side"] * d + [f"at {d}"]) and body[str(d)].n_parts == 2 * d + 1
     parts = M.decoded_parts(raw).where("id = '30'").collect()
     assert len(parts) == 31 and max(r.path.count(".") for r in parts) == 29
+    # one pass over the source: nothing is joined, exploded or stored on the way
+    plan = M.flatten_mime(raw)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ExistingRDD") == 1 and not any(x in plan for x in ("Join", "Generate", "Exchange", "Union"))
+
+
+def test_mime_key_written_with_escapes(spark):
+    """The depth is bounded by brackets, not by how the keys are written."""
+    leaf = '{"mimeType":"text/plain","body":{"data":"%s"}}' % _b64(b"in")
+    text = leaf
+    for _ in range(9):
+        text = '{"p\\u0061rts":[' + text + "]}"
+    raw = spark.createDataFrame([("1", '{"payload":' + text + "}"), ("2", "no json"), ("3", None)], "id string, payload_json string")
+    assert {r.id: (r.body_text, r.n_parts) for r in M.flatten_mime(raw).collect()} == {"1": ("in", 10), "2": ("", 1), "3": ("", 1)}
 
 
 def test_full_run_with_model_and_state(spark):
