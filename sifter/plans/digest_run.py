@@ -13,6 +13,7 @@ fallbacks of the reference are used (chunk truncation, fallback digest).
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -25,6 +26,8 @@ from sifter.operators import state_ops as S
 from sifter.operators import triage as TR
 from sifter.session import stored
 from sifter.sources import sinks
+from sifter.sources.keyed_state import KeyedState
+from sifter.sources.state import new_processed_rows, next_run_row
 
 
 @dataclass
@@ -43,12 +46,14 @@ class RunOutputs:
 
 def run_digest(messages: DataFrame, verdicts: DataFrame, pages: DataFrame, processed: DataFrame,
                runs: DataFrame, as_of_epoch: Column, cfg: DigestConfig,
-               synthesizer=None, summarizer=None, run_id: int | None = None) -> RunOutputs:
+               synthesizer=None, summarizer=None, run_id: int | None = None, state: KeyedState | None = None) -> RunOutputs:
     """Build every output of one run.
 
     ``run_id`` names the run when it may be a replay: what an earlier attempt of
     the same run left in the state (its processed ids, its run row) is not seen,
-    so the replay takes the same messages again.
+    so the replay takes the same messages again.  With a ``state`` the processed
+    ids are looked up there (only in the buckets that may hold them) instead of
+    being joined as a table.
 
     ``verdicts(id, category, relevance_score, topics, reason)`` is the triage
     output for the messages (from ``positional_verdicts`` over model responses,
@@ -59,7 +64,7 @@ def run_digest(messages: DataFrame, verdicts: DataFrame, pages: DataFrame, proce
         runs = runs.where(F.col("id") != run_id)
     cutoff = S.resolve_cutoff(runs, as_of_epoch, cfg)
     fetched = S.scan_incremental(messages, cutoff, cfg)
-    fresh = S.anti_join_processed(fetched, processed)
+    fresh = S.anti_join_processed(fetched, processed) if state is None else state.unseen(fetched)
     v = verdicts.select("id", "category", "relevance_score", "topics", "reason")
     results = TR.split_kept_discarded(fresh.join(v, "id"), cfg)
     kept = results.where("kept")
@@ -77,7 +82,6 @@ def run_digest(messages: DataFrame, verdicts: DataFrame, pages: DataFrame, proce
     # no items: the empty digest and an empty sources section (append is a no-op)
     digest = body.select(D.digest_subject(as_of_epoch).alias("subject"),
                          D.append_sources(F.col("md"), F.col("sources_md")).alias("digest_md"), "n_items")
-    from sifter.sources.state import new_processed_rows, next_run_row
     delta = new_processed_rows(processed, fresh.select("id"), as_of_epoch)
     n_fresh = fresh.select(F.count(F.lit(1))).scalar()
     run_row = next_run_row(runs, as_of_epoch, n_fresh)
@@ -97,17 +101,27 @@ def model_verdicts(messages: DataFrame, cfg: DigestConfig, model) -> DataFrame:
 
 
 def write_run(out: RunOutputs, state_dir: str, run_id: int, as_of_epoch: int, digest_path: str | None,
-              cfg: DigestConfig) -> None:
-    """Sink one run in the original order: digest and actions first, then the
-    processed ids, then the run row (so a failure before the end re-runs the
-    messages instead of losing them).  Every sink has the run's own folder, and a
-    replay built with the same ``run_id`` writes the same rows there.  A dry run
-    writes nothing."""
+              cfg: DigestConfig) -> bool:
+    """Sink one run: digest, actions, processed ids and the run row, published together.
+
+    All are written to folders of this attempt; one ledger entry then publishes
+    them at once, so a run that dies before it leaves nothing that is seen, and
+    its replay publishes one consistent run.  A run that is published already is
+    not written again.  ``digest_path`` gets a copy of the published digest.
+    True if this call published the run; a dry run writes nothing."""
     if cfg.dry_run:
-        return
-    from sifter.sources.state import append_processed, append_run
-    spark = out.results.sparkSession
-    sinks.digest_sink(out.digest, digest_path and f"{digest_path}/run_id={run_id}", dry_run=False)
-    out.actions().write.mode("overwrite").parquet(f"{state_dir}/actions/run_id={run_id}")
-    n = append_processed(spark, state_dir, out.results.select("id"), as_of_epoch, run_id)
-    append_run(spark, state_dir, as_of_epoch, n, run_id)
+        return False
+    state, name = KeyedState(out.results.sparkSession, state_dir), f"run-{run_id:012d}"
+    published = False
+    if not state.is_published(name):
+        attempt = uuid.uuid4().hex
+        outputs = [("digest", state.stage_output(out.digest.coalesce(1), attempt, "digest"), run_id),
+                   ("actions", state.stage_output(out.actions(), attempt, "actions"), run_id)]
+        ids = out.results.select("id")
+        segment, _ = state.stage_ids(ids, as_of_epoch, run_id)
+        run = {"id": run_id, "ran_epoch": as_of_epoch, "messages_processed": ids.distinct().count()}
+        published = state.publish(name, {"segment": segment, "run": run, "outputs": outputs})
+    if digest_path:
+        digest = state.output("digest").where(F.col("run_id") == run_id).drop("run_id")
+        sinks.digest_sink(digest, f"{digest_path}/run_id={run_id}", dry_run=False)
+    return published

@@ -18,6 +18,7 @@ from sifter.plans.q_extract import SQL_ART, SQL_BASE, SQL_HIGH, SQL_ITEMS, SQL_P
 from sifter.session import shared_folder
 from sifter.sources import sinks
 from sifter.sources.fixtures import Fixtures
+from sifter.sources.keyed_state import KeyedState
 from sifter.sources.state import append_processed, append_run, next_run_row, read_state
 
 THR = CFG.triage_score_threshold
@@ -101,8 +102,8 @@ def q_scan_incremental(fx: Fixtures) -> DataFrame:
     """SELECT m.id, m.ord FROM messages m
        WHERE NOT EXISTS (SELECT 1 FROM processed_messages p WHERE p.message_id = m.id)"""))
 def q_anti_join_processed(fx: Fixtures) -> DataFrame:
-    """Messages not in the processed table."""
-    return S.anti_join_processed(fx.messages().select("id", "ord"), fx.processed_messages())
+    """Messages whose id is not in a written state; only the buckets that may hold one are read."""
+    return KeyedState(fx.spark, written_state(fx)).unseen(fx.messages().select("id", "ord"))
 
 
 @register("new_vs_seen", O.compose(STATE_CTES,
@@ -110,16 +111,16 @@ def q_anti_join_processed(fx: Fixtures) -> DataFrame:
               count(*) FILTER (WHERE p.message_id IS NOT NULL) AS n_seen
        FROM fetched f LEFT JOIN processed_messages p ON p.message_id = f.id"""))
 def q_new_vs_seen(fx: Fixtures) -> DataFrame:
-    """A2: fetched messages that are new vs already processed."""
-    return S.new_vs_seen(fetched(fx), fx.processed_messages())
+    """A2: fetched messages that are new vs already processed, looked up in a written state."""
+    ids = fetched(fx).select("id")
+    known = KeyedState(fx.spark, written_state(fx)).known(ids)
+    return S.new_vs_seen(ids, known.select(F.col("id").alias("message_id")))
 
 
 def written_state(fx: Fixtures) -> str:
     """A new state folder that holds the processed ids and the event-derived run log, as run 0 left them."""
     folder = shared_folder(fx.spark, "state")
-    (fx.processed_messages().withColumn("run_id", F.lit(0).cast("long"))
-     .write.partitionBy("run_id").parquet(f"{folder}/processed_messages"))
-    event_run_log(fx).withColumn("run_part", F.lit(0)).write.partitionBy("run_part").parquet(f"{folder}/runs")
+    KeyedState(fx.spark, folder).load(fx.processed_messages().withColumn("run_id", F.lit(0)), event_run_log(fx))
     return folder
 
 
@@ -157,8 +158,7 @@ def q_append_processed(fx: Fixtures) -> DataFrame:
 def q_append_run(fx: Fixtures) -> DataFrame:
     """This run's row written to a state folder, the log read back."""
     folder, now = written_state(fx), as_of_value(fx)
-    processed, runs = read_state(fx.spark, folder)
-    fresh = S.anti_join_processed(fetched(fx), processed)
+    runs, fresh = read_state(fx.spark, folder)[1], KeyedState(fx.spark, folder).unseen(fetched(fx).select("id"))
     row = next_run_row(runs, F.lit(now), fresh.select(F.count(F.lit(1))).scalar()).first()
     append_run(fx.spark, folder, now, row["messages_processed"], row["id"])
     return read_state(fx.spark, folder)[1].select("id", "ran_epoch", "messages_processed")

@@ -1,34 +1,22 @@
-"""Processed-message and run-log state as Parquet tables.
+"""Processed-message and run-log state (S7, S8, S9) over a keyed state folder.
 
-Writes are idempotent per run: every run writes its own ``run_id`` partition
-with dynamic partition overwrite, and the delta is computed against the state
-*without* that partition, so replaying a run replaces its rows instead of
-duplicating (or losing) them.
+Every write is published by one ledger entry of its run (``keyed_state``), so a
+replay of a run that was published changes nothing and one that was not leaves
+nothing behind.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
-from sifter.session import stored
-
-PROCESSED_SCHEMA = "message_id string, processed_epoch long, run_id long"
-RUNS_SCHEMA = "id long, ran_epoch long, messages_processed long"
-
-
-def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
+from sifter.sources.keyed_state import PROCESSED_SCHEMA, RUNS_SCHEMA, KeyedState  # noqa: F401  (the schemas of the tables)
 
 
 def read_state(spark: SparkSession, state_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(processed_messages, runs); a missing folder reads as an empty table."""
-    return (_read(spark, f"{state_dir}/processed_messages", PROCESSED_SCHEMA),
-            _read(spark, f"{state_dir}/runs", RUNS_SCHEMA))
+    """(processed_messages, runs); a missing folder reads as empty tables."""
+    state = KeyedState(spark, state_dir)
+    return state.processed(), state.runs()
 
 
 def new_processed_rows(processed: DataFrame, new_ids: DataFrame, as_of_epoch: Column) -> DataFrame:
@@ -40,19 +28,14 @@ def new_processed_rows(processed: DataFrame, new_ids: DataFrame, as_of_epoch: Co
 
 def append_processed(spark: SparkSession, state_dir: str, new_ids: DataFrame, as_of_epoch: int,
                      run_id: int) -> int:
-    """S8 sink: write this run's delta into its own partition and return its number of rows.
+    """S8 sink: publish the ids that the state does not have and return their number.
 
-    Replay-safe: the partition of an earlier attempt is replaced, and its ids keep their first
-    ``processed_epoch``."""
-    processed, _ = read_state(spark, state_dir)
-    others = processed.where(F.col("run_id") != run_id)
-    before = processed.where(F.col("run_id") == run_id).select("message_id", F.col("processed_epoch").alias("_first"))
-    delta = new_processed_rows(others, new_ids, F.lit(as_of_epoch)).join(before, "message_id", "left").select(
-        "message_id", F.coalesce("_first", "processed_epoch").alias("processed_epoch"), F.lit(run_id).alias("run_id"))
-    delta = stored(delta, "processed-delta")            # the partition that is replaced is also read
-    (delta.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("run_id").parquet(f"{state_dir}/processed_messages"))
-    return delta.count()
+    A replay of the run publishes nothing: its ids keep their first ``processed_epoch``."""
+    state, name = KeyedState(spark, state_dir), f"ids-{run_id:012d}"
+    if state.is_published(name):
+        return 0
+    segment, n = state.stage_ids(new_ids, as_of_epoch, run_id)
+    return n if state.publish(name, {"segment": segment}) else 0
 
 
 def next_run_row(runs: DataFrame, as_of_epoch: Column, messages_processed: Column) -> DataFrame:
@@ -62,7 +45,6 @@ def next_run_row(runs: DataFrame, as_of_epoch: Column, messages_processed: Colum
 
 
 def append_run(spark: SparkSession, state_dir: str, as_of_epoch: int, messages_processed: int, run_id: int) -> None:
-    """S9 sink: the run row lives in partition ``run_id`` (a replay rewrites it)."""
-    row = spark.createDataFrame([(run_id, as_of_epoch, messages_processed)], RUNS_SCHEMA)
-    (row.withColumn("run_part", F.col("id")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("run_part").parquet(f"{state_dir}/runs"))
+    """S9 sink: publish the run row (a replay changes nothing)."""
+    KeyedState(spark, state_dir).publish(
+        f"run-{run_id:012d}", {"run": {"id": run_id, "ran_epoch": as_of_epoch, "messages_processed": messages_processed}})

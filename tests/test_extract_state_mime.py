@@ -13,6 +13,7 @@ from sifter.operators import extract as X
 from sifter.operators import state_ops as S
 from sifter.sources import mime as M
 from sifter.sources import state as ST
+from sifter.sources.keyed_state import KeyedState
 
 
 def test_window_counts_and_cover(spark):
@@ -166,14 +167,14 @@ def test_replay_of_a_broken_run(spark):
     broken = attempt(as_of)
     digest = broken.digest.first()
     sent = broken.actions().count()
-    broken.actions().write.parquet(f"{state}/actions/run_id=1")
+    KeyedState(spark, state).stage_output(broken.actions(), "lost", "actions")
     ST.append_processed(spark, state, broken.results.select("id"), as_of, 1)
     # ... and here it died
     again = attempt(as_of)
     write_run(again, state, 1, as_of, f"{state}/digest", cfg)
     assert again.digest.first() == digest and digest.n_items > 0
     assert spark.read.parquet(f"{state}/digest/run_id=1").first().digest_md == digest.digest_md
-    assert spark.read.parquet(f"{state}/actions/run_id=1").count() == sent > 0
+    assert KeyedState(spark, state).output("actions").count() == sent > 0
     processed, runs = ST.read_state(spark, state)
     assert {r.processed_epoch for r in processed.collect()} == {as_of}
     assert [(r.id, r.messages_processed) for r in runs.collect()] == [(1, processed.count())]
