@@ -1,8 +1,9 @@
 """Registered incremental / streaming queries (R1-R4) over the events table.
 
 Mapping (SURVEY §7.3 step 8): message id = ``event_id``, sender = ``user_id``,
-score = ``value``.  The events arrive as three overlapping deliveries; each
-delivery is followed by one ``availableNow`` run of the same streaming query.
+score = ``value``.  The events arrive as three overlapping deliveries of several
+files; each delivery is followed by one ``availableNow`` run of the same streaming
+query, which takes two files a micro-batch.  Every query runs its own schedule.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ SQL_SLICES = [
 
 
 def schedule(fx: Fixtures):
-    return run_schedule(fx.spark, fx.table("events"), fx.sf_dir)
+    return run_schedule(fx.spark, fx.table("events"))
 
 
 @register("incremental_run", O.compose(SQL_SLICES, "SELECT event_id, run FROM first_run"))

@@ -128,6 +128,12 @@ class KeyedState:
         gone = {x for e in found.values() for x in e.get("replaces", [])}
         return {k: e for k, e in sorted(found.items()) if k not in gone}
 
+    def published(self, prefix: str) -> list[str]:
+        """Names of all entries ever published that start so, replaced ones too."""
+        p, fs = self._fs(f"{self.folder}/ledger")
+        names = [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+        return sorted(n[:-5] for n in names if n.startswith(prefix) and n.endswith(".json"))
+
     def is_published(self, name: str) -> bool:
         p, fs = self._fs(f"{self.folder}/ledger/{name}.json")
         return fs.exists(p)
@@ -211,7 +217,7 @@ class KeyedState:
 
     # ---------------------------------------------------------------- writing
 
-    def _write_segment(self, rows: DataFrame) -> tuple[str, int]:
+    def stage_rows(self, rows: DataFrame) -> tuple[str, int]:
         """Rows (message_id, processed_epoch, run_id) as a new, still unpublished segment with its filters."""
         segment = uuid.uuid4().hex
         path = f"{self.folder}/ids/segment={segment}"
@@ -229,7 +235,7 @@ class KeyedState:
     def stage_ids(self, ids: DataFrame, epoch: int, run_id: int) -> tuple[str, int]:
         """The ids (column ``id``) that the state does not have, as an unpublished segment; its name and size."""
         new = self.unseen(ids.where("id IS NOT NULL").select(F.col("id").cast("string").alias("id")).dropDuplicates())
-        return self._write_segment(new.select(F.col("id").alias("message_id"), F.lit(epoch).alias("processed_epoch"),
+        return self.stage_rows(new.select(F.col("id").alias("message_id"), F.lit(epoch).alias("processed_epoch"),
                                               F.lit(run_id).alias("run_id")))
 
     def stage_output(self, df: DataFrame, attempt: str, name: str) -> str:
@@ -239,7 +245,7 @@ class KeyedState:
 
     def load(self, processed: DataFrame, runs: DataFrame) -> None:
         """Start a state from existing tables."""
-        segment, _ = self._write_segment(processed)
+        segment, _ = self.stage_rows(processed)
         runs.select("id", "ran_epoch", "messages_processed").write.parquet(f"{self.folder}/runs/segment={segment}")
         self.publish(f"base-{segment}", {"segment": segment, "runs": segment})
 
@@ -251,7 +257,7 @@ class KeyedState:
             return None
         segments = [e["segment"] for e in before.values() if e.get("segment")]
         runs = self.runs()
-        segment, _ = self._write_segment(self._ids(segments))
+        segment, _ = self.stage_rows(self._ids(segments))
         runs.write.parquet(f"{self.folder}/runs/segment={segment}")
         self.publish(f"base-{segment}", {"segment": segment, "runs": segment, "replaces": sorted(before),
                                          "outputs": [x for e in before.values() for x in e.get("outputs", [])]})
