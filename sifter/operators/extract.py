@@ -18,6 +18,7 @@ from sifter.functions import constants as K
 from sifter.functions.html import html_to_text, main_content
 from sifter.functions.links import best_link
 from sifter.functions.text import source_name, token_slice_text, word_pieces
+from sifter.operators.skew import ROWS_A_TASK, salted_join
 from sifter.session import stored
 
 SummarizeFn = Callable[[str, str], str]
@@ -44,6 +45,17 @@ def gated_links(kept: DataFrame) -> DataFrame:
     return message_links(kept.where(F.col("category") == K.CATEGORY_HIGH))
 
 
+def fetched_pages(pages: DataFrame) -> DataFrame:
+    """The crawled pages that count: status 200 to 299 and ``html`` in the content type, where the table
+    tells them (``status``, ``content_type``); a NULL there is a fetch that failed or told no type."""
+    out = pages
+    if "status" in pages.columns:
+        out = out.where(F.col("status").between(200, 299))
+    if "content_type" in pages.columns:
+        out = out.where(F.contains(F.col("content_type"), F.lit("html")))
+    return out
+
+
 def page_contents(urls: DataFrame, pages: DataFrame) -> DataFrame:
     """S6/J4 lookup side: main content of the crawled page behind each needed URL.
 
@@ -52,20 +64,22 @@ def page_contents(urls: DataFrame, pages: DataFrame) -> DataFrame:
     per page no matter how many messages link to it.
     """
     needed = urls.select(F.col("link_url").alias("url")).where(F.col("url").isNotNull()).distinct()
+    pages = fetched_pages(pages)
     picked = (pages.select("page_id", "url").join(needed, "url", "left_semi")
               .groupBy("url").agg(F.min("page_id").alias("page_id")))
     found = pages.select("page_id", "url", "html").join(picked, ["page_id", "url"])
     return computed_once(found, [F.col("url").alias("link_url")], main_content("html"), "article")
 
 
-def lookup_page(links: DataFrame, pages: DataFrame) -> DataFrame:
-    """(id, link_url) -> (id, link_url, article); unknown URL -> ''.
+def lookup_page(links: DataFrame, pages: DataFrame, rows_a_task: int = ROWS_A_TASK) -> DataFrame:
+    """(id, link_url) -> (id, link_url, article); an unknown URL, an error page or one that is no HTML -> ''.
 
-    ``links`` is read twice (the needed URLs and the rows), so the narrow pairs are
-    stored once.  Rows without a link never enter the join (no NULL-key hot partition).
+    ``links`` is read more than once (the needed URLs and the rows), so the narrow pairs are
+    stored once.  Rows without a link never enter the join (no NULL-key hot partition); a URL that
+    very many messages link to is dealt over several tasks.
     """
     with_link = stored(links.where(F.col("link_url").isNotNull()).select("id", "link_url"), "links")
-    found = with_link.join(page_contents(with_link, pages), "link_url", "left")
+    found = salted_join(with_link, page_contents(with_link, pages), "link_url", "id", rows_a_task)
     return found.select("id", "link_url", F.coalesce(F.col("article"), F.lit("")).alias("article"))
 
 

@@ -63,6 +63,31 @@ def q_lookup_page(fx: Fixtures) -> DataFrame:
     return X.lookup_page(X.gated_links(kept_messages(fx)), fx.pages())
 
 
+SQL_CRAWLED = ("crawled", """
+SELECT page_id, url, html, CASE WHEN page_id % 17 = 5 THEN NULL WHEN page_id % 5 = 2 THEN 404 WHEN page_id % 5 = 4 THEN 204 ELSE 200 END AS status,
+       CASE WHEN page_id % 13 = 1 THEN NULL WHEN page_id % 7 = 3 THEN 'application/pdf' WHEN page_id % 2 = 0 THEN 'text/html; charset=utf-8'
+            ELSE 'application/xhtml+xml' END AS content_type FROM pages""")
+
+
+def crawled_pages(fx: Fixtures) -> DataFrame:
+    """Stand-in for a crawl log: the pages with a status and a content type."""
+    p = F.col("page_id")
+    return fx.pages().select(
+        "page_id", "url", "html", F.when(p % 17 == 5, None).when(p % 5 == 2, 404).when(p % 5 == 4, 204).otherwise(200).alias("status"),
+        F.when(p % 13 == 1, None).when(p % 7 == 3, "application/pdf").when(p % 2 == 0, "text/html; charset=utf-8")
+        .otherwise("application/xhtml+xml").alias("content_type"))
+
+
+@register("lookup_fetched_page", O.compose([
+    SQL_KEPT_M, SQL_HIGH, *O.best_link_ctes("hl", "high_m"), SQL_CRAWLED,
+    ("pg", """SELECT url, arg_min(html, page_id) AS html FROM crawled
+              WHERE status // 100 = 2 AND position('html' IN content_type) > 0 GROUP BY url"""), SQL_ART],
+    "SELECT id, link_url, article FROM art"))
+def q_lookup_fetched_page(fx: Fixtures) -> DataFrame:
+    """The lookup over pages that carry a status and a content type; failed fetches and other types give ''."""
+    return X.lookup_page(X.gated_links(kept_messages(fx)), crawled_pages(fx))
+
+
 @register("combine_article", O.compose(EXTRACT_CTES, "SELECT id, full_content FROM items"))
 def q_combine_article(fx: Fixtures) -> DataFrame:
     """body plus the linked article (when non-empty) for every kept message."""
