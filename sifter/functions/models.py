@@ -14,6 +14,7 @@ import json
 import re
 
 from sifter.config import DigestConfig
+from sifter.operators.model_calls import PermanentError
 
 _BLOCK = re.compile(r"--- Email (\d+) ---\nSubject: (.*?)\nFrom: (.*?)\nPreview: (.*?)\n---(?=\n--- Email \d+ ---\n|\Z)",
                     re.S)
@@ -53,7 +54,7 @@ def lead_model(system: str, prompt: str) -> str:
     """Length and first words of a summary prompt's chunk; every seventh length has no answer."""
     chunk = prompt.split("\n\n", 1)[1]
     if len(chunk) % 7 == 0:
-        raise RuntimeError("no summary")
+        raise PermanentError("no summary")
     return f"{len(chunk)} characters: {chunk[:40]}"
 
 
@@ -63,4 +64,4 @@ def counting_model(system: str, prompt: str) -> str:
 
 
 def failing_model(system: str, prompt: str) -> str:
-    raise RuntimeError("no model endpoint configured")
+    raise PermanentError("no model endpoint configured")

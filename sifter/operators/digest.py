@@ -7,7 +7,7 @@ string aggregations here work on a bounded group.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -18,6 +18,7 @@ from sifter.functions import constants as K
 from sifter.functions.templates import fill
 from sifter.functions.text import truncate, truncate_ellipsis
 from sifter.operators.extract import extract_items
+from sifter.operators.model_calls import CallPolicy, ClientPerPartition, ModelFn, answered
 from sifter.session import stored
 
 
@@ -153,21 +154,14 @@ def topic_digest(items: DataFrame) -> DataFrame:
                         .otherwise(F.col("topic")))
 
 
-def write_digest(prompt_row: DataFrame, model: Callable[[str, str], str] | None) -> DataFrame:
+def write_digest(prompt_row: DataFrame, model: ModelFn | ClientPerPartition | None, policy: CallPolicy = CallPolicy()) -> DataFrame:
     """One model call per digest prompt row; NULL when there is no model or it raises."""
     if model is None:
         return prompt_row.withColumn("model_md", F.lit(None).cast("string"))
     cols = prompt_row.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for prompt in pdf["prompt"]:
-                try:
-                    out.append(model(K.SYNTHESIS_SYSTEM, prompt))
-                except Exception:  # noqa: BLE001
-                    out.append(None)
-            yield pdf.assign(model_md=out)
+        return answered(batches, model, policy, lambda p: [(K.SYNTHESIS_SYSTEM, x) for x in p["prompt"]], "model_md")
 
     schema = StructType([*prompt_row.schema.fields, StructField("model_md", StringType())])
     return prompt_row.mapInPandas(run, schema).select(*cols, "model_md")

@@ -7,7 +7,7 @@ and the page lookup join (one shuffle over narrow columns).
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,10 +18,10 @@ from sifter.functions import constants as K
 from sifter.functions.html import html_to_text, main_content
 from sifter.functions.links import best_link
 from sifter.functions.text import source_name, token_slice_text, word_pieces
+from sifter.operators.model_calls import CallPolicy, ClientPerPartition, ModelFn, answered
 from sifter.operators.skew import ROWS_A_TASK, salted_join
 from sifter.session import stored
 
-SummarizeFn = Callable[[str, str], str]
 
 
 def choose_body(body_html: Column, body_text: Column) -> Column:
@@ -114,7 +114,8 @@ def native_chunked_summary(tokens: Column, cfg: DigestConfig) -> Column:
     return F.array_join(F.transform(wins, lambda w: chunk_fallback(w["chunk_text"])), "\n\n")
 
 
-def summarize_windows(windows: DataFrame, model: SummarizeFn, parallelism: int | None = None) -> DataFrame:
+def summarize_windows(windows: DataFrame, model: ModelFn | ClientPerPartition, parallelism: int | None = None,
+                      policy: CallPolicy = CallPolicy()) -> DataFrame:
     """U4 with a model: (id, chunk_no, chunk_text) -> + summary; an exception -> fallback.
 
     The windows are dealt over ``parallelism`` tasks (default: the shuffle
@@ -125,14 +126,8 @@ def summarize_windows(windows: DataFrame, model: SummarizeFn, parallelism: int |
     tasks = parallelism or int(windows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for chunk in pdf["chunk_text"]:
-                try:
-                    out.append(model(K.CHUNK_SUMMARY_SYSTEM, K.CHUNK_SUMMARY_USER.format(chunk=chunk)))
-                except Exception:  # noqa: BLE001
-                    out.append(None)
-            yield pdf.assign(summary=out)
+        return answered(batches, model, policy, lambda p: [
+            (K.CHUNK_SUMMARY_SYSTEM, K.CHUNK_SUMMARY_USER.format(chunk=c)) for c in p["chunk_text"]], "summary")
 
     scored = windows.select("id", "chunk_no", "chunk_text").repartition(tasks, "id", "chunk_no").mapInPandas(
         run, "id string, chunk_no int, chunk_text string, summary string")
@@ -148,7 +143,7 @@ def join_summaries(summaries: DataFrame) -> DataFrame:
 
 
 def extract_items(kept: DataFrame, pages: DataFrame, cfg: DigestConfig,
-                  summarizer: SummarizeFn | None = None) -> DataFrame:
+                  summarizer: ModelFn | None = None) -> DataFrame:
     """Kept triage results -> extracted items (one per input row, order key kept).
 
     ``kept`` needs id, ord, sender, subject, snippet, body_html, body_text,

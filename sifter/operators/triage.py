@@ -7,7 +7,7 @@ parsing, the failure rules and all filtering stay native.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -17,6 +17,7 @@ from sifter.config import DigestConfig
 from sifter.functions import constants as K
 from sifter.functions.templates import fill
 from sifter.functions.text import normalize_sender, preview_text, strip_code_fence
+from sifter.operators.model_calls import CallPolicy, ClientPerPartition, ModelFn, answered
 from sifter.operators.ordering import ordered_position
 
 # ---------------------------------------------------------------------------
@@ -72,26 +73,19 @@ def batch_pack(batched: DataFrame, cfg: DigestConfig) -> DataFrame:
 # Model scoring through a user callable
 # ---------------------------------------------------------------------------
 
-ModelFn = Callable[[str, str], str]
-
-
-def score_batches(packed: DataFrame, model: ModelFn, parallelism: int | None = None) -> DataFrame:
+def score_batches(packed: DataFrame, model: ModelFn | ClientPerPartition, parallelism: int | None = None,
+                  policy: CallPolicy = CallPolicy()) -> DataFrame:
     """Call ``model(system, prompt) -> text`` once per batch; an exception gives NULL.
 
-    Runs in ``mapInPandas`` (Arrow batches, one callable per partition), the prompts spread
-    over ``parallelism`` tasks (default: the shuffle partitions).  The
-    result must be materialised once by the caller (``checkpoint``) so a retry
-    or a second action does not call the model again.
+    Runs in ``mapInPandas`` (Arrow batches), the prompts spread over
+    ``parallelism`` tasks (default: the shuffle partitions), with the calls in
+    flight and the retries of ``policy``.  The result must be materialised once
+    by the caller (``stored``) so a retry of a task's consumers or a second
+    action does not call the model again.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for system, prompt in zip(pdf["system"], pdf["prompt"]):
-                try:
-                    out.append(model(system, prompt))
-                except Exception:  # noqa: BLE001 - any failure means "no response"
-                    out.append(None)
-            yield pd.DataFrame({"batch_id": pdf["batch_id"], "n_emails": pdf["n_emails"], "response": out})
+        for pdf in answered(batches, model, policy, lambda p: list(zip(p["system"], p["prompt"])), "response"):
+            yield pdf[["batch_id", "n_emails", "response"]]
 
     tasks = parallelism or int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return packed.select("batch_id", "n_emails", "system", "prompt").repartition(tasks, "batch_id").mapInPandas(
