@@ -21,18 +21,19 @@ import hashlib
 import heapq
 import json
 import os
-import unicodedata
+import re
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sifter.llm.common import kept, tokenizer_path
+from sifter.llm.common import kept, load_tokenizer, tokenizer_path
 from sifter.llm.token_counts import SPACE
 
-#: Words that a worker remembers.
+#: Words and chunks that a worker remembers, and the longest such chunk.
 CACHE = 150_000
+LONGEST = 64
 
 #: Fixed value: the word pattern of the vocabulary (matches are kept, the rest is dropped).
 WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+"
@@ -46,28 +47,66 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in set(own) else chr(next(spare)) for b in range(256)]
 
 
+#: Punctuation that stands alone as a word behind letters (not the apostrophe, which may open a suffix).
+MARKS = frozenset(".,;:!?")
+
+
 class WordSplitter:
-    """Normalises a text (NFC, lower case by character) and finds its words; special strings stand apart."""
+    """Words of a text as the library finds them; special strings stand apart.
 
-    def __init__(self, specials: list[str]):
+    No word spans white space, and neither normalisation nor a special string crosses it, so a text is first cut
+    there into chunks, each of which has its words whatever stands around it.  Characters below U+0250 have had the
+    same case, category and (no) composition in all versions of Unicode, so a chunk of these is split here; every
+    other one by the library's own normaliser and pre-tokeniser, whose tables are its own."""
+
+    def __init__(self, tok):
         import regex
 
+        self.tok = tok
         self.find = regex.compile(WORDS).findall
+        self.old = re.compile("[\0-\u024f]*").fullmatch
+        self.space = regex.compile(f"[^{SPACE}]+").findall
+        self.byte = {c: b for b, c in enumerate(byte_alphabet())}
+        specials = [t.content for t in tok.get_added_tokens_decoder().values()]
+        if any(regex.search(f"[{SPACE}]", s) for s in specials):
+            raise ValueError("a special string with white space in it")
         self.specials = frozenset(specials)
+        self.mark = os.path.commonprefix(specials)      # no special string where this is not
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(specials, key=len, reverse=True))) + ")") if specials else None
 
-    def plain(self, text: str) -> list[str]:
-        if not text.isascii():
-            # one capital letter lower-cases by context in Python, by itself in the library
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return self.find(text.lower())
+    def may_be_special(self, text: str) -> bool:
+        return self.cut is not None and self.mark in text and self.cut.search(text) is not None
 
-    def words(self, text: str | None) -> list[str]:
+    def chunks(self, text: str | None) -> list[str]:
+        """``text`` cut at white space (str.split also cuts at U+001C to U+001F, which the library does not), in lower
+        case where that is the library's."""
         if not text:
             return []
-        if self.cut is None or not any(s in text for s in self.specials):
-            return self.plain(text)
-        return [w for p in self.cut.split(text) for w in ([p] if p in self.specials else self.plain(p))]
+        if self.old(text) and not (self.mark in text.lower()):
+            text = text.lower()
+        return self.space(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
+
+    def plain(self, chunk: str) -> list[str]:
+        if self.old(chunk):
+            low = chunk.lower()
+            return [low] if low.isalpha() else self.find(low)
+        found = self.tok.pre_tokenizer.pre_tokenize_str(self.tok.normalizer.normalize_str(chunk))
+        return [bytes(map(self.byte.__getitem__, p)).decode("utf-8") for p, _ in found]
+
+    def words(self, chunk: str) -> list[str]:
+        if not self.may_be_special(chunk):
+            return self.plain(chunk)
+        return [w for p in self.cut.split(chunk) for w in ([p] if p in self.specials else self.plain(p) if p else [])]
+
+    def word_and_mark(self, chunk: str) -> tuple[str, str] | None:
+        """A word of letters and the one punctuation mark behind it, which are two words of the library."""
+        word = chunk[:-1]
+        return (word, chunk[-1]) if chunk[-1] in MARKS and word.isalpha() and self.old(word) else None
+
+
+def remembered(known: dict, used: set, limit: int) -> dict:
+    """``known``, or what of it is used now where it holds more than ``limit`` entries."""
+    return known if len(known) <= limit else {k: known[k] for k in used & known.keys()}
 
 
 class PairIndexBpe:
@@ -169,35 +208,47 @@ class PairIndexBpe:
 
 
 class Codec:
-    """Word -> (number of ids, ids as text, decoded text), remembered up to ``CACHE`` words."""
+    """Encodes and decodes texts; words and whole chunks are remembered as (number of ids, ids as text, decoded text)."""
 
     def __init__(self, path: str):
         self.bpe = PairIndexBpe(path)
-        self.split = WordSplitter(list(self.bpe.special))
+        self.split = WordSplitter(load_tokenizer(path))
         self.names = [str(i) for i in range(len(self.bpe.token))]
+        self.words: dict[str, tuple[int, str, str]] = {}
         self.known: dict[str, tuple[int, str, str]] = {}
 
-    def learn(self, texts_words: list[list[str]]) -> None:
-        if len(self.known) > CACHE:
-            self.known.clear()
-        new = list(set().union(*texts_words).difference(self.known)) if texts_words else []
+    def learn_words(self, used: set[str]) -> None:
+        self.words = remembered(self.words, used, CACHE)
+        new = list(used.difference(self.words))
         for s in self.bpe.special.keys() & set(new):
-            self.known[s] = (1, self.names[self.bpe.special[s]], s)
+            self.words[s] = (1, self.names[self.bpe.special[s]], s)
         new = [w for w in new if w not in self.bpe.special]
         ids, counts = self.bpe.encode(new)
         ids, at = ids.tolist(), 0
         for w, n in zip(new, counts.tolist()):
             own = ids[at:at + n]
             at += n
-            self.known[w] = (n, " ".join([self.names[i] for i in own]), " ".join([self.bpe.token[i] for i in own]))
+            self.words[w] = (n, " ".join([self.names[i] for i in own]), " ".join([self.bpe.token[i] for i in own]))
+
+    def learn(self, used: set[str]) -> dict[str, tuple[int, str, str]]:
+        """Rows of all used chunks and of those that are remembered."""
+        self.known = remembered(self.known, used, CACHE)
+        new = {c: self.split.words(c) for c in used.difference(self.known)}
+        self.learn_words(set().union(*new.values()))
+        long = {}
+        for c, words in new.items():
+            rows = [self.words[w] for w in words]
+            row = rows[0] if len(rows) == 1 else (sum(r[0] for r in rows), " ".join([r[1] for r in rows]), " ".join([r[2] for r in rows]))
+            (self.known if len(c) <= LONGEST else long)[c] = row
+        return self.known | long if long else self.known
 
     def run(self, texts: list[str | None]) -> tuple[list[int], list[str], list[str]]:
         """Number of ids, ids as text and decoded text of each text."""
-        words = [self.split.words(t) for t in texts]
-        self.learn(words)
+        chunks = [self.split.chunks(t) for t in texts]
+        known = self.learn(set().union(*chunks))
         counts, ids, decoded = [], [], []
-        for own in words:
-            n, i, d = zip(*map(self.known.__getitem__, own)) if own else ((), (), ())
+        for own in chunks:
+            n, i, d = zip(*map(known.__getitem__, own)) if own else ((), (), ())
             counts.append(sum(n))
             ids.append(" ".join(i))
             decoded.append(" ".join(d))

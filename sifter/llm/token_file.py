@@ -19,6 +19,7 @@ ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -26,32 +27,44 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sifter.llm.bpe_codec import WordSplitter
+from sifter.llm.bpe_codec import LONGEST, WordSplitter, remembered
 from sifter.llm.common import kept, load_tokenizer, shared_folder, stored
 
 #: Ids of one sequence, sequences of one record batch.
 LENGTH = 2048
 ROWS = 256
-#: Words that a worker remembers.
+#: Chunks that a worker remembers.
 CACHE = 300_000
 
+
 class LibraryWords:
-    """Ids of a text as little-endian bytes: distinct words are encoded by the library once, then looked up."""
+    """Ids of a text as little-endian bytes: distinct chunks between white space are encoded by the library once, then
+    looked up."""
 
     def __init__(self, name: str):
         self.tok = load_tokenizer(name)
-        self.split = WordSplitter([t.content for t in self.tok.get_added_tokens_decoder().values()])
+        self.split = WordSplitter(self.tok)
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
 
     def run(self, texts: list[str | None]) -> list[bytes]:
-        words = [self.split.words(t) for t in texts]
-        if len(self.known) > CACHE:
-            self.known.clear()
-        new = list(set().union(*words).difference(self.known)) if words else []
-        for w, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[w] = np.array(e.ids, self.dtype).tobytes()
-        return [b"".join(map(self.known.__getitem__, w)) for w in words]
+        chunks = [self.split.chunks(t) for t in texts]
+        used = set().union(*chunks)
+        self.known = known = remembered(self.known, used, CACHE)
+        new = used.difference(known)
+        parts = {c: p for c in new if (p := self.split.word_and_mark(c))}
+        alone = list(new.difference(parts).union(*parts.values()).difference(known))
+        code, long = "H" if self.dtype.itemsize == 2 else "I", []
+        for c, e in zip(alone, self.tok.encode_batch_fast(alone, add_special_tokens=False)):
+            known[c] = array(code, e.ids).tobytes()
+            if len(c) > LONGEST:
+                long.append(c)
+        for c, (word, mark) in parts.items():
+            known[c] = known[word] + known[mark]
+        out = [b"".join(map(known.__getitem__, c)) for c in chunks]
+        for c in long:
+            del known[c]
+        return out
 
 
 def _library(name: str) -> LibraryWords:
