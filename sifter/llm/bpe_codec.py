@@ -22,6 +22,7 @@ import heapq
 import json
 import os
 import re
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from sifter.llm.common import kept, load_tokenizer, tokenizer_path
 from sifter.llm.token_counts import SPACE
 
 #: Words and chunks that a worker remembers, and the longest such chunk.
-CACHE = 150_000
+CACHE = 250_000
 LONGEST = 64
 
 #: Fixed value: the word pattern of the vocabulary (matches are kept, the rest is dropped).
@@ -77,14 +78,28 @@ class WordSplitter:
     def may_be_special(self, text: str) -> bool:
         return self.cut is not None and self.mark in text and self.cut.search(text) is not None
 
-    def chunks(self, text: str | None) -> list[str]:
-        """``text`` cut at white space (str.split also cuts at U+001C to U+001F, which the library does not), in lower
-        case where that is the library's."""
+    def chunks(self, text: str | None) -> tuple[list[str], bool]:
+        """``text`` cut at white space (str.split also cuts at U+001C to U+001F, which the library does not); True if
+        it is of old characters only and no special string is in it: then its chunks are in lower case."""
         if not text:
-            return []
-        if self.old(text) and not (self.mark in text.lower()):
-            text = text.lower()
-        return self.space(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
+            return [], True
+        old = self.old(text) is not None
+        if old:
+            low = text.lower()
+            old = not (self.mark and self.mark in low)
+            text = low if old else text
+        return (self.space(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()), old
+
+    def new_words(self, cut: list[tuple[list[str], bool]], known: dict) -> tuple[set[str], dict[str, list[str]]]:
+        """Of all chunks of ``cut`` that are not known: those that are one word themselves, and the words of the others."""
+        def unknown(of_old: bool) -> set[str]:
+            return set(filterfalse(known.__contains__, chain.from_iterable([c for c, old in cut if old == of_old])))
+
+        plain = unknown(True)
+        words = set(filter(str.isalpha, plain))
+        parts = {c: self.word_and_mark(c) or self.plain(c) for c in plain - words}
+        parts.update((c, self.words(c)) for c in unknown(False).difference(words, parts))
+        return words, parts
 
     def plain(self, chunk: str) -> list[str]:
         if self.old(chunk):
@@ -98,15 +113,15 @@ class WordSplitter:
             return self.plain(chunk)
         return [w for p in self.cut.split(chunk) for w in ([p] if p in self.specials else self.plain(p) if p else [])]
 
-    def word_and_mark(self, chunk: str) -> tuple[str, str] | None:
-        """A word of letters and the one punctuation mark behind it, which are two words of the library."""
-        word = chunk[:-1]
-        return (word, chunk[-1]) if chunk[-1] in MARKS and word.isalpha() and self.old(word) else None
+    @staticmethod
+    def word_and_mark(chunk: str) -> list[str] | None:
+        """A word of letters (old ones, in lower case) and the one punctuation mark behind it: two words of the library."""
+        return [chunk[:-1], chunk[-1]] if chunk[-1] in MARKS and chunk[:-1].isalpha() else None
 
 
-def remembered(known: dict, used: set, limit: int) -> dict:
+def remembered(known: dict, used, limit: int) -> dict:
     """``known``, or what of it is used now where it holds more than ``limit`` entries."""
-    return known if len(known) <= limit else {k: known[k] for k in used & known.keys()}
+    return known if len(known) <= limit else {k: known[k] for k in known.keys() & set(used)}
 
 
 class PairIndexBpe:
@@ -230,28 +245,24 @@ class Codec:
             at += n
             self.words[w] = (n, " ".join([self.names[i] for i in own]), " ".join([self.bpe.token[i] for i in own]))
 
-    def learn(self, used: set[str]) -> dict[str, tuple[int, str, str]]:
-        """Rows of all used chunks and of those that are remembered."""
-        self.known = remembered(self.known, used, CACHE)
-        new = {c: self.split.words(c) for c in used.difference(self.known)}
-        self.learn_words(set().union(*new.values()))
-        long = {}
-        for c, words in new.items():
-            rows = [self.words[w] for w in words]
-            row = rows[0] if len(rows) == 1 else (sum(r[0] for r in rows), " ".join([r[1] for r in rows]), " ".join([r[2] for r in rows]))
-            (self.known if len(c) <= LONGEST else long)[c] = row
-        return self.known | long if long else self.known
-
     def run(self, texts: list[str | None]) -> tuple[list[int], list[str], list[str]]:
         """Number of ids, ids as text and decoded text of each text."""
-        chunks = [self.split.chunks(t) for t in texts]
-        known = self.learn(set().union(*chunks))
+        cut = [self.split.chunks(t) for t in texts]
+        self.known = known = remembered(self.known, (c for own, _ in cut for c in own), CACHE)
+        single, parts = self.split.new_words(cut, known)
+        self.learn_words(single.union(*parts.values()))
+        known.update([(w, self.words[w]) for w in single])
+        for c, words in parts.items():
+            n, i, d = zip(*[self.words[w] for w in words])
+            known[c] = sum(n), " ".join(i), " ".join(d)
         counts, ids, decoded = [], [], []
-        for own in chunks:
+        for own, _ in cut:
             n, i, d = zip(*map(known.__getitem__, own)) if own else ((), (), ())
             counts.append(sum(n))
             ids.append(" ".join(i))
             decoded.append(" ".join(d))
+        for c in [c for c in (*single, *parts) if len(c) > LONGEST]:
+            del known[c]
         return counts, ids, decoded
 
 

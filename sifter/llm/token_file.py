@@ -18,6 +18,7 @@ ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import json
 import zlib
 from array import array
 
@@ -33,40 +34,48 @@ from sifter.llm.common import kept, load_tokenizer, shared_folder, stored
 #: Ids of one sequence, sequences of one record batch.
 LENGTH = 2048
 ROWS = 256
-#: Chunks that a worker remembers.
-CACHE = 300_000
+#: Chunks of up to LONGEST characters that a worker remembers (about 200 bytes each).
+CACHE = 600_000
 
 
 class LibraryWords:
     """Ids of a text as little-endian bytes: distinct chunks between white space are encoded by the library once, then
-    looked up."""
+    looked up.  The words of a chunk are known to be whole, so the library's model gets them without its normaliser and
+    word pattern."""
 
     def __init__(self, name: str):
-        self.tok = load_tokenizer(name)
-        self.split = WordSplitter(self.tok)
-        self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
+        tok = load_tokenizer(name)
+        self.split = WordSplitter(tok)
+        self.special = {t.content: i for i, t in tok.get_added_tokens_decoder().items()}
+        self.model = word_model(tok)
+        self.dtype = np.dtype("<u2" if tok.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
 
     def run(self, texts: list[str | None]) -> list[bytes]:
-        chunks = [self.split.chunks(t) for t in texts]
-        used = set().union(*chunks)
-        self.known = known = remembered(self.known, used, CACHE)
-        new = used.difference(known)
-        parts = {c: p for c in new if (p := self.split.word_and_mark(c))}
-        alone = list(new.difference(parts).union(*parts.values()).difference(known))
-        code, long = "H" if self.dtype.itemsize == 2 else "I", []
-        for c, e in zip(alone, self.tok.encode_batch_fast(alone, add_special_tokens=False)):
-            known[c] = array(code, e.ids).tobytes()
-            if len(c) > LONGEST:
-                long.append(c)
-        for c, (word, mark) in parts.items():
-            known[c] = known[word] + known[mark]
-        out = [b"".join(map(known.__getitem__, c)) for c in chunks]
-        for c in long:
-            del known[c]
+        cut = [self.split.chunks(t) for t in texts]
+        self.known = known = remembered(self.known, (c for own, _ in cut for c in own), CACHE)
+        single, parts = self.split.new_words(cut, known)
+        new = list(single.union(*parts.values()).difference(known, self.special))
+        code, words = "H" if self.dtype.itemsize == 2 else "I", {s: np.array([i], self.dtype).tobytes() for s, i in self.special.items()}
+        words.update([(w, array(code, e.ids).tobytes()) for w, e in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False))])
+        known.update(words)
+        known.update([(c, b"".join([known[w] for w in own])) for c, own in parts.items()])
+        out = [b"".join(map(known.__getitem__, c)) for c, _ in cut]
+        for c in [c for c in (*words, *parts) if len(c) > LONGEST]:
+            known.pop(c, None)
         return out
 
 
+def word_model(tok):
+    """The library's tokenizer for single normalised words: the same model, of the steps before it only the byte alphabet."""
+    from tokenizers import Tokenizer
+
+    spec = json.loads(tok.to_str())
+    steps = spec["pre_tokenizer"].get("pretokenizers", [spec["pre_tokenizer"]])
+    spec.update(normalizer=None, added_tokens=[], pre_tokenizer=next(s for s in steps if s["type"] == "ByteLevel"))
+    return Tokenizer.from_str(json.dumps(spec))
+
+
 def _library(name: str) -> LibraryWords:
     return kept(("library", name), lambda: LibraryWords(name))
 

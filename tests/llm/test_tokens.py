@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from sifter.llm import bpe_codec, token_counts, token_file
-from sifter.llm.common import load_tokenizer, pack_sorted, prepare, shared_folder, unpack_sorted
+from sifter.llm.common import load_tokenizer, pack_sorted, prepare, shared_folder, tokenizer_path, unpack_sorted
 from tests.llm.helpers import edge_docs, edge_rows, empty_docs
 
 ALPHABET = "aAbcé'sΣςİ ß  \n\t\x85\xa0\x1c12½①٣𝟘abc!?._漢字한글​́éǅﬁ🙂’—|<>"
@@ -99,3 +99,36 @@ def test_packed_keys():
                  np.array([0, (1 << 64) - 1], np.uint64), np.array([7], np.uint64), np.zeros(0, np.uint64)):
         keys = np.unique(keys)
         assert np.array_equal(unpack_sorted(pack_sorted(keys)) if keys.size else keys, keys)
+
+
+def unicode_texts():
+    """Every code point but ideographs, Hangul, surrogates and private ones in four contexts, and orders of combining marks."""
+    skip = [(0x3400, 0x9FFF), (0xAC00, 0xDFFF), (0xE000, 0xF8FF), (0x17000, 0x18CFF), (0x20000, 0x10FFFF)]
+    points = [chr(p) for p in range(0x20000) if not any(a <= p <= z for a, z in skip)]
+    for contexts in ("{0}", "a{0}", "{0}b1", "Aé{0}̣́ x{0}"):
+        # twenty a text keep the number of texts small; white space between them keeps them apart
+        yield [" ".join(contexts.format(c) for c in points[i:i + 20]) for i in range(0, len(points), 20)]
+    marks = "゙्ְཱ̣৾́̇᪰"
+    yield [f"{base}{a}{b}{c}" for base in "raরकi" for a in marks for b in marks for c in marks]
+
+
+def test_all_code_points_equal_library():
+    tok, codec, words = load_tokenizer("word_bpe_49k.json"), bpe_codec.Codec(tokenizer_path("word_bpe_49k.json")), token_file.LibraryWords("word_bpe_49k.json")
+    for texts in unicode_texts():
+        expect = [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+        assert [list(map(int, i.split())) for i in codec.run(texts)[1]] == expect
+        assert [np.frombuffer(b, words.dtype).tolist() for b in words.run(texts)] == expect
+
+
+def test_caches_change_nothing(monkeypatch):
+    """Evicted and long chunks, chunks that are words of others, special strings in any case."""
+    tok, texts = load_tokenizer("word_bpe_49k.json"), random_texts(200) + [
+        "Hello, hello HELLO hello's x" + "y" * 100 + " <|endoftext|>x <|ENDOFTEXT|> a<|endoftext|> 漢 Hello", "İ İ, i̇ ǅ, ǆ"] * 2
+    expect = [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+    for module in (bpe_codec, token_file):
+        monkeypatch.setattr(module, "CACHE", 5)
+    codec, words = bpe_codec.Codec(tokenizer_path("word_bpe_49k.json")), token_file.LibraryWords("word_bpe_49k.json")
+    for at in range(0, len(texts), 7):
+        part = texts[at:at + 7]
+        assert [list(map(int, i.split())) for i in codec.run(part)[1]] == expect[at:at + 7]
+        assert [np.frombuffer(b, words.dtype).tolist() for b in words.run(part)] == expect[at:at + 7]
