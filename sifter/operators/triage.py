@@ -10,13 +10,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sifter.config import DigestConfig
 from sifter.functions import constants as K
 from sifter.functions.templates import fill
 from sifter.functions.text import normalize_sender, preview_text, strip_code_fence
+from sifter.operators.keyword_rules import RULES_SCHEMA, first_rules
 from sifter.operators.model_calls import CallPolicy, ClientPerPartition, ModelFn, answered
 from sifter.operators.ordering import ordered_position
 
@@ -256,11 +257,11 @@ def id_complement(all_results: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------------------
-# Rubric rules as a native first-match-wins CASE chain
+# Rubric rules as a keyword table, first match wins
 # ---------------------------------------------------------------------------
 
-# Discard kinds from the written rubric, as (label, case-insensitive pattern).
-# Fixed rule table of 19 rows: applied as one CASE expression (no join).
+# Discard kinds from the written rubric, as (label, case-insensitive pattern): what the
+# offline model stand-in reads, and what the keyword table below must say.
 RUBRIC_DISCARD_RULES = [
     ("receipt", r"order confirm|receipt|invoice|billing statement"),
     ("shipping", r"shipping|delivery notification|tracking (number|update)|has shipped"),
@@ -291,24 +292,49 @@ def topic_pattern(cfg: DigestConfig) -> str:
     return "(?i)(" + "|".join(re.escape(t) for t in cfg.relevance_topics) + ")"
 
 
-def rubric_label(messages: DataFrame, cfg: DigestConfig) -> DataFrame:
-    """Label each message by the first matching rubric rule; no match ->
-    high_relevance when a priority topic appears, else general_info."""
+#: The rubric's rules as keywords, in order of priority; (keyword, then, within) is a keyword that another one follows.
+RUBRIC_KEYWORDS = [
+    ("receipt", ["order confirm", "receipt", "invoice", "billing statement"]),
+    ("shipping", ["shipping", "delivery notification", "tracking number", "tracking update", "has shipped"]),
+    ("social_alert", ["reddit", "linkedin notification", "social media alert", "new follower"]),
+    ("promotion", ["flash sale", "discount code", "coupon", "promo code", *(f"{d}% off" for d in range(10))]),
+    ("automated_notification", ["jira", "dependabot", "ci/cd", "build failed", "build passed", "github bot"]),
+    ("property_notice", ["appointment", "lease", "rent due", "property management"]),
+    ("utility_alert", ["utility alert", "power outage", "outage notice"]),
+    ("account_security", ["password reset", "reset your password", "2fa", "verification code", "login alert", "verify your email"]),
+    ("policy_update", ["terms of service", "app update", "privacy policy update"]),
+    ("food_delivery", ["food delivery", "your order from", "doordash", "ubereats"]),
+    ("job_alert", ["job alert", "new jobs", "job listing"]),
+    ("health_billing", [("health", "bill", 20), ("health", "schedul", 20), "patient portal"]),
+    ("status_page", ["incident", "status page", "feature down", "outage report"]),
+    ("sports", ["final score", "game recap", "box score"]),
+    ("qa_digest", ["quora digest", "q&a digest"]),
+    ("event_invite", ["rsvp", "you are invited", "event invitation"]),
+    ("citizen_science", ["citizen science", "crowdsourcing"]),
+    ("saas_pricing", ["pricing update", "new pricing", "feature announcement"]),
+    ("transactional", ["do not reply", "no-reply notification", "automated message"]),
+]
+TOPIC_RULE, TOPIC_PRIORITY = "topic", 1_000_000
+
+
+def rubric_rules(spark: SparkSession, cfg: DigestConfig, more: DataFrame | None = None) -> DataFrame:
+    """The rubric as a rule table: the discard rules, ``more`` of them if given, and last the priority topics."""
+    rows = [(name, k, *(word if isinstance(word, tuple) else (word, None, None)))
+            for k, (name, words) in enumerate(RUBRIC_KEYWORDS) for word in words]
+    rows += [(TOPIC_RULE, TOPIC_PRIORITY, t, None, None) for t in cfg.relevance_topics]
+    table = spark.createDataFrame(rows, RULES_SCHEMA)
+    return table if more is None else table.unionByName(more)
+
+
+def rubric_label(messages: DataFrame, cfg: DigestConfig, rules: DataFrame | None = None) -> DataFrame:
+    """Label each message by the first matching rule of a table (default: the rubric); no match ->
+    high_relevance when a priority topic appears, else general_info.  All keywords are found in one pass."""
     text = F.concat_ws("\n", F.col("subject"), F.col("sender"), preview_text("snippet", "body_text"))
-    label = F.lit(None).cast("string")
-    chain = None
-    for name, pat in RUBRIC_DISCARD_RULES:
-        cond = text.rlike("(?i)(" + pat + ")")
-        chain = F.when(cond, F.lit(name)) if chain is None else chain.when(cond, F.lit(name))
-    label = chain.otherwise(F.lit(None).cast("string"))
-    topical = text.rlike(topic_pattern(cfg))
-    df = messages.select("id", "ord", label.alias("rule"), topical.alias("_topical"))
+    df = first_rules(messages.select("id", "ord", text.alias("text")), rubric_rules(messages.sparkSession, cfg) if rules is None else rules,
+                     ["id", "ord"])
+    topical, discard = F.col("rule") == TOPIC_RULE, F.col("rule").isNotNull() & (F.col("rule") != TOPIC_RULE)
     return df.select(
         "id", "ord",
-        F.when(F.col("rule").isNotNull(), F.lit(K.CATEGORY_DISCARD))
-         .when(F.col("_topical"), F.lit(K.CATEGORY_HIGH)).otherwise(F.lit(K.CATEGORY_GENERAL)).alias("category"),
-        F.when(F.col("rule").isNotNull(), F.lit(0.0))
-         .when(F.col("_topical"), F.lit(RUBRIC_HIGH_SCORE)).otherwise(F.lit(RUBRIC_GENERAL_SCORE))
-         .alias("relevance_score"),
-        F.coalesce(F.col("rule"), F.when(F.col("_topical"), F.lit("topic")).otherwise(F.lit("editorial")))
-         .alias("rule"))
+        F.when(discard, F.lit(K.CATEGORY_DISCARD)).when(topical, F.lit(K.CATEGORY_HIGH)).otherwise(F.lit(K.CATEGORY_GENERAL)).alias("category"),
+        F.when(discard, F.lit(0.0)).when(topical, F.lit(RUBRIC_HIGH_SCORE)).otherwise(F.lit(RUBRIC_GENERAL_SCORE)).alias("relevance_score"),
+        F.coalesce("rule", F.lit("editorial")).alias("rule"))
