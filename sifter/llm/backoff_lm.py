@@ -13,7 +13,7 @@ is carried from token to token, failure arcs are followed until an arc fits, and
 the log10 weights are added up.
 
 Counts cover all training texts and live nowhere as a whole.  Texts are dealt
-into blocks; a block sends its distinct n-grams (64-bit hashes in sorted, packed
+into blocks; a block sends its distinct n-grams (57-bit hashes in sorted, packed
 cells, one for each bucket of the hash space), a bucket adds up the counts and
 sends back one byte for each n-gram (the total, or that the block's own count is
 all there is), and the block, now holding the arcs and states its texts need,
@@ -37,8 +37,10 @@ from pyspark.sql import functions as F
 from sifter.llm.common import (ascii_words, by_bucket, mix64, pack_sorted, shuffle_partitions, text_bytes, unpack_sorted,
                                word_hashes)
 
-ORDER = 2
+ORDER = 3
 MU = 10.0
+#: Low bits that n-gram keys do without: 57 bits tell n-grams apart, and sorted ones differ by five bytes.
+DROPPED = np.uint64(7)
 #: Bytes of text in a block, about.
 BLOCK_BYTES = 8 << 20
 END = np.uint64(0x1B873593CC9E2D51)
@@ -66,13 +68,14 @@ def token_hashes(texts) -> tuple[np.ndarray, np.ndarray]:
 
 def gram_keys(tokens: np.ndarray, starts: np.ndarray, order: int) -> list[np.ndarray]:
     """Key of the n-gram that ends at each token, for n = 1 to ``order``; contexts reach back to a start mark."""
-    grams, out = tokens, [mix64(tokens ^ SALTS[0])]
+    cut = ~np.uint64((1 << int(DROPPED)) - 1)
+    grams, out = tokens, [mix64(tokens ^ SALTS[0]) & cut]
     for k in range(1, order):
         before = np.empty_like(grams)
         before[1:] = grams[:-1]
         before[starts] = STARTS[k]
         grams = mix64(before) + tokens
-        out.append(mix64(grams ^ SALTS[k]))
+        out.append(mix64(grams ^ SALTS[k]) & cut)
     return out
 
 
@@ -108,6 +111,38 @@ def training_size(rows: DataFrame, buckets: int) -> tuple[int, int]:
     return int(r["n"] or 0), int(r["v"] or 0)
 
 
+def pack_grams(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences of five bytes each (eight where one is larger)."""
+    gaps = np.diff(keys, prepend=np.uint64(0))
+    rest = np.ascontiguousarray(gaps[1:] >> DROPPED)
+    wide = bool(rest.size) and int(rest.max()) >= 1 << 40
+    body = rest.tobytes() if wide else np.ascontiguousarray(rest.view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+    return bytes([wide]) + gaps[:1].tobytes() + body
+
+
+def unpack_grams(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8, offset=9)
+    if data[0]:
+        rest = np.frombuffer(raw.tobytes(), np.uint64)
+    else:
+        full = np.zeros((raw.size // 5, 8), np.uint8)
+        full[:, :5] = raw.reshape(-1, 5)
+        rest = full.view(np.uint64).ravel()
+    return np.cumsum(np.concatenate([np.frombuffer(data[1:9], np.uint64), rest << DROPPED]), dtype=np.uint64)
+
+
+def pack_counts(counts: np.ndarray) -> tuple[bytes, bytes]:
+    """One byte for each count; 255 stands for one that is in the second part."""
+    large = counts >= 255
+    return np.where(large, 255, counts).astype(np.uint8).tobytes(), counts[large].astype("<i8").tobytes()
+
+
+def unpack_counts(small: bytes, large: bytes) -> np.ndarray:
+    out = np.frombuffer(small, np.uint8).astype(np.int64)
+    out[out == 255] = np.frombuffer(large, "<i8")
+    return out
+
+
 class BlockCounts:
     """Distinct n-grams of a block with their training counts."""
 
@@ -123,17 +158,18 @@ def _count_block(order: int, buckets: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         own = BlockCounts(pdf, order)
         cut = by_bucket(own.keys, buckets)
+        counts = [pack_counts(own.counts[i:j]) for _, i, j in cut]
         return pd.DataFrame({"bucket": [b for b, _, _ in cut], "block": int(pdf["block"].iloc[0]),
-                             "keys": [pack_sorted(own.keys[i:j]) for _, i, j in cut],
-                             "counts": [own.counts[i:j].astype("<u4").tobytes() for _, i, j in cut]})
+                             "keys": [pack_grams(own.keys[i:j]) for _, i, j in cut],
+                             "counts": [c for c, _ in counts], "many": [m for _, m in counts]})
     return run
 
 
 def _sum_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
     """Corpus counts of a bucket's n-grams, told to each block that has sent some."""
-    keys = [unpack_sorted(k) for k in pdf["keys"]]
+    keys = [unpack_grams(k) for k in pdf["keys"]]
     sizes = [k.size for k in keys]
-    own = np.concatenate([np.frombuffer(c, "<u4") for c in pdf["counts"]]).astype(np.int64)
+    own = np.concatenate([unpack_counts(c, m) for c, m in zip(pdf["counts"], pdf["many"])])
     flat = np.concatenate(keys)
     by = np.argsort(flat, kind="stable")
     ordered = flat[by]
@@ -175,20 +211,27 @@ def _score_block(order: int, buckets: int, n_train: int, vocabulary: int, train_
 def walk(counts: np.ndarray, starts: np.ndarray, root: np.ndarray, train_docs: int, mu: float) -> tuple[np.ndarray, np.ndarray]:
     """log10 weight of each token's path and its number of failure arcs.
 
-    ``counts[k]`` is the count of the (k + 1)-gram that ends at each token, so the
-    state before token i, seen from order k, has the count of the n-gram that ends
-    at i - 1 (the start state that of all training texts)."""
+    ``counts[k]`` is the count of the (k + 1)-gram that ends at each token.  The state carried to a token is the longest
+    n-gram that was matched up to the token before (shorter than the order), at the start of a text the start state,
+    which all training texts have; from it failure arcs lead to shorter contexts until an arc fits.  Weights are
+    put together from the shortest context up to the state."""
+    order = counts.shape[0]
+    matched = np.cumprod(counts > 0, axis=0).sum(0)
+    state = np.empty(root.size, np.int64)
+    state[1:] = np.minimum(matched[:-1], order - 1)
+    state[starts] = order - 1
     logp, failures = root, np.zeros(root.size, np.int64)
-    for k in range(1, counts.shape[0]):
+    for k in range(1, order):
         context = np.empty(root.size)
         context[1:] = counts[k - 1][:-1]
         context[starts] = train_docs
-        arc = counts[k] > 0
+        on = state >= k
+        arc = on & (counts[k] > 0)
         passed = np.log10(mu / (context + mu)) + logp
         with np.errstate(divide="ignore"):
             taken = np.log10(np.where(arc, counts[k], 1) + mu * 10.0 ** logp) - np.log10(context + mu)
-        failures = np.where(arc, 0, failures + (context > 0))
-        logp = np.where(arc, taken, passed)
+        failures = np.where(arc, 0, failures + on)
+        logp = np.where(arc, taken, np.where(on, passed, logp))
     return logp, failures
 
 
@@ -200,7 +243,7 @@ def score_texts(docs: DataFrame, train: Column, order: int = ORDER, mu: float =
     n_train, vocabulary = training_size(rows, blocks)
     train_docs = rows.where("train").count()
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
-    cells = dealt.groupBy("block").applyInPandas(_count_block(order, blocks), "bucket int, block int, keys binary, counts binary")
+    cells = dealt.groupBy("block").applyInPandas(_count_block(order, blocks), "bucket int, block int, keys binary, counts binary, many binary")
     sums = cells.repartition(blocks, "bucket").groupBy("bucket").applyInPandas(
         _sum_bucket, "block int, bucket int, codes binary, large binary")
     score = _score_block(order, blocks, n_train, vocabulary, train_docs, mu)

@@ -5,6 +5,8 @@ import hashlib
 import math
 import re
 
+import pytest
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,27 +56,48 @@ def test_spotsigs_signatures_by_hand(spark):
     assert (r.x, r.same, r.none, r.pruned) == (0.4, 1.0, 0.0, 0.0)
 
 
-def test_language_model_against_brute_force(spark):
+@pytest.mark.parametrize("order", [backoff_lm.ORDER, 2, 4])
+def test_language_model_against_brute_force(spark, order):
+    """Interpolated n-grams counted one by one, texts padded with start marks."""
     docs = edge_docs(spark)
-    got = backoff_lm.score_texts(docs, ~held_out(F.col("doc_id"), 7, 2), block_bytes=50_000).collect()
+    got = backoff_lm.score_texts(docs, ~held_out(F.col("doc_id"), 7, 2), order=order, block_bytes=50_000).collect()
     tokens = [(d, [*words(t), None]) for d, t, *_ in edge_rows()]
-    uni, bi, n_docs = collections.Counter(), collections.Counter(), 0
+    counts, n_docs = collections.Counter(), 0
     for d, x in tokens:
         if d is None or crc(d) % 7 != 2:
             n_docs += 1
-            uni.update(x)
-            bi.update(zip([0, *x[:-1]], x))
+            padded = [0] * (order - 1) + x
+            counts.update(tuple(padded[i - k:i + 1]) for i in range(order - 1, len(padded)) for k in range(order))
+    for k in range(order):
+        counts[(0,) * k] = n_docs
+    uni = {g[0]: c for g, c in counts.items() if len(g) == 1 and g[0] != 0}
     n, v, mu = sum(uni.values()), len(uni), backoff_lm.MU
     expect = []
     for d, x in tokens:
-        base = [(uni[w] + 1) / (n + v + 1) for w in x]
-        score = [(bi[p, w] + mu * b) / ((n_docs if p == 0 else uni[p]) + mu) for p, w, b in zip([0, *x[:-1]], x, base)]
-        expect.append((d if d is not None else -1, len(x), sum(uni[w] > 0 for w in x), n, d is not None and crc(d) % 7 == 2,
-                       round(sum(map(math.log10, base)), 6), round(sum(map(math.log10, score)), 6)))
+        padded, base, score = [0] * (order - 1) + x, 0.0, 0.0
+        for i in range(order - 1, len(padded)):
+            p = (uni.get(padded[i], 0) + 1) / (n + v + 1)
+            base += math.log10(p)
+            for k in range(1, order):
+                context = tuple(padded[i - k:i])
+                if counts[context]:
+                    p = (counts[*context, padded[i]] + mu * p) / (counts[context] + mu)
+            score += math.log10(p)
+        expect.append((d if d is not None else -1, len(x), sum(w in uni for w in x), n, d is not None and crc(d) % 7 == 2,
+                       round(base, 6), round(score, 6)))
     rows = [(r.doc_id if r.doc_id is not None else -1, r.n_tokens, r.n_known, r.train_tokens, r.held_out,
              round(r.base_score, 6), round(r.score, 6)) for r in got]
     assert sorted(rows) == sorted(expect)
-    assert backoff_lm.score_texts(empty_docs(spark), F.lit(True)).count() == 0
+    assert backoff_lm.score_texts(empty_docs(spark), F.lit(True), order=order).count() == 0
+
+
+def test_language_model_cells():
+    rng = np.random.default_rng(5)
+    cut = ~np.uint64(127)
+    for keys in (np.unique(rng.integers(0, 1 << 63, 5000, dtype=np.uint64) * np.uint64(2) & cut), np.array([0, 1 << 7, (1 << 64) - 128], np.uint64)):
+        assert np.array_equal(backoff_lm.unpack_grams(backoff_lm.pack_grams(keys)), keys)
+    counts = np.array([0, 1, 254, 255, 256, 10**10])
+    assert np.array_equal(backoff_lm.unpack_counts(*backoff_lm.pack_counts(counts)), counts)
 
 
 def test_language_model_probabilities_sum_to_one(spark):
@@ -83,7 +106,7 @@ def test_language_model_probabilities_sum_to_one(spark):
     train = [(1, "a b a c"), (2, "b a"), (3, "c c a")]
     probe = [(100 + i, f"a {w}") for i, w in enumerate([*vocab, "zzz"])] + [(200, "a")]
     df = spark.createDataFrame([*train, *probe], "doc_id long, text string")
-    got = {r.doc_id: r for r in backoff_lm.score_texts(df, F.col("doc_id") < 100).collect()}
+    got = {r.doc_id: r for r in backoff_lm.score_texts(df, F.col("doc_id") < 100, order=2).collect()}
     ends = {w: 0.0 for w in vocab}
     uni = collections.Counter("a b a c".split() + "b a".split() + "c c a".split() + [None] * 3)
     bi = collections.Counter(p for t in ("a b a c", "b a", "c c a") for p in zip(t.split(), [*t.split()[1:], None]))
