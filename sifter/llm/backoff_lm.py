@@ -111,34 +111,50 @@ def training_size(rows: DataFrame, buckets: int) -> tuple[int, int]:
     return int(r["n"] or 0), int(r["v"] or 0)
 
 
+def squeezed(plane: np.ndarray) -> bytes:
+    """Bytes of little entropy (high bytes, counts), compressed: the shuffle's own codec does not code entropy."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(plane.tobytes())
+
+
+def unsqueezed(data: bytes) -> np.ndarray:
+    import zstandard
+
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+
+
 def pack_grams(keys: np.ndarray) -> bytes:
-    """Sorted keys as differences of five bytes each (eight where one is larger)."""
+    """Sorted keys as differences of five bytes each (eight where one is larger): four as they are, the high ones apart."""
     gaps = np.diff(keys, prepend=np.uint64(0))
     rest = np.ascontiguousarray(gaps[1:] >> DROPPED)
-    wide = bool(rest.size) and int(rest.max()) >= 1 << 40
-    body = rest.tobytes() if wide else np.ascontiguousarray(rest.view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
-    return bytes([wide]) + gaps[:1].tobytes() + body
+    head = gaps[:1].tobytes()
+    if rest.size and int(rest.max()) >= 1 << 40:
+        return b"\1" + head + rest.tobytes()
+    planes = rest.view(np.uint8).reshape(-1, 8)
+    return b"\0" + head + np.ascontiguousarray(planes[:, :4]).tobytes() + squeezed(np.ascontiguousarray(planes[:, 4])) + rest.size.to_bytes(4, "little")
 
 
 def unpack_grams(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8, offset=9)
     if data[0]:
-        rest = np.frombuffer(raw.tobytes(), np.uint64)
+        rest = np.frombuffer(data[9:], np.uint64)
     else:
-        full = np.zeros((raw.size // 5, 8), np.uint8)
-        full[:, :5] = raw.reshape(-1, 5)
-        rest = full.view(np.uint64).ravel()
+        n = int.from_bytes(data[-4:], "little")
+        planes = np.zeros((n, 8), np.uint8)
+        planes[:, :4] = np.frombuffer(data, np.uint8, 4 * n, 9).reshape(-1, 4)
+        planes[:, 4] = unsqueezed(data[9 + 4 * n:-4])
+        rest = planes.view(np.uint64).ravel()
     return np.cumsum(np.concatenate([np.frombuffer(data[1:9], np.uint64), rest << DROPPED]), dtype=np.uint64)
 
 
 def pack_counts(counts: np.ndarray) -> tuple[bytes, bytes]:
     """One byte for each count; 255 stands for one that is in the second part."""
     large = counts >= 255
-    return np.where(large, 255, counts).astype(np.uint8).tobytes(), counts[large].astype("<i8").tobytes()
+    return squeezed(np.where(large, 255, counts).astype(np.uint8)), counts[large].astype("<i8").tobytes()
 
 
 def unpack_counts(small: bytes, large: bytes) -> np.ndarray:
-    out = np.frombuffer(small, np.uint8).astype(np.int64)
+    out = unsqueezed(small).astype(np.int64)
     out[out == 255] = np.frombuffer(large, "<i8")
     return out
 
@@ -181,7 +197,7 @@ def _sum_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
     # the total up to 254, or 255 with the total in ``large``
     code = np.where(total == own, 0, np.minimum(total, 255)).astype(np.uint8)
     ends = np.cumsum(sizes)
-    out = [(block, bucket, code[e - n:e].tobytes(), total[e - n:e][code[e - n:e] == 255].tobytes())
+    out = [(block, bucket, squeezed(code[e - n:e]), total[e - n:e][code[e - n:e] == 255].tobytes())
            for block, bucket, n, e in zip(pdf["block"], pdf["bucket"], sizes, ends)]
     return pd.DataFrame(out, columns=["block", "bucket", "codes", "large"])
 
@@ -193,7 +209,7 @@ def _score_block(order: int, buckets: int, n_train: int, vocabulary: int, train_
         cells = {b: (i, j) for b, i, j in by_bucket(own.keys, buckets)}
         for bucket, codes, large in zip(sent["bucket"], sent["codes"], sent["large"]):
             i, j = cells[bucket]
-            code = np.frombuffer(codes, np.uint8)
+            code = unsqueezed(codes)
             total = np.where(code == 0, counts[i:j], code)
             total[code == 255] = np.frombuffer(large, np.int64)
             counts[i:j] = total
