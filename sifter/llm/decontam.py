@@ -12,9 +12,13 @@ The benchmark is the stated query set: it is taken in blocks of at most
 about ``BLOCK_CHARS`` characters, one block at a time is sent to the tasks, and every
 document is held against every block.  Documents do not move.
 
+Items shorter than ``MIN_CHARS`` have too few q-grams for the lemma; their edit
+budget is 0 and they are looked for as they are, between ends of words, all of them in
+one pass over a text (an automaton).
+
 Defined cases: texts and items are lower-cased and their white space is made one
-space; null and empty texts, and items shorter than ``MIN_CHARS`` (too short to be
-evidence), match nothing; repeated rows give repeated rows; equal items are all
+space; null and empty texts and items match nothing; a very long text is searched in
+its portion alone; repeated rows give repeated rows; equal items are all
 reported; other columns are ignored; an empty table gives no rows.
 """
 
@@ -80,10 +84,12 @@ class Block:
 
     def __init__(self, items: list[tuple[int, str | None]], window: int = WINDOW, stride: int = STRIDE, edits: int = EDITS, q: int = Q):
         self.items = [i for i, _ in items]
-        windows, owner = [], []
+        windows, owner, self.short = [], [], {}
         for n, (_, text) in enumerate(items):
             c = codes(normal(text))
             if c.size < MIN_CHARS:
+                if c.size:
+                    self.short.setdefault(normal(text), []).append(n)
                 continue
             w = min(window, c.size)
             for a in sorted({*range(0, c.size - w + 1, stride), c.size - w}):
@@ -94,6 +100,7 @@ class Block:
         self.edits = self.length * edits // window
         self.bound = self.length + 1 - q * (self.edits + 1)
         self.per_item = np.bincount(self.owner, minlength=len(items)) if windows else np.zeros(len(items), np.int64)
+        self.per_item[[n for own in self.short.values() for n in own]] = 1
         h = [gram_hashes(w, q) for w in windows]
         hashes = np.concatenate(h) if h else np.zeros(0, np.uint64)
         by = np.argsort(hashes, kind="stable")
@@ -107,9 +114,28 @@ class Block:
 
     def matches(self, texts: list[str | None]) -> list[tuple[int, int, int, int]]:
         """(text, item, matched windows, fewest edits), for items found in a text."""
-        if not self.windows:
-            return []
-        return [(a + d, i, n, e) for a, b in in_portions(texts, PORTION) for d, i, n, e in self._matches(texts[a:b])]
+        found = self._short_items(texts) if self.short else []
+        if self.windows:
+            found += [(a + d, i, n, e) for a, b in in_portions(texts, PORTION) for d, i, n, e in self._matches(texts[a:b])]
+        return sorted(found)
+
+    def _short_items(self, texts: list[str | None]) -> list[tuple[int, int, int, int]]:
+        """Items without an edit budget that stand in a text as whole words."""
+        import ahocorasick
+
+        find = ahocorasick.Automaton()
+        for text, own in self.short.items():
+            find.add_word(text, (text, own))
+        find.make_automaton()
+        found = set()
+        for d, t in enumerate(map(normal, texts)):
+            for last, (item, own) in find.iter(t):
+                first = last - len(item) + 1
+                # an end of the item that is no letter or digit ends a word by itself
+                if (first == 0 or not (t[first - 1].isalnum() and t[first].isalnum())) and (
+                        last + 1 == len(t) or not (t[last].isalnum() and t[last + 1].isalnum())):
+                    found.update((d, n) for n in own)
+        return [(d, n, 1, 0) for d, n in found]
 
     def _matches(self, texts: list[str | None]) -> list[tuple[int, int, int, int]]:
         parts, gap = [], np.full(self.reach + 2 * self.band, GAP, np.uint32)

@@ -37,6 +37,8 @@ DOCS = 128
 EXCERPT = 1000
 BLOCK = 1024
 LEVEL = 6
+#: Characters of a text that are looked at for one byte of its excerpt.
+WIDER = 4
 #: Rejected when (second - best) / second is smaller.
 MIN_MARGIN = 0.004
 
@@ -53,13 +55,13 @@ def dictionaries(docs: DataFrame, trains: Column, n_docs: int = DOCS, excerpt: i
     """Language -> raw dictionary content, most frequent language first."""
     labelled = docs.where(trains & F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    ranked = labelled.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn(
-        "r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id")))
-    ids = [r["doc_id"] for r in ranked.where(F.col("r") <= n_docs).select("doc_id").collect()]
-    picked = labelled.where(F.col("doc_id").isin(ids)).select("lang", F.xxhash64("doc_id").alias("h"), "text")
+    # rows are ranked, not ids, and cut before they leave their task: the driver gets n_docs excerpts a language
+    first = Window.partitionBy("lang").orderBy("h", "doc_id", "excerpt")
+    picked = labelled.select("lang", "doc_id", F.xxhash64("doc_id").alias("h"), F.substring("text", 1, WIDER * excerpt).alias("excerpt")).withColumn(
+        "r", F.row_number().over(first)).where(F.col("r") <= n_docs).select("lang", "h", "excerpt")
     content: dict[str, bytes] = {}
-    for r in sorted(picked.collect(), key=lambda r: (r["h"], r["text"])):
-        content[r["lang"]] = content.get(r["lang"], b"") + words_only(r["text"])[:excerpt] + b" "
+    for r in sorted(picked.collect(), key=lambda r: (r["h"], r["excerpt"])):
+        content[r["lang"]] = content.get(r["lang"], b"") + words_only(r["excerpt"])[:excerpt] + b" "
     size = min(n_docs * excerpt, max(map(len, content.values()), default=0))
     return {k: (content[k] * -(-size // len(content[k])))[:size] for k in sorted(content, key=lambda k: (-sizes[k], k))}
 

@@ -96,7 +96,7 @@ def test_planted_passages(spark):
         planted.add((100 + i, i))
     docs += [(200, None), (201, ""), (202, "too short"), (203, items[0][1]), (203, items[0][1]), (204, "x " + "copy " * 12),
              (None, items[1][1]), (205, text(20_000) + " " + items[2][1] + " " + text(10))]
-    planted |= {(203, 0), (204, 33), (204, 34), (-1, 1), (205, 2)}
+    planted |= {(203, 0), (204, 33), (204, 34), (-1, 1), (205, 2), (202, 32)}
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     bench = spark.createDataFrame(items, "item_id long, text string")
     for block_chars in (1 << 21, 2000):
@@ -104,11 +104,30 @@ def test_planted_passages(spark):
         assert {(-1 if r.doc_id is None else r.doc_id, r.item_id) for r in got} == planted
         assert sum(r.doc_id == 203 for r in got) == 2 and all(0 < r.coverage <= 1 for r in got)
     clean = decontam.keep_clean(df.selectExpr("doc_id", "text", "'c' block"), bench).collect()
-    assert sorted(r.doc_id for r in clean) == [*range(30), 200, 201, 202]
+    assert sorted(r.doc_id for r in clean) == [*range(30), 200, 201]
     assert decontam.leaks(empty_docs(spark), bench).count() == 0
     assert decontam.leaks(edge_docs(spark), bench.where("false")).count() == 0
 
 
+def test_short_items_as_whole_words(spark):
+    """Items under MIN_CHARS: exact, whole words, white space and case made even; nothing else."""
+    items = [(1, "Short item"), (2, "short  ITEM"), (3, "item"), (4, "(a+b)"), (5, "x"), (6, "漢字")]
+    docs = [(10, "a short\nitem here"), (11, "short items"), (12, "ashort item"), (13, "say (a+b)c"), (14, "shor titem"), (15, "x-ray"), (16, "max"),
+            (17, "short, item"), (18, "漢字"), (19, "漢字典"), (20, None), (21, "")]
+    expect = {(10, 1), (10, 2), (10, 3), (12, 3), (13, 4), (15, 5), (17, 3), (18, 6)}
+
+    def whole(item, text):
+        item, text = decontam.normal(item), decontam.normal(text)
+        return any(text[a:a + len(item)] == item and not (a and text[a - 1].isalnum() and item[0].isalnum())
+                   and not (text[a + len(item):][:1].isalnum() and item[-1].isalnum()) for a in range(len(text) - len(item) + 1))
+
+    assert {(d, i) for d, t in docs for i, x in items if whole(x, t)} == expect
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = decontam.leaks(df, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == expect and all((r.edits, r.coverage) == (0, 1.0) for r in got)
+    assert {r.doc_id for r in decontam.keep_clean(df, bench).collect()} == {d for d, _ in docs} - {d for d, _ in expect}
+
+
 def test_windows_within_budget_are_found():
     """Against plain edit distance: every window within its budget, none beyond it."""
     rng = random.Random(2)

@@ -56,6 +56,25 @@ def test_spotsigs_signatures_by_hand(spark):
     assert (r.x, r.same, r.none, r.pruned) == (0.4, 1.0, 0.0, 0.0)
 
 
+def test_spotsigs_likeness_columns(spark):
+    """near_edited and near_next against sets taken anew from the returned fingerprints and from the texts."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    order = sorted(texts, reverse=True)
+    after = dict(zip(order, order[1:] + order[:1]))
+    edited = {d: t[:len(t) - len(t) // 2] + texts[after[d]][:len(t) // 2] for d, t in texts.items()}
+    both = spark.createDataFrame([(d, "own", t) for d, t in texts.items()] + [(d, "edited", t) for d, t in edited.items()], "d long, k string, text string")
+    sets = {(r.d, r.k): set(r.s) for r in spotsigs.with_signatures(both, "text", "s").collect()}
+
+    def jaccard(x, y):
+        return 1.0 if x == y else len(x & y) / len(x | y)
+
+    for r in spotsigs.fingerprints(docs).collect():
+        assert r.edited_sha256 == hashlib.sha256(edited[r.doc_id].encode()).hexdigest()
+        assert math.isclose(r.near_edited, jaccard(sets[r.doc_id, "own"], sets[r.doc_id, "edited"]))
+        assert math.isclose(r.near_next, jaccard(sets[r.doc_id, "own"], sets[after[r.doc_id], "own"]))
+
+
 @pytest.mark.parametrize("order", [backoff_lm.ORDER, 2, 4])
 def test_language_model_against_brute_force(spark, order):
     """Interpolated n-grams counted one by one, texts padded with start marks."""
