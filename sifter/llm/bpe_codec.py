@@ -33,7 +33,7 @@ from sifter.llm.common import kept, load_tokenizer, tokenizer_path
 from sifter.llm.token_counts import SPACE
 
 #: Words and chunks that a worker remembers, and the longest such chunk.
-CACHE = 250_000
+CACHE = 150_000
 LONGEST = 64
 
 #: Fixed value: the word pattern of the vocabulary (matches are kept, the rest is dropped).
