@@ -25,55 +25,150 @@ from array import array
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sifter.llm.bpe_codec import LONGEST, WordSplitter, remembered
-from sifter.llm.common import kept, load_tokenizer, shared_folder, stored
+from sifter.llm.bpe_codec import LONGEST, MARKS, WordSplitter
+from sifter.llm.common import LOWER, kept, load_tokenizer, shared_folder, stored
 
 #: Ids of one sequence, sequences of one record batch.
 LENGTH = 2048
 ROWS = 256
-#: Chunks of up to LONGEST characters that a worker remembers (about 200 bytes each).
+#: Chunks of up to LONGEST bytes in each of the two generations that a worker remembers (about 200 bytes each).
 CACHE = 600_000
 
 
+#: Bytes of a text after the first pass: ASCII white space becomes a space, A-Z lower case.
+SPACED = bytes.maketrans(b"\t\n\v\f\r", b" " * 5)
+#: Kinds of bytes: an ASCII letter or digit, a mark that stands alone behind one.
+ALNUM, MARK = 1, 2
+KIND = np.zeros(256, np.uint8)
+KIND[[b for b in range(128) if chr(b).isalnum()]] = ALNUM
+KIND[[ord(c) for c in MARKS]] = MARK
+#: Words that the library's model gets in one call of a batch.
+GROUP = 200
+
+
 class LibraryWords:
-    """Ids of a text as little-endian bytes: distinct chunks between white space are encoded by the library once, then
-    looked up.  The words of a chunk are known to be whole, so the library's model gets them without its normaliser and
-    word pattern."""
+    """Ids of a text as little-endian bytes: the distinct chunks of a batch, cut between white space, are encoded by the
+    library once, then looked up.  Batches are cut, and their chunks numbered and replaced by ids, by array operations
+    over all their bytes.  The words of a chunk are known to be whole, so the library's model gets them without its
+    normaliser and word pattern."""
 
     def __init__(self, name: str):
         tok = load_tokenizer(name)
         self.split = WordSplitter(tok)
         self.special = {t.content: i for i, t in tok.get_added_tokens_decoder().items()}
-        self.model = word_model(tok)
+        self.mark = self.split.mark.encode().translate(LOWER)
+        self.lone = not any(s.isalpha() for s in self.special)       # letters alone are no special string
+        self.marks_apart = not any(s.endswith(tuple(MARKS)) for s in self.special)
+        self.model, suffix = word_model(tok)
         self.dtype = np.dtype("<u2" if tok.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
-
-    def run(self, texts: list[str | None]) -> list[bytes]:
-        cut = [self.split.chunks(t) for t in texts]
-        self.known = known = remembered(self.known, (c for own, _ in cut for c in own), CACHE)
-        single, parts = self.split.new_words(cut, known)
-        new = list(single.union(*parts.values()).difference(known, self.special))
-        code, words = "H" if self.dtype.itemsize == 2 else "I", {s: np.array([i], self.dtype).tobytes() for s, i in self.special.items()}
-        words.update([(w, array(code, e.ids).tobytes()) for w, e in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False))])
-        known.update(words)
-        known.update([(c, b"".join([known[w] for w in own])) for c, own in parts.items()])
-        out = [b"".join(map(known.__getitem__, c)) for c, _ in cut]
-        for c in [c for c in (*words, *parts) if len(c) > LONGEST]:
-            known.pop(c, None)
-        return out
+        self.ends = np.zeros(max(tok.get_vocab().values()) + 1, bool)       # tokens at the end of a word
+        self.ends[[i for t, i in tok.get_vocab().items() if suffix and t.endswith(suffix)]] = True
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def cut(self, texts: pa.Array) -> tuple[pa.Array, list[bytes], np.ndarray]:
+        """The chunks of all texts: the code of each, the chunk of each code (some twice), and each text's first one.
+
+        A chunk ends at ASCII white space; one last mark behind an ASCII letter or digit is a chunk of its own.  Only
+        chunks of ASCII characters without a special string's beginning are in lower case: a capital letter may compose
+        with what follows it otherwise than a small one."""
+        col = pc.fill_null(texts, "").cast(pa.large_binary())
+        at = np.frombuffer(col.buffers()[1], np.int64)[col.offset:col.offset + len(col) + 1]
+        raw = col.buffers()[2][at[0]:at[-1]].to_pybytes().translate(SPACED) if at[-1] > at[0] else b""
+        at = at - at[0]
+        low = bytearray(raw.translate(LOWER))
+        data, space = np.frombuffer(low, np.uint8), np.frombuffer(raw, np.uint8) == ord(" ")
+        first = np.ones(len(low) + 1, bool)         # the byte before is white space or another text's
+        first[1:-1] = space[:-1]
+        first[at] = True
+        heads = np.flatnonzero(first[:-1] & ~space)
+        if not heads.size:
+            return pa.array([], pa.int32()), [], np.zeros(len(at), np.int64)
+        as_is = np.bitwise_or.reduceat(data, heads) >= 128
+        if self.special:
+            as_is[np.searchsorted(heads, list(occurrences(low, self.mark)), "right") - 1] = True
+        if as_is.any():
+            capital = np.flatnonzero(data != np.frombuffer(raw, np.uint8))
+            capital = capital[as_is[np.searchsorted(heads, capital, "right") - 1]]
+            data[capital] = np.frombuffer(raw, np.uint8)[capital]
+        starts = heads
+        if self.marks_apart:
+            kind = KIND[data]
+            last = first[1:].copy()
+            last[:-1] |= space[1:]
+            last[1:] &= kind[:-1] == ALNUM
+            starts = np.flatnonzero((first[:-1] & ~space) | (~first[:-1] & last & (kind == MARK)))
+        offsets = np.append(starts, len(low))
+        found = pa.Array.from_buffers(pa.large_binary(), starts.size, [None, pa.py_buffer(offsets), pa.py_buffer(low)]).dictionary_encode()
+        chunks = [c.rstrip(b" ") for c in found.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        return found.indices, chunks, np.searchsorted(starts, at)
+
+    def learn(self, new: set[bytes]) -> None:
+        """Encode unknown chunks: those of small ASCII letters are one word, the others have the words the splitter finds."""
+        single = {c for c in new if c.isalpha() and c.islower()} if self.lone else set()
+        parts = {c: self.split.words(c.decode("utf-8")) for c in new - single}
+        words = {s: np.array([i], self.dtype).tobytes() for s, i in self.special.items()}
+        missing = {c.decode("ascii") for c in single}
+        for w in set().union(*parts.values()).difference(words, missing):
+            # a word of old characters is the only word of the chunk that it would be
+            ids = self.known.get(w.encode("utf-8")) if self.split.old(w) else None
+            missing.add(w) if ids is None else words.update({w: ids})
+        missing = list(missing)
+        words.update(zip(missing, self.encode(missing)))
+        self.known.update([(c, words[c.decode("ascii")]) for c in single])
+        self.known.update([(c, b"".join([words[w] for w in own])) for c, own in parts.items()])
+
+    def encode(self, words: list[str]) -> list[bytes]:
+        """Ids of each word; the model gets them in groups, and the tokens that end a word part their ids again."""
+        code, size = "H" if self.dtype.itemsize == 2 else "I", self.dtype.itemsize
+        groups = [" ".join(words[a:a + GROUP]) for a in range(0, len(words), GROUP)]
+        flat = b"".join([array(code, e.ids).tobytes() for e in self.model.encode_batch_fast(groups, add_special_tokens=False)])
+        to = ((np.flatnonzero(self.ends[np.frombuffer(flat, self.dtype)]) + 1) * size).tolist()
+        if len(to) != len(words):       # a vocabulary without such tokens
+            return [array(code, e.ids).tobytes() for e in self.model.encode_batch_fast(words, add_special_tokens=False)]
+        return [flat[a:b] for a, b in zip([0, *to], to)]
+
+    def run(self, texts: pa.Array | list[str | None]) -> list[bytes]:
+        codes, chunks, first = self.cut(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()))
+        if len(self.known) > CACHE:
+            self.known, self.older = {}, self.known
+        new = set(chunks).difference(self.known)
+        back = new.intersection(self.older)
+        self.known.update([(c, self.older[c]) for c in back])
+        self.learn(new - back)
+        ids = pa.array(list(map(self.known.__getitem__, chunks)), pa.large_binary()).take(codes)
+        for c in [c for c in new if len(c) > LONGEST]:
+            del self.known[c]
+        if not len(ids):
+            return [b""] * len(texts)
+        stream = ids.buffers()[2]
+        bounds = np.frombuffer(ids.buffers()[1], np.int64)[first].tolist()
+        return [stream[a:b].to_pybytes() for a, b in zip(bounds, bounds[1:])]
+
+
+def occurrences(data: bytearray, part: bytes):
+    """Places of ``part`` in ``data``; every place where it is empty."""
+    at = data.find(part)
+    while 0 <= at < len(data):
+        yield at
+        at = data.find(part, at + 1)
 
 
 def word_model(tok):
-    """The library's tokenizer for single normalised words: the same model, of the steps before it only the byte alphabet."""
+    """The library's tokenizer for normalised words between single spaces: the same model, of the steps before it only the
+    byte alphabet.  And what the last token of a word ends with, if the vocabulary has that."""
     from tokenizers import Tokenizer
 
     spec = json.loads(tok.to_str())
     steps = spec["pre_tokenizer"].get("pretokenizers", [spec["pre_tokenizer"]])
-    spec.update(normalizer=None, added_tokens=[], pre_tokenizer=next(s for s in steps if s["type"] == "ByteLevel"))
-    return Tokenizer.from_str(json.dumps(spec))
+    apart = {"type": "Split", "pattern": {"String": " "}, "behavior": "Removed", "invert": False}
+    spec.update(normalizer=None, added_tokens=[],
+                pre_tokenizer={"type": "Sequence", "pretokenizers": [apart, next(s for s in steps if s["type"] == "ByteLevel")]})
+    return Tokenizer.from_str(json.dumps(spec)), spec["model"].get("end_of_word_suffix")
 
 
 def _library(name: str) -> LibraryWords:
@@ -162,7 +257,7 @@ def write_tokens(docs: DataFrame, folder: str, name: str = "word_bpe_49k.json",
             if out is None:
                 out = SequenceWriter(folder, ctx.partitionId(), ctx.taskAttemptId(), lib.dtype, length)
             places, counts = [], []
-            for ids in lib.run(b.column(1).to_pylist()):
+            for ids in lib.run(b.column(1)):
                 places.append(out.total)
                 out.add(ids + end)
                 counts.append(out.total - places[-1])

@@ -132,3 +132,46 @@ def test_caches_change_nothing(monkeypatch):
         part = texts[at:at + 7]
         assert [list(map(int, i.split())) for i in codec.run(part)[1]] == expect[at:at + 7]
         assert [np.frombuffer(b, words.dtype).tolist() for b in words.run(part)] == expect[at:at + 7]
+
+
+def test_words_of_a_batch_equal_library(monkeypatch):
+    """Capitals that compose otherwise than small letters, marks behind words, texts that touch, groups of words and generations."""
+    import pyarrow as pa
+    tok = load_tokenizer("word_bpe_49k.json")
+    texts = ["J\u030c H\u0331 J", "j\u030c h\u0331 j", "\u030cx", None, "", "word", "word", ", word,", "a,. b.! c\x1c, 1, é, É,x", " \t\v\f\r\n ", "x", "<|", "endoftext|>",
+             "<|endoftext|>, <|ENDOFTEXT|>. A<|endoftext|>B", "tail\u00a0Tail,\u2003T\u0308,", "Q" * 100 + ", " + "q" * 100, "it'S, 'S. I'LL!"]
+    texts += random_texts(300) + [" ".join(f"{a}{b}{c}" for b in "abcdefghijkl" for c in "abcdefghijkl") for a in "XYZ"]
+    expect = [e.ids for e in tok.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    for cache, group, step in ((token_file.CACHE, token_file.GROUP, len(texts)), (20, 3, 5), (0, 1, 1)):
+        monkeypatch.setattr(token_file, "CACHE", cache)
+        monkeypatch.setattr(token_file, "GROUP", group)
+        words = token_file.LibraryWords("word_bpe_49k.json")
+        for repeat in range(2):
+            for a in range(0, len(texts), step):
+                part = pa.array(["left out", *texts[a:a + step]])[1:]
+                assert [np.frombuffer(b, words.dtype).tolist() for b in words.run(part)] == expect[a:a + step]
+    words = token_file.LibraryWords("word_bpe_49k.json")
+    assert not words.ends[:words.model.get_vocab()["a</w>"]].all() and words.encode([]) == []
+    ids = words.encode(["hello", "sttible", ","])
+    words.ends[:] = False                           # a vocabulary without ends of words
+    assert words.encode(["hello", "sttible", ","]) == ids
+    assert words.run([]) == []
+
+
+def test_words_used_lately_are_not_encoded_again(monkeypatch):
+    """A full cache keeps a generation: words of the batch before the last are looked up."""
+    class Counting:
+        def __init__(self, model):
+            self.model, self.seen = model, []
+
+        def encode_batch_fast(self, words, **options):
+            self.seen += words
+            return self.model.encode_batch_fast(words, **options)
+
+    monkeypatch.setattr(token_file, "CACHE", 4)
+    words = token_file.LibraryWords("word_bpe_49k.json")
+    words.model = Counting(words.model)
+    before = words.run(["one two three four five six"])
+    words.run(["seven"])
+    words.model.seen.clear()
+    assert words.run(["six five four three two one", "one two three four five six"])[1:] == before and not words.model.seen
